@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import quality_rules
+from lodestone.llm import line_dedup, quality_rules
 from lodestone.llm.common import table
 
 
@@ -12,5 +12,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
-ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_deleted", "source_id")
+
+
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_line_dedup)}
+ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
