@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import line_dedup, quality_rules
+from lodestone.llm import jaccard_join, line_dedup, quality_rules
 from lodestone.llm.common import table
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), percent=90, size=3)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -17,5 +22,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_deleted", "source_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_jaccard_join,
+        op7_quality_rules,
+        op9_line_dedup,
+    )
+}
 ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
