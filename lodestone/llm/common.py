@@ -53,3 +53,10 @@ def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null gives no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+
+
+def byte_bpe_path() -> str:
+    """The public byte-level BPE file of the installed vocabulary package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jaccard_join, line_dedup, quality_rules
-from lodestone.llm.common import table
+from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from lodestone.llm.common import byte_bpe_path, table
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -22,12 +26,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_deleted", "source_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op4_jaccard_join,
+        op5_bpe,
         op7_quality_rules,
         op9_line_dedup,
+        op10_decontamination,
     )
 }
 ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
