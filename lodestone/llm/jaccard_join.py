@@ -11,7 +11,7 @@ differ in d tokens agree
 Each band's allocation says how many segments are indexed by one-deletion
 neighbourhoods (the segment, and it less each of its tokens; counts 2 towards
 d + 1) and how many as they are (counts 1), at least estimated cost: rows written
-against false candidates expected among all documents. A set indexes the prefix
+against false candidates expected, both by segment size alone. A set indexes the prefix
 of segments that its own size needs, in its band and in the next one where it may
 have a larger partner.
 
@@ -83,11 +83,13 @@ class Band:
 
 @dataclass(frozen=True)
 class Plan:
-    """Jaccard of at least percent / 100 on shingles of ``size`` words among about ``documents`` documents."""
+    """Jaccard of at least percent / 100 on shingles of ``size`` words.
+
+    ``collision_weight``: cost of a certain false candidate in rows written, for the allocation."""
 
     percent: int
     size: int
-    documents: int
+    collision_weight: float = 250_000.0
 
     def partner(self, n: int) -> int:
         """The largest set that may link with one of n tokens."""
@@ -110,7 +112,7 @@ class Plan:
                 break
             s = n / segments
             rows = segments + deletions * s
-            false = self.documents * (
+            false = self.collision_weight * (
                 (segments - deletions) * math.exp(-1.4 * s) + deletions * (1 + 2 * s) * math.exp(-1.4 * (s - 1))
             )
             best = min(best, (rows + false, segments, deletions))
@@ -229,7 +231,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
 
     class_id: the least document with the same set; component_id: the least one reachable by links."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text")
-    plan = Plan(percent, size, max(1, texts.count()))
+    plan = Plan(percent, size)
     index = cut(texts.mapInArrow(_indexer(plan), INDEX), "shingle-index")
     index = index.dropDuplicates(["doc_id", "k1", "k2"])
     heads = index.drop("whole", "less")
