@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the word pattern of byte-level BPE, with Unicode white space written out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Words remembered by a Python worker before it starts anew.
-REMEMBERED = 200_000
+#: Words that a Python worker remembers, once as lately met and once as older ones.
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,11 +44,17 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Node:
-    __slots__ = ("below", "last")
+    """A node of the words' trie; ``word`` is the one that ends here."""
+
+    __slots__ = ("below", "word")
 
     def __init__(self) -> None:
         self.below: dict[int, _Node] = {}
-        self.last = -1
+        self.word: str | None = None
+
+
+#: Key of the token that ends at a node of the tokens' trie (nested dictionaries by byte).
+TOKEN = -1
 
 
 class Encoder:
@@ -71,9 +77,16 @@ class Encoder:
             self.pair[a, b] = place
             if whole not in self.parts:
                 self.rank[whole], self.parts[whole] = place, (a, b)
-        self.longest = max(map(len, self.ids))
+        self.tokens: dict = {}
+        for token, i in self.ids.items():
+            node = self.tokens
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[TOKEN] = i
         self.follows: dict[tuple[int, int], bool] = {}
+        #: Encodings of words met lately, and those remembered before them.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -100,49 +113,43 @@ class Encoder:
             else:
                 next_right, right = rank[right], self.parts[right][0]
 
-    def _last_token(self, prefix: bytes, lasts: list[int]) -> int:
-        """Last token of ``prefix``; ``lasts`` has those of its shorter prefixes."""
-        end = len(prefix)
-        for size in range(min(self.longest, end), 0, -1):
-            token = self.ids.get(prefix[end - size :])
-            if token is not None and (size == end or self.may_follow(lasts[end - size - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def learn(self, words: Iterable[str]) -> None:
-        """Encode words: build their trie, then walk it depth first."""
-        root, ends = _Node(), {}
+        """Encode distinct words: build their trie, then walk it depth first.
+
+        On the way down, ``reach[d]`` has the tokens that may still grow at depth d: where each began, and its place in
+        the tokens' trie. ``lasts[d - 1]`` is the last token of the prefix of d bytes."""
+        root = _Node()
         for word in words:
             node = root
             for byte in word.encode("utf-8", "surrogatepass"):
-                child = node.below.get(byte)
-                if child is None:
-                    child = node.below[byte] = _Node()
-                node = child
-            ends.setdefault(id(node), []).append(word)
+                below = node.below
+                node = below.get(byte)
+                if node is None:
+                    node = below[byte] = _Node()
+            node.word = word
         stack = [(byte, 1, child) for byte, child in root.below.items()]
-        prefix, lasts = bytearray(), []
+        lasts, reach, tokens, size = [], [[]], self.tokens, self.bytes_of
         while stack:
             byte, depth, node = stack.pop()
-            del prefix[depth - 1 :], lasts[depth - 1 :]
-            prefix.append(byte)
-            lasts.append(self._last_token(bytes(prefix[-self.longest :]), lasts) if depth <= self.longest else self._far(prefix, lasts))
-            for word in ends.get(id(node), ()):
+            del lasts[depth - 1 :], reach[depth:]
+            growing, last = [], None
+            for begin, place in (*reach[depth - 1], (depth - 1, tokens)):
+                place = place.get(byte)
+                if place is not None:
+                    growing.append((begin, place))
+                    if last is None and (token := place.get(TOKEN)) is not None:
+                        if not begin or self.may_follow(lasts[begin - 1], token):
+                            last = token
+            lasts.append(last)
+            reach.append(growing)
+            if node.word is not None:
                 ids, at = [], depth
                 while at:
                     ids.append(lasts[at - 1])
-                    at -= len(self.bytes_of[ids[-1]])
-                self.known[word] = tuple(reversed(ids))
-            stack += [(b, depth + 1, child) for b, child in node.below.items()]
-
-    def _far(self, prefix: bytearray, lasts: list[int]) -> int:
-        """As _last_token, beyond the longest token: some token always precedes the last one."""
-        end, tail = len(prefix), bytes(prefix[-self.longest :])
-        for size in range(self.longest, 0, -1):
-            token = self.ids.get(tail[len(tail) - size :])
-            if token is not None and self.may_follow(lasts[end - size - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+                    at -= len(size[ids[-1]])
+                self.known[node.word] = tuple(reversed(ids))
+            for b, child in node.below.items():
+                stack.append((b, depth + 1, child))
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text. Distinct new words of all texts share one trie."""
@@ -153,9 +160,11 @@ class Encoder:
                 parts = self.cut.split(parts[0])
             cut.append([[p] if p in self.added else self.words.findall(p) for p in parts])
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set(chain.from_iterable(chain.from_iterable(cut))) - self.known.keys()
-        self.learn(new - self.added.keys())
+            self.older, self.known = self.known, {}
+        new = set(chain.from_iterable(chain.from_iterable(cut))) - self.known.keys() - self.added.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
         self.known.update((a, (i,)) for a, i in self.added.items())
         for parts in cut:
             yield list(chain.from_iterable(map(self.known.__getitem__, chain.from_iterable(parts))))
