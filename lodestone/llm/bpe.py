@@ -215,29 +215,37 @@ def encode(docs: DataFrame, path: str, chars: int = 500_000) -> DataFrame:
     return docs.select(*own).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded): the text of each row's ``ids``, and a digest of the ids as little-endian uint32."""
-    shared = _share(encoded.sparkSession, path)
-
+def _decoder(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
             n, digests, texts = [], [], []
-            for cell in batch.column(1):
+            for cell in batch.column(batch.num_columns - 1):
                 ids = np.asarray(cell.values if cell.values is not None else [], np.int32)
                 n.append(len(ids))
                 digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 texts.append(encoder.decode(ids.tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded"],
-            )
+            new = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "n_tokens", "ids_sha256", "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids, n_tokens, ids_sha256, decoded): the text of each row's ``ids``, and a digest of the ids as little-endian uint32."""
+    shared = _share(encoded.sparkSession, path)
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded string")
+    schema = f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded string"
+    return encoded.select(id_col, "ids").mapInArrow(_decoder(shared, [id_col, "ids"]), schema)
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, after a round trip."""
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
     back = decode(encode(docs.select("doc_id", "text"), path), path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return back.select("doc_id", "n_tokens", "ids", "ids_sha256", decoded.alias("decoded_sha256"))
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """``round_trip`` without the ids."""
+    return round_trip(docs, path).drop("ids")
