@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, pii, quality_rules, warc
 from lodestone.llm.common import byte_bpe_path, table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), percent=90, size=3)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -17,6 +21,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_pii,
         op4_jaccard_join,
         op5_bpe,
+        op6_warc,
         op7_quality_rules,
         op9_line_dedup,
         op10_decontamination,
