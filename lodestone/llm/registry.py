@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, jaccard_join, line_dedup, pii, quality_rules, warc
+from lodestone.llm import (
+    bpe,
+    decontaminate,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    warc,
+)
 from lodestone.llm.common import byte_bpe_path, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.example_findings(spark))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), percent=90, size=3)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -29,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_lines", "n_deleted", "source_id")
@@ -41,11 +64,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_pii,
+        op3_license_scan,
         op4_jaccard_join,
         op5_bpe,
         op6_warc,
         op7_quality_rules,
+        op8_quality_classifier,
         op9_line_dedup,
         op10_decontamination,
     )
