@@ -8,15 +8,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 IMAGE = "<!-- image -->"
 
 
-@F.pandas_udf("string")
-def nfc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition; Spark has no built-in for it. Compatibility forms such as ³ stay."""
-    for s in values:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def nfc(text: Column) -> Column:
+    """Canonical composition, in Arrow batches; Spark has no built-in for it. Compatibility forms such as ³ stay."""
+
+    def compose(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(compose, "string", PandasUDFType.SCALAR_ITER)(text)
 
 
 def clean_unicode(text: Column) -> Column:
