@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 IMAGE = "<!-- image -->"
 
@@ -20,7 +19,7 @@ def nfc(text: Column) -> Column:
         for s in values:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return F.pandas_udf(compose, "string", PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(compose, "string")(text)
 
 
 def clean_unicode(text: Column) -> Column:
