@@ -43,18 +43,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(shifted)}
 
 
-class _Node:
-    """A node of the words' trie; ``word`` is the one that ends here."""
-
-    __slots__ = ("below", "word")
-
-    def __init__(self) -> None:
-        self.below: dict[int, _Node] = {}
-        self.word: str | None = None
-
-
-#: Key of the token that ends at a node of the tokens' trie (nested dictionaries by byte).
-TOKEN = -1
+#: Tries are nested dictionaries by byte; under this key a node has the token or word that ends there.
+HERE = -1
 
 
 class Encoder:
@@ -66,6 +56,7 @@ class Encoder:
         raw = lambda token: bytes(letters[c] for c in token)
         self.ids = {raw(t): i for t, i in file["model"]["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in file["added_tokens"]}
+        self.size = {i: len(b) for b, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         #: rank: place of the merge that makes a token (-1: a byte); parts: the two tokens it merges; pair: rank by parts.
         self.rank = dict.fromkeys(self.ids.values(), -1)
@@ -82,8 +73,8 @@ class Encoder:
             node = self.tokens
             for byte in token:
                 node = node.setdefault(byte, {})
-            node[TOKEN] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+            node[HERE] = i
+        self.follows: dict[int, bool] = {}
         #: Encodings of words met lately, and those remembered before them.
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -91,11 +82,10 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def may_follow(self, a: int, b: int) -> bool:
-        found = self.follows.get((a, b))
-        if found is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            found = self.follows[a, b] = not self._crossed(a, b)
+        """Remembered under one integer for both tokens."""
+        if len(self.follows) > 600_000:
+            self.follows.clear()
+        found = self.follows[a << 20 | b] = not self._crossed(a, b)
         return found
 
     def _crossed(self, left: int, right: int) -> bool:
@@ -117,39 +107,53 @@ class Encoder:
         """Encode distinct words: build their trie, then walk it depth first.
 
         On the way down, ``reach[d]`` has the tokens that may still grow at depth d: where each began, and its place in
-        the tokens' trie. ``lasts[d - 1]`` is the last token of the prefix of d bytes."""
-        root = _Node()
+        the tokens' trie. ``lasts[d - 1]`` is the last token of the prefix of d bytes; if no longer token may be, it is the
+        byte's own."""
+        root: dict = {}
         for word in words:
             node = root
             for byte in word.encode("utf-8", "surrogatepass"):
-                below = node.below
-                node = below.get(byte)
-                if node is None:
-                    node = below[byte] = _Node()
-            node.word = word
-        stack = [(byte, 1, child) for byte, child in root.below.items()]
-        lasts, reach, tokens, size = [], [[]], self.tokens, self.bytes_of
+                below = node.get(byte)
+                if below is None:
+                    below = node[byte] = {}
+                node = below
+            node[HERE] = word
+        stack = [(byte, 1, child) for byte, child in root.items()]
+        lasts, reach, tokens, size, follows = [], [[]], self.tokens, self.size, self.follows
         while stack:
             byte, depth, node = stack.pop()
-            del lasts[depth - 1 :], reach[depth:]
+            before = depth - 1
+            del lasts[before:], reach[depth:]
             growing, last = [], None
-            for begin, place in (*reach[depth - 1], (depth - 1, tokens)):
-                place = place.get(byte)
+            for state in reach[before]:
+                place = state[1].get(byte)
                 if place is not None:
+                    begin = state[0]
                     growing.append((begin, place))
-                    if last is None and (token := place.get(TOKEN)) is not None:
-                        if not begin or self.may_follow(lasts[begin - 1], token):
-                            last = token
-            lasts.append(last)
+                    if last is None and HERE in place:
+                        token = place[HERE]
+                        if begin:
+                            follow = follows.get(lasts[begin - 1] << 20 | token)
+                            if follow is None:
+                                follow = self.may_follow(lasts[begin - 1], token)
+                            if not follow:
+                                continue
+                        last = token
+            place = tokens[byte]
+            growing.append((before, place))
+            lasts.append(place[HERE] if last is None else last)
             reach.append(growing)
-            if node.word is not None:
-                ids, at = [], depth
-                while at:
-                    ids.append(lasts[at - 1])
-                    at -= len(size[ids[-1]])
-                self.known[node.word] = tuple(reversed(ids))
-            for b, child in node.below.items():
-                stack.append((b, depth + 1, child))
+            for b, child in node.items():
+                if b >= 0:
+                    stack.append((b, depth + 1, child))
+                else:
+                    ids, at = [], depth
+                    while at:
+                        token = lasts[at - 1]
+                        ids.append(token)
+                        at -= size[token]
+                    ids.reverse()
+                    self.known[child] = tuple(ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text. Distinct new words of all texts share one trie."""
