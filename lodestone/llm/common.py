@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ def drop_cut(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished frames now, not at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null gives no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))

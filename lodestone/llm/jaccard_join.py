@@ -11,9 +11,9 @@ differ in d tokens agree
 Each band's allocation says how many segments are indexed by one-deletion
 neighbourhoods (the segment, and it less each of its tokens; counts 2 towards
 d + 1) and how many as they are (counts 1), at least estimated cost: rows written
-against false candidates expected, both by segment size alone. A set indexes the prefix
-of segments that its own size needs, in its band and in the next one where it may
-have a larger partner.
+against false candidates expected, both by segment size alone. A set indexes the first
+segments that its own size needs and that aren't nearly empty, in its band and in
+the next one where it may have a larger partner.
 
 Documents with the same set form a class, joined as one. In each bucket (documents
 with an equal signature) the classes are first compared with two leaders only, so
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop_cut
+from lodestone.llm.common import cut, drop_cut, free_shuffles
 from lodestone.llm.components import components
 
 BAND_RATIO = 1.4
@@ -76,20 +76,32 @@ class Band:
     segments: int
     deletions: int
 
-    def prefix(self, d: int) -> int:
-        """Segments to index for at most d differences."""
-        return (d + 2) // 2 if d + 1 <= 2 * self.deletions else d + 1 - self.deletions
+    def chosen(self, sizes: np.ndarray, d: int) -> np.ndarray:
+        """Segments that a set with segments of these sizes indexes, for at most d differences.
+
+        Segments of under two tokens tell little and are passed over; the set goes on until the others count d + 1.
+        Where a segment may differ by one token, its counterpart must not be passed over, so it counts from three
+        tokens on. A set that runs out of segments indexes all. Of two sets, take the one that stops first: some
+        segment it counts differs in no more than allowed, and the other one, which goes at least as far, has it too."""
+        place = np.arange(self.segments)
+        counts = np.where(place < self.deletions, 2 * (sizes >= 3), 1 * (sizes >= 2))
+        total = np.cumsum(counts)
+        if total[-1] <= d:
+            return np.ones(self.segments, bool)
+        return (place <= np.searchsorted(total, d + 1)) & (sizes >= 2)
 
 
 @dataclass(frozen=True)
 class Plan:
     """Jaccard of at least percent / 100 on shingles of ``size`` words.
 
-    ``collision_weight``: cost of a certain false candidate in rows written, for the allocation."""
+    ``collision_weight``: cost of a certain false candidate in rows written, for the allocation. ``spare``: share of
+    segments beyond those needed, for sets that pass some over."""
 
     percent: int
     size: int
-    collision_weight: float = 250_000.0
+    collision_weight: float = 800.0
+    spare: float = 0.25
 
     def partner(self, n: int) -> int:
         """The largest set that may link with one of n tokens."""
@@ -116,7 +128,8 @@ class Plan:
                 (segments - deletions) * math.exp(-1.4 * s) + deletions * (1 + 2 * s) * math.exp(-1.4 * (s - 1))
             )
             best = min(best, (rows + false, segments, deletions))
-        return Band(low, high, best[1], best[2])
+        plain = best[1] - best[2]
+        return Band(low, high, best[1] + math.ceil(self.spare * plain) * (plain > 0), best[2])
 
     def bands(self, n: int, cache: dict[int, Band]) -> Iterator[tuple[int, Band]]:
         """The band of size n, and the next one if a partner may lie there."""
@@ -138,14 +151,15 @@ class Plan:
         if n and (d := self.most(n)):
             mixed = mix(tokens ^ _A)
             for k, band in self.bands(n, cache):
-                m, used = band.segments, band.prefix(d)
+                m = band.segments
                 part = (tokens % np.uint64(m)).astype(np.int64)
                 sums = np.zeros(m, np.uint64)
                 np.add.at(sums, part, mixed)
                 salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(k * 1_000_003 + 1))
-                whole.append(mix(sums[:used] ^ salt[:used]))
-                if deleted := min(used, band.deletions):
-                    here = part < deleted
+                used = band.chosen(np.bincount(part, minlength=m), d)
+                whole.append(mix(sums[used] ^ salt[used]))
+                if band.deletions:
+                    here = (part < band.deletions) & used[part]
                     p = part[here]
                     less.append(mix((sums[p] - mixed[here]) ^ salt[p]))
         join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.uint64)
@@ -235,23 +249,40 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     index = cut(texts.mapInArrow(_indexer(plan), INDEX), "shingle-index")
     index = index.dropDuplicates(["doc_id", "k1", "k2"])
     heads = index.drop("whole", "less")
-    rows = index.select("doc_id", "k1", "k2", F.explode("whole").alias("sig"), F.lit(True).alias("full")).unionByName(
-        index.select("doc_id", "k1", "k2", F.explode("less").alias("sig"), F.lit(False).alias("full"))
+    rows = index.select("doc_id", F.explode("whole").alias("sig"), F.lit(True).alias("full")).unionByName(
+        index.select("doc_id", F.explode("less").alias("sig"), F.lit(False).alias("full"))
     )
-    # Buckets of two classes at least, one of them by its whole segment; leaders are of that kind.
-    led = F.when(F.col("full"), F.col("doc_id"))
-    buckets = (
+    # Only signatures of several documents, one of which has them whole, go on; the rest are most of all rows.
+    shared = (
         rows.groupBy("sig")
-        .agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min(led).alias("first"), F.max(led).alias("last"))
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("full").alias("any"))
+        .where("lo != hi AND any")
+        .select("sig")
+    )
+    hits = cut(rows.join(shared, "sig", "left_semi"), "shared-signatures")
+    free_shuffles(docs.sparkSession)
+    classes = heads.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
+    class_of = cut(
+        heads.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select(
+            "doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+        ),
+        "classes",
+    )
+    copies = class_of.where("class_id != doc_id").select("doc_id", "class_id")
+    of_class = (
+        hits.join(copies, "doc_id", "left")
+        .groupBy("sig", F.coalesce("class_id", "doc_id").alias("doc_id"))
+        .agg(F.bool_or("full").alias("full"))
+    )
+    led = F.when(F.col("full"), F.col("doc_id"))
+    leaders = (
+        of_class.groupBy("sig")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(led).alias("first"), F.max(led).alias("last"))
         .where("lo != hi AND first IS NOT NULL")
         .select("sig", "first", "last")
     )
-    members = (
-        rows.join(buckets, "sig")
-        .groupBy("sig", "k1", "k2")
-        .agg(F.min("doc_id").alias("doc_id"), F.bool_or("full").alias("full"), F.min("first").alias("first"), F.min("last").alias("last"))
-    )
-    members = cut(members.select("sig", "doc_id", "full", "first", "last"), "buckets")
+    members = cut(of_class.join(leaders, "sig").select("sig", "doc_id", "full", "first", "last"), "buckets")
+    drop_cut(hits)
 
     def head(prefix: str, key: str) -> DataFrame:
         return heads.select(F.col("doc_id").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", "s0", "s1", "s2", "s3")))
@@ -285,11 +316,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
         drop_cut(used)
     final = components(found.unionByName(more)) if more.limit(1).count() else joined
 
-    classes = heads.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
-    member_of = heads.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).withColumn(
-        "class_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    )
-    return member_of.join(final, F.col("class_id") == F.col("node"), "left").select(
+    return class_of.join(final, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
 
