@@ -65,8 +65,6 @@ WITNESS = (
     (r"(?i)\bISO\s*\d+:\d+", lambda t: F.upper(F.regexp_replace(t, r"\s+", ""))),
     (r"(?i)\bAPI[-\s]?\d+", lambda t: F.upper(F.regexp_replace(t, r"[\s-]", ""))),
     (r"(?i)\b(?:EN|NFPA)\b", F.upper),
-    (r"(?i)\bMCH[-\s]?\d+[\w/]*", lambda t: F.upper(F.regexp_replace(t, r"[\s-]", ""))),
-    (r"(?i)\b(?:ICON|VEGA|NOVA|NEPTUNE|PROEYE)\b", F.upper),
 )
 #: Patterns that converted pages must not hold.
 BANNED = {
@@ -79,15 +77,26 @@ BANNED = {
 }
 
 
-def witness_tokens(text: Column) -> Column:
-    """All witness tokens of a text in normal form, with repeats."""
+def witness_tokens(text: Column, series: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> Column:
+    """All witness tokens of a text in normal form, with repeats.
+
+    ``series``: letters of numbered models (AB-12, AB 12/14), ``names``: models named by a word; both are the client's."""
+    classes = list(WITNESS)
+    if series:
+        classes.append((rf"(?i)\b(?:{'|'.join(series)})[-\s]?\d+[\w/]*", lambda t: F.upper(F.regexp_replace(t, r"[\s-]", ""))))
+    if names:
+        classes.append((rf"(?i)\b(?:{'|'.join(names)})\b", F.upper))
     source = F.coalesce(text, F.lit(""))
-    return F.flatten(F.array(*(F.transform(F.regexp_extract_all(source, F.lit(p), F.lit(0)), form) for p, form in WITNESS)))
+    return F.flatten(F.array(*(F.transform(F.regexp_extract_all(source, F.lit(p), F.lit(0)), form) for p, form in classes)))
 
 
-def missing_tokens(pairs: DataFrame, key: str, witness: str, converted: str) -> DataFrame:
+def missing_tokens(pairs: DataFrame, key: str, witness: str, converted: str, series: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
     """(key, token, missing): witness tokens that the conversion holds less often, by how many."""
-    count = lambda c, n: pairs.select(key, F.explode(witness_tokens(F.col(c))).alias("token")).groupBy(key, "token").agg(F.count("*").alias(n))
+
+    def count(c: str, n: str) -> DataFrame:
+        found = pairs.select(key, F.explode(witness_tokens(F.col(c), series, names)).alias("token"))
+        return found.groupBy(key, "token").agg(F.count("*").alias(n))
+
     both = count(witness, "n1").join(count(converted, "n2"), [key, "token"], "left")
     missing = F.col("n1") - F.coalesce("n2", F.lit(0))
     return both.select(key, "token", missing.alias("missing")).where("missing > 0")

@@ -45,11 +45,11 @@ def test_conversion_and_relaxation(seed):
 
 
 def test_product_tiers(spark):
-    fams = spark.createDataFrame([("fam.smart", "Smart MCH"), ("fam.mch", "MCH Series"), ("fam.gas", "Gas Boosters")], "family_id string, name string")
-    prods = spark.createDataFrame([("p1", "fam.mch", "MCH-16", None), ("p2", "fam.mch", "MCH-13/16", "Electric"), ("p3", "fam.smart", None, "MCH-16 smart")], "product_id string, family_id string, model_name string, variant string")
+    fams = spark.createDataFrame([("fam.smart", "Smart KDX"), ("fam.kdx", "KDX Series"), ("fam.gas", "Gas Boosters")], "family_id string, name string")
+    prods = spark.createDataFrame([("p1", "fam.kdx", "KDX-16", None), ("p2", "fam.kdx", "KDX-13/16", "Electric"), ("p3", "fam.smart", None, "KDX-16 smart")], "product_id string, family_id string, model_name string, variant string")
     tiers = lambda q: [(r.matched_by, r.family_id, r.product_id) for r in products.resolve(fams, prods, q).orderBy("position").collect()]
-    assert tiers("mch 16") == [("model", "fam.mch", "p1"), ("model", "fam.smart", "p3"), ("model", "fam.mch", "p2")]
-    assert tiers("MCH-13")[0] == ("model_variant", "fam.mch", "p2")
+    assert tiers("kdx 16") == [("model", "fam.kdx", "p1"), ("model", "fam.smart", "p3"), ("model", "fam.kdx", "p2")]
+    assert tiers("KDX-13")[0] == ("model_variant", "fam.kdx", "p2")
     assert tiers("gas boosters") == [("family_envelope", "fam.gas", None)]
     assert {t[0] for t in tiers("smart unit")} == {"family_contains"}
     assert tiers("nothing here") == []
@@ -159,6 +159,8 @@ def test_witness(spark):
     rows = spark.createDataFrame([("u", "1,000 barg ISO 9001:2015 API-618 1000", "1000 bar ISO9001:2015")], "url string, w string, md string")
     got = {(r.token, r.missing) for r in documents.missing_tokens(rows, "url", "w", "md").collect()}
     assert got == {("1000", 1), ("barg", 1), ("API618", 1), ("618", 1)}
+    models = spark.createDataFrame([("u", "KDX-12/14 and Vista", "kdx 12/14")], "url string, w string, md string")
+    assert {r.token for r in documents.missing_tokens(models, "url", "w", "md", ("KDX",), ("vista",)).collect()} == {"VISTA"}
     junk = spark.createDataFrame([("1. Home > x\nImage\nRead more\na",)], "md string").select(documents.junk(F.col("md")).alias("j")).first().j
     assert junk == ["breadcrumb_list", "bare_image_node", "read_more_stub", "teaser_card_link", "orphan_single_char_line"]
 
