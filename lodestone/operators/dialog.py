@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text as T
+
 #: Intents with their agents, and the order in which slots are asked for.
 ROUTES = {
     "application_discovery": "application_discovery", "product_info": "product_advisor", "documents": "documents_compliance",
@@ -102,3 +104,46 @@ def denies_match(text: Column) -> Column:
 
 def wants_document(text: Column) -> Column:
     return text.rlike(r"(?i)brochure|catalog|datasheet|data sheet|manual|pdf|download|certificate")
+
+
+def duty_slots(text: Column) -> Column:
+    """struct of the duty that a message states: capacity with its unit, and discharge pressure in barg."""
+    flow = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(nm\s*3\s*/?\s*h(?:r|our)?|nm³/hr|scmd)"
+    pressure = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*bar"
+    number = lambda p: F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("double")
+    unit = F.nullif(F.regexp_extract(text, flow, 2), F.lit(""))
+    return F.struct(number(flow).alias("capacity"), unit.alias("capacity_unit"), number(pressure).alias("discharge_p"))
+
+
+def states_full_duty(text: Column) -> Column:
+    """Whether a message restates flow and pressure; such a message inherits nothing."""
+    slots = duty_slots(text)
+    return slots["capacity"].isNotNull() & slots["discharge_p"].isNotNull()
+
+
+def unit_of_new_capacity(turns: DataFrame, text: str = "text") -> DataFrame:
+    """A capacity without a unit in the same message loses an inferred unit, so that it is asked for."""
+    stated = duty_slots(F.col(text))["capacity_unit"].isNotNull()
+    return turns.withColumn("capacity_unit", F.when(F.col("capacity").isNull() | stated, F.col("capacity_unit")))
+
+
+def user_texts(messages: DataFrame) -> DataFrame:
+    """(session_id, texts): everything a user said, oldest first."""
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("seq", "seq_in_turn", "text"))))
+    return messages.groupBy("session_id").agg(F.transform(said, lambda m: m["text"]).alias("texts"))
+
+
+def answer_text(messages: DataFrame) -> DataFrame:
+    """(turn_id, answer): the assistant's texts of a turn and the titles of its cards, in order."""
+    shown = F.when(F.col("kind") == "document_card", F.get_json_object("payload", "$.title")).otherwise(F.col("text"))
+    own = messages.where("role = 'assistant'").select("turn_id", "seq_in_turn", shown.alias("t")).where("t IS NOT NULL AND t != ''")
+    listed = F.array_sort(F.collect_list(F.struct("seq_in_turn", "t")))
+    return own.groupBy("turn_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), " ").alias("answer"))
+
+
+def cards(hits: DataFrame, most: int = 3) -> DataFrame:
+    """Download cards of search hits (turn_id, rank, doc_id, title, url): documents once, at most ``most`` a turn; the title falls back to the address."""
+    named = F.coalesce(F.nullif("title", F.lit("")), F.initcap(F.regexp_replace(T.url_stem(F.col("url")), r"[-_+]+", " ")))
+    first = hits.groupBy("turn_id", "doc_id").agg(F.min("rank").alias("rank"), F.min_by(named, "rank").alias("title"), F.min_by("url", "rank").alias("url"))
+    place = F.row_number().over(Window.partitionBy("turn_id").orderBy("rank", "doc_id"))
+    return first.withColumn("_p", place).where(F.col("_p") <= most).drop("_p")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions import units as U
 
 LAYERS = ("fact", "retrieval", "e2e")
 STATUSES = ("pass", "fail", "flaky", "na")
@@ -47,3 +48,30 @@ def report(results: DataFrame) -> DataFrame:
     """(layer, pass, fail, flaky, na, ok) of results (layer, status)."""
     counts = results.groupBy("layer").pivot("status", list(STATUSES)).count().na.fill(0, list(STATUSES))
     return counts.withColumn("ok", F.col("fail") == 0)
+
+
+def handoff_guard(answer: Column, allowed: Column) -> Column:
+    """Whether all spec numbers of a handoff are among the numbers of results, arguments and question."""
+    return F.size(F.array_except(U.spec_numbers(answer), allowed)) == 0
+
+
+def purity(text: Column, script: Column) -> Column:
+    """Latin words left in an answer that should be in another script; none where Latin is asked for."""
+    return F.when(script.isNull() | (script == "latin"), F.array().cast("array<string>")).otherwise(T.latin_leaks(text))
+
+
+def score(questions: DataFrame, facts: DataFrame, retrieved: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, layer, status) of golden questions.
+
+    ``questions``: (id, expected_ids, chunk_ids, locator, doc, outcome, contains, must_not); ``facts``: (id, found);
+    ``retrieved``: (id, chunks); ``answers``: (id, attempt, outcome, text) of one or two attempts."""
+    tried = answers.groupBy("id").agg(*(F.max(F.when(F.col("attempt") == k, F.struct("outcome", "text"))).alias(f"a{k}") for k in (1, 2)))
+    every = questions.join(facts.select("id", "found"), "id", "left").join(retrieved.select("id", "chunks"), "id", "left").join(tried, "id", "left")
+    errors = lambda k: F.when(F.col(f"a{k}").isNotNull(), e2e_errors(F.col(f"a{k}.outcome"), F.col("outcome"), F.coalesce(f"a{k}.text", F.lit("")), F.col("contains"), F.col("must_not")))
+    e2e = F.when(F.col("a1").isNull(), "na").otherwise(e2e_layer(errors(1), errors(2)))
+    layers = F.array(
+        F.struct(F.lit("fact").alias("layer"), fact_layer(F.col("expected_ids"), F.col("found")).alias("status")),
+        F.struct(F.lit("retrieval").alias("layer"), retrieval_layer(F.col("chunks"), F.col("chunk_ids"), F.col("locator"), F.col("doc")).alias("status")),
+        F.struct(F.lit("e2e").alias("layer"), e2e.alias("status")),
+    )
+    return every.select("id", F.explode(layers).alias("r")).select("id", "r.layer", "r.status")

@@ -165,3 +165,32 @@ def conflict_groups(rows: DataFrame, family: str, value: str) -> DataFrame:
     tagged = rows.join(many, family, "left")
     name = F.when(F.col("_n").isNotNull(), F.concat(F.lit("cg."), F.col(family).cast("string"), F.lit(".capacity")))
     return tagged.withColumn("conflict_group", name).drop("_n")
+
+
+def activate_if(releases: DataFrame, release_id: str, report: DataFrame) -> DataFrame:
+    """The release activated if no layer of the golden report failed; else the ledger as it was."""
+    sound = report.agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("_sound"))
+    chosen = activate(releases, release_id).withColumnRenamed("is_active", "_new").crossJoin(F.broadcast(sound))  # one row
+    old = releases.select("release_id", F.col("is_active").alias("_old"))
+    return chosen.join(old, "release_id").withColumn("is_active", F.when(F.col("_sound"), F.col("_new")).otherwise(F.col("_old"))).drop("_new", "_old", "_sound")
+
+
+def release_id(ledger: DataFrame, year: int, month: int) -> DataFrame:
+    """One row (release_id): the next ``rYYYY.MM.N`` of a month."""
+    prefix = f"r{year:04d}.{month:02d}."
+    number = next_number(ledger.where(F.col("release_id").startswith(prefix)), "release_id", r"\.(\d+)$")
+    return number.select(F.concat(F.lit(prefix), F.col("next").cast("string")).alias("release_id"))
+
+
+def promotable(ledger: DataFrame, candidate: str) -> DataFrame:
+    """(id, status, error): what stands against promoting a candidate; null if nothing does."""
+    row = ledger.where(F.col("id") == candidate).agg(F.count("*").alias("n"), F.max("status").alias("status"))
+    error = F.when(F.col("n") == 0, "no such candidate").when(~F.col("status").isin(*PROMOTABLE), F.concat(F.lit("not to be promoted: "), F.col("status")))
+    return row.select(F.lit(candidate).alias("id"), "status", error.alias("error"))
+
+
+def current(table: DataFrame, keys: list[str], at: str = "updated_at") -> DataFrame:
+    """The latest row of each key of an append-only table."""
+    others = [c for c in table.columns if c not in keys]
+    latest = table.groupBy(*keys).agg(F.max_by(F.struct(*others), at).alias("_r"))
+    return latest.select(*keys, "_r.*").select(*table.columns)
