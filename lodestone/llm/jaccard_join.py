@@ -247,19 +247,15 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text")
     plan = Plan(percent, size)
     index = cut(texts.mapInArrow(_indexer(plan), INDEX), "shingle-index")
-    index = index.dropDuplicates(["doc_id", "k1", "k2"])
-    heads = index.drop("whole", "less")
+    heads = cut(index.drop("whole", "less").distinct(), "heads")
     rows = index.select("doc_id", F.explode("whole").alias("sig"), F.lit(True).alias("full")).unionByName(
         index.select("doc_id", F.explode("less").alias("sig"), F.lit(False).alias("full"))
     )
-    # Only signatures of several documents, one of which has them whole, go on; the rest are most of all rows.
-    shared = (
-        rows.groupBy("sig")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("full").alias("any"))
-        .where("lo != hi AND any")
-        .select("sig")
-    )
-    hits = cut(rows.join(shared, "sig", "left_semi"), "shared-signatures")
+    # Only signatures of several rows, one of which has them whole, go on; the rest are most of all rows.
+    # A count is narrower than two ids; a repeated document passes here and is told apart below.
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("full").alias("any")).where("rows > 1 AND any")
+    hits = cut(rows.join(shared.select("sig"), "sig", "left_semi"), "shared-signatures")
+    drop_cut(index)
     free_shuffles(docs.sparkSession)
     classes = heads.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
     class_of = cut(
@@ -283,6 +279,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     )
     members = cut(of_class.join(leaders, "sig").select("sig", "doc_id", "full", "first", "last"), "buckets")
     drop_cut(hits)
+    free_shuffles(docs.sparkSession)
 
     def head(prefix: str, key: str) -> DataFrame:
         return heads.select(F.col("doc_id").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", "s0", "s1", "s2", "s3")))
@@ -296,8 +293,10 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     stars = stars.join(head("a", "u"), "u").join(head("b", "v"), "v").where(_may_link(percent, "a", "b")).select("u", "v")
     stars = cut(stars, "star-pairs")
     bodies = cut(texts.join(members.select("doc_id").union(members.select("last")).distinct(), "doc_id", "left_semi"), "bodies")
+    free_shuffles(docs.sparkSession)
     found = cut(_links(stars, bodies, percent, size), "star-links")
     drop_cut(stars)
+    free_shuffles(docs.sparkSession)
 
     # Where components still meet in a bucket, compare their classes across.
     joined = components(found)
