@@ -23,13 +23,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u != v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component is the least node reachable.
 
     An empty edge table gives an empty result; loops and repeated edges don't matter."""
     now = cut(edges.where("u != v").select("u", "v").distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         after = cut(_star(_star(now, True), False), "edges")
         drop_cut(now)
         now = after
