@@ -20,7 +20,7 @@ with an equal signature) the classes are first compared with two leaders only, s
 that a bucket costs as many pairs as it has rows. Components are formed from the
 links found; then, in buckets where several components meet, pairs of classes from
 different components are compared too. Before texts are fetched, a parity sketch
-(256 bits; its Hamming distance never exceeds the number of differing tokens)
+(1,024 bits; its Hamming distance never exceeds the number of differing tokens)
 drops pairs that can't link. Every pair left is verified on its whole sets.
 Thus no link between components is lost, and pairs inside a component aren't listed.
 
@@ -45,6 +45,9 @@ from lodestone.llm.common import cut, drop_cut, free_shuffles
 from lodestone.llm.components import components
 
 BAND_RATIO = 1.4
+#: Sets of n tokens are told apart by the sketch while n is below about twice its bits.
+SKETCH_BITS = 1024
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -167,19 +170,20 @@ class Plan:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 parity bits: bit i is the number of tokens that hash there, modulo 2."""
-    odd = np.bincount(((tokens >> np.uint64(40)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Parity bits: bit i is the number of tokens that hash there, modulo 2."""
+    odd = np.bincount(((tokens >> np.uint64(40)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-INDEX = "doc_id bigint, n bigint, k1 bigint, k2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, whole array<bigint>, less array<bigint>"
+HEAD = ("doc_id", "n", "k1", "k2", *SKETCH)
+INDEX = ", ".join(f"{c} bigint" for c in HEAD) + ", whole array<bigint>, less array<bigint>"
 
 
 def _indexer(plan: Plan):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, Band] = {}
         schema = pa.schema(
-            [(c, pa.int64()) for c in ("doc_id", "n", "k1", "k2", "s0", "s1", "s2", "s3")]
+            [(c, pa.int64()) for c in HEAD]
             + [(c, pa.list_(pa.int64())) for c in ("whole", "less")]
         )
         for batch in batches:
@@ -190,7 +194,7 @@ def _indexer(plan: Plan):
                 rows.append((len(tokens), *np.frombuffer(digest, np.int64), *sketch(tokens)))
                 for out, found in zip(lists, plan.signatures(tokens, cache), strict=True):
                     out.append(found.view(np.int64))
-            cols = np.array(rows, np.int64).reshape(len(rows), 7).T
+            cols = np.array(rows, np.int64).reshape(len(rows), len(HEAD) - 1).T
             nested = [
                 pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
@@ -223,8 +227,8 @@ def _verifier(percent: int, size: int):
 
 
 def _may_link(percent: int, a: str, b: str):
-    """Size and sketch leave a link possible. a, b: prefixes of columns n, s0 to s3."""
-    differ = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(4)), F.lit(0))
+    """Size and sketch leave a link possible. a, b: prefixes of columns n and SKETCH."""
+    differ = sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCH), F.lit(0))
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     near = (100 * F.least(na, nb)) >= (percent * F.greatest(na, nb))
     return near & (differ * (100 + percent) <= (na + nb) * (100 - percent))
@@ -282,7 +286,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     free_shuffles(docs.sparkSession)
 
     def head(prefix: str, key: str) -> DataFrame:
-        return heads.select(F.col("doc_id").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", "s0", "s1", "s2", "s3")))
+        return heads.select(F.col("doc_id").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", *SKETCH)))
 
     stars = (
         members.select("doc_id", F.explode(F.array("first", "last")).alias("leader"))
