@@ -2,8 +2,10 @@
 
 Texts are cut into blocks of ``STRIDE`` words; a passage is two neighbouring
 blocks. Passages are weighted by TF-IDF: words are hashed to ``SLOTS``; a word's
-frequency is its occurrences in the whole corpus (a block rarely holds a word
-twice), and words in over ``stop_share`` of all blocks weigh nothing. A randomised SVD, computed by Spark over
+frequency is its occurrences in all distinct texts (a block rarely holds a word
+twice; a row weighs one over the copies of its text, so copies of one document weigh as one), and words
+in over ``stop_share`` of all blocks weigh nothing, except in items of which they are half or more: their words weigh
+``least_weight`` at least. A randomised SVD, computed by Spark over
 passages and benchmark items, gives a latent space for each block of items; every
 passage of every document is projected and compared with every item there. The
 SVD is an index and is fitted on a bounded sample of whole documents, about
@@ -11,7 +13,11 @@ SVD is an index and is fitted on a bounded sample of whole documents, about
 ``item_weight`` times the sample, so that a space of ``rank`` dimensions spans them. Everything else
 covers all rows.
 
-Candidates (cosine of at least ``min_cosine``) are verified on the words around the
+Beside it, pairs of neighbouring words that an item and a text share are counted exactly. A copy of an
+item of m words with e words changed, left out or put in keeps m - 1 - 2e of them, so every copy with up to
+(1 - ``min_paraphrase``) m such edits (and fewer than half of its words) is a candidate, whatever the words weigh.
+
+Candidates (cosine of at least ``min_cosine``, or enough pairs) are verified on the words around the
 passage: the longest common subsequence must hold ``min_lcs`` of the item's words,
 or, for a paraphrase, ``min_paraphrase`` of them and, as the answer check,
 ``min_answer`` of the item's last sentence in order.
@@ -35,6 +41,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut
+
 STRIDE = 24
 SLOTS = 1 << 16
 #: ASCII upper case to lower case; ASCII punctuation and word breaks to a space.
@@ -48,6 +56,7 @@ class Limits:
     rank: int = 224
     item_weight: float = 10.0
     stop_share: float = 0.05
+    least_weight: float = 1.0
     fit_passages: int = 200_000
     min_cosine: float = 0.4
     min_lcs: float = 0.75
@@ -108,7 +117,7 @@ def _blocks(texts: list[str | None], slots: _Slots) -> _Blocks:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 400_000):
-    """(ids, texts) of bounded size; one text is never split."""
+    """(first column, texts) of bounded size; one text is never split."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -123,13 +132,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 400_000):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each slot; at slot -1 the number of blocks."""
-    slots, held, total = _Slots(), np.zeros(SLOTS, np.int64), 0
-    for _, texts in _chunks(batches):
+    """Occurrences of each slot in distinct texts, from (copies, text); at slot -1 the number of blocks."""
+    slots, held, total = _Slots(), np.zeros(SLOTS), 0.0
+    for copies, texts in _chunks(batches):
         b = _blocks(texts, slots)
         if len(b.starts):
-            held += np.bincount(b.slots, minlength=SLOTS)
-            total += len(b.starts)
+            weight = 1 / np.array(copies, np.float64)
+            lengths = [high - low for low, high in b.ends.values()]
+            held += np.bincount(b.slots, np.repeat(weight, lengths), minlength=SLOTS)
+            total += weight[b.owner].sum()
     used = np.flatnonzero(held)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(used, -1)), pa.array(np.append(held[used], total))], names=["slot", "n"]
@@ -207,13 +218,64 @@ def judge(item: Item, near: list[bytes], limits: Limits) -> tuple[float, float,
     return share, answer, share >= limits.min_lcs or answer >= limits.min_answer
 
 
+def _pairs(held: np.ndarray) -> np.ndarray:
+    """One number for each two neighbouring slots."""
+    return held[:-1] * SLOTS + held[1:]
+
+
+class _Shared:
+    """Places in texts that share so many word pairs with an item that a copy may lie there."""
+
+    def __init__(self, items: list[Item], limits: Limits) -> None:
+        slots = _Slots()
+        sizes = np.array([len(i.words) for i in items])
+        self.edits = ((1 - limits.min_paraphrase) * sizes + 1e-9).astype(np.int64)
+        self.least = np.maximum(1, sizes - 1 - 2 * self.edits)
+        self.span = (sizes + self.edits + STRIDE - 2) // STRIDE + 1  # blocks that a copy can touch
+        own = [np.unique(_pairs(np.array([slots[w] for w in i.words], np.int64))) for i in items]
+        item = np.repeat(np.arange(len(items)), [len(o) for o in own])
+        pair = np.concatenate(own)
+        order = np.argsort(pair, kind="stable")
+        self.pairs, self.first, self.times = np.unique(pair[order], return_index=True, return_counts=True)
+        self.item = item[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._short(self.pairs)] = True
+
+    @staticmethod
+    def _short(pairs: np.ndarray) -> np.ndarray:
+        return (pairs * 0x9E3779B1 >> 12) & ((1 << 20) - 1)
+
+    def places(self, b: _Blocks) -> Iterator[tuple[int, int]]:
+        """(block, item): from this block on, at least ``least`` pairs within ``span`` blocks of the text."""
+        pairs = _pairs(b.slots)
+        at = np.flatnonzero(self.maybe[self._short(pairs)])
+        found = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
+        same = self.pairs[found] == pairs[at]
+        at, found = at[same], found[same]
+        block = np.searchsorted(b.starts, at, "right") - 1
+        inside = b.owner[block] == b.owner[np.searchsorted(b.starts, at + 1, "right") - 1]
+        block, found = block[inside], found[inside]
+        if not len(block):
+            return iter(())
+        times, n = self.times[found], len(b.starts)
+        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item = self.item[np.repeat(self.first[found], times) + offset]
+        key, count = np.unique(item * n + np.repeat(block, times), return_counts=True)
+        item, block = key // n, key % n
+        total = np.append(0, np.cumsum(count))
+        last = np.minimum(block + self.span[item], np.searchsorted(b.owner, b.owner[block], "right"))
+        held = total[np.searchsorted(key, item * n + last)] - total[:-1]
+        enough = held >= self.least[item]
+        return zip(block[enough].tolist(), item[enough].tolist(), strict=True)
+
+
 def _searcher(items: list[Item], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, limits: Limits):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())]
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _Slots()
+        slots, shared = _Slots(), _Shared(items, limits)
         for ids, texts in _chunks(batches):
             b = _blocks(texts, slots)
             if not len(b.starts):
@@ -222,15 +284,25 @@ def _searcher(items: list[Item], column: np.ndarray, idf: np.ndarray, basis: np.
             weight = b.passages(np.add.reduceat(idf[b.slots] ** 2, b.starts))
             cosine = (y @ latent.T) / np.sqrt(np.maximum(weight, 1e-9))[:, None]
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for p, k in zip(*np.nonzero(cosine >= limits.min_cosine), strict=True):
-                text, item = int(b.owner[p]), items[k]
-                low, high = b.ends[text]
-                reach = len(item.words) + len(item.words) // 4
-                near = b.words[max(low, b.starts[p] - reach) : min(high, b.starts[p] + 2 * STRIDE + reach)]
-                share, answer, leaked = judge(item, near, limits)
+
+            def check(p: int, k: int, before: int, after: int) -> None:
+                key = (int(b.owner[p]), k)
+                low, high = b.ends[key[0]]
+                old = found.get(key)
+                if old is not None and old[:2] == (1.0, 1.0):
+                    return
+                near = b.words[max(low, b.starts[p] - before) : min(high, b.starts[p] + after)]
+                share, answer, leaked = judge(items[k], near, limits)
                 if leaked:
-                    key, new = (text, int(k)), (share, answer, float(cosine[p, k]))
-                    found[key] = max(found.get(key, new), new)
+                    new = (share, answer, float(cosine[p, k]))
+                    found[key] = max(old or new, new)
+
+            for p, k in zip(*np.nonzero(cosine >= limits.min_cosine), strict=True):
+                reach = len(items[k].words) + len(items[k].words) // 4
+                check(int(p), int(k), reach, 2 * STRIDE + reach)
+            for p, k in shared.places(b):
+                size = len(items[k].words)
+                check(p, k, size, STRIDE + size + int(shared.edits[k]))
             rows = [(ids[t], items[k].item_id, c, s, a) for (t, k), (s, a, c) in sorted(found.items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
@@ -238,6 +310,19 @@ def _searcher(items: list[Item], column: np.ndarray, idf: np.ndarray, basis: np.
     return search
 
 
+def _weights(items: list[Item], held: np.ndarray, blocks: float, limits: Limits) -> np.ndarray:
+    """Weight of each slot."""
+    full = np.log((1 + blocks) / (1 + held))
+    idf = np.where(held > limits.stop_share * blocks, 0, full)
+    slots = _Slots()
+    for item in items:
+        own = np.array([slots[w] for w in item.words])
+        bare = own[held[own] > limits.stop_share * blocks]
+        if 2 * len(bare) >= len(own):
+            idf[bare] = np.maximum(full[bare], limits.least_weight)
+    return idf.astype(np.float32)
+
+
 def _item_matrix(items: list[Item], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Column of each slot (-1: none) and the items' TF-IDF rows of length 1 over these columns."""
     held = [[slots[w] for w in i.words] for i in items]
@@ -286,13 +371,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
     if not items:
         return result
     held = np.zeros(SLOTS)
-    blocks = 0
-    for slot, n in texts.mapInArrow(_count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).toLocalIterator():
+    blocks = 0.0
+    keyed = texts.select(F.xxhash64("text").alias("key"), "text")
+    # Written first, so that its size is known and a small one is broadcast: the texts aren't shuffled.
+    copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    counted = keyed.join(copies, "key", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), "text")
+    for slot, n in counted.mapInArrow(_count, "slot bigint, n double").groupBy("slot").agg(F.sum("n")).toLocalIterator():
         if slot < 0:
             blocks = n
         else:
             held[slot] = n
-    idf = np.where(held > limits.stop_share * blocks, 0, np.log((1 + blocks) / (1 + held))).astype(np.float32)
+    idf = _weights(items, held, blocks, limits)
     share = min(1.0, limits.fit_passages / max(blocks, 1))
     sample = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     for k in range(0, len(items), limits.rank):

@@ -265,3 +265,42 @@ def test_paraphrase_needs_the_answer():
     wrong = decontaminate.words("a b x c d y e f z g the answer is fifty one")
     assert not decontaminate.judge(item, wrong, decontaminate.Limits())[2]
     assert decontaminate.lcs(list("abcde"), list("xaxcxe")) == 3
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+
+
+def brute_leaks(texts, items, limits):
+    """Pairs of which some stretch of the text, of the item's length and up to 45 % more, passes the checks."""
+    found = set()
+    for k, item in enumerate(items):
+        own = decontaminate.Item.of(k, item)
+        for d, text in enumerate(texts):
+            near, size = decontaminate.words(text), len(own.words)
+            if len(set(near) & set(own.words)) * 2 < len(set(own.words)):
+                continue
+            starts = range(max(1, len(near) - size + 1))
+            if any(decontaminate.judge(own, near[s : s + size + int(0.45 * size)], limits)[2] for s in starts):
+                found.add((d, k))
+    return found
+
+
+def test_decontamination_with_a_third_of_the_rows_one_leaked_document(spark):
+    rng = random.Random(9)
+    vocabulary = made_words(rng, 3000)
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(some(n)) + "." for n in (8, 15, 15, 30, 60)]
+    hot = " ".join(some(20) + items[1].split() + some(20))
+    texts = [hot] * 150 + [" ".join(some(rng.randint(30, 200))) for _ in range(280)]
+    for item in items:
+        for edits in (0, 0, 1, 3):
+            w = item.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(some(rng.randint(0, 90)) + w + some(rng.randint(0, 90))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = brute_leaks(texts, items, decontaminate.Limits())
+    assert {(d, 1) for d in range(150)} <= want and len(want) >= 150 + 17
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    assert found == want
