@@ -13,6 +13,9 @@ SVD is an index and is fitted on a bounded sample of whole documents, about
 ``item_weight`` times the sample, so that a space of ``rank`` dimensions spans them. Everything else
 covers all rows.
 
+An item of over ``2 * PASSAGE`` words is cut into passages as texts are, for the cosine of a copy of the whole
+falls with the root of its length; any of them proposes the item, which is then verified as a whole.
+
 Beside it, pairs of neighbouring words that an item and a text share are counted exactly. A copy of an
 item of m words with e words changed, left out or put in keeps m - 1 - 2e of them, so every copy with up to
 (1 - ``min_paraphrase``) m such edits (and fewer than half of its words) is a candidate, whatever the words weigh.
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut
 
 STRIDE = 24
+PASSAGE = 2 * STRIDE
 SLOTS = 1 << 16
 #: ASCII upper case to lower case; ASCII punctuation and word breaks to a space.
 _FOLD = bytes(
@@ -269,7 +273,37 @@ class _Shared:
         return zip(block[enough].tolist(), item[enough].tolist(), strict=True)
 
 
-def _searcher(items: list[Item], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, limits: Limits):
+@dataclass(frozen=True)
+class _Piece:
+    """An item, or a passage of a long one: a row of the latent search."""
+
+    item: Item
+    words: list[bytes]
+
+    @staticmethod
+    def of(item: Item) -> list[_Piece]:
+        n = len(item.words)
+        if n <= 2 * PASSAGE:
+            return [_Piece(item, item.words)]
+        return [_Piece(item, item.words[s : s + PASSAGE]) for s in range(0, n - STRIDE, STRIDE)]
+
+
+def _parts(items: list[Item], rank: int) -> list[list[_Piece]]:
+    """Pieces of whole items in parts of ``rank`` at most; an item of more pieces has a part to itself."""
+    parts: list[list[_Piece]] = [[]]
+    for item in items:
+        own = _Piece.of(item)
+        if len(parts[-1]) + len(own) > rank and parts[-1]:
+            parts.append([])
+        parts[-1] += own
+    return parts
+
+
+def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, limits: Limits):
+    items = list({id(p.item): p.item for p in pieces}.values())
+    place = {id(item): k for k, item in enumerate(items)}
+    item_of = np.array([place[id(p.item)] for p in pieces])
+    first = np.searchsorted(item_of, np.arange(len(items) + 1))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())]
     )
@@ -294,10 +328,11 @@ def _searcher(items: list[Item], column: np.ndarray, idf: np.ndarray, basis: np.
                 near = b.words[max(low, b.starts[p] - before) : min(high, b.starts[p] + after)]
                 share, answer, leaked = judge(items[k], near, limits)
                 if leaked:
-                    new = (share, answer, float(cosine[p, k]))
+                    new = (share, answer, float(cosine[p, first[k] : first[k + 1]].max()))
                     found[key] = max(old or new, new)
 
-            for p, k in zip(*np.nonzero(cosine >= limits.min_cosine), strict=True):
+            passage, piece = np.nonzero(cosine >= limits.min_cosine)
+            for p, k in np.unique(np.stack([passage, item_of[piece]], 1), axis=0):
                 reach = len(items[k].words) + len(items[k].words) // 4
                 check(int(p), int(k), reach, 2 * STRIDE + reach)
             for p, k in shared.places(b):
@@ -323,8 +358,8 @@ def _weights(items: list[Item], held: np.ndarray, blocks: float, limits: Limits)
     return idf.astype(np.float32)
 
 
-def _item_matrix(items: list[Item], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Column of each slot (-1: none) and the items' TF-IDF rows of length 1 over these columns."""
+def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column of each slot (-1: none) and the pieces' TF-IDF rows of length 1 over these columns."""
     held = [[slots[w] for w in i.words] for i in items]
     used = np.unique(np.concatenate(held))
     column = np.full(SLOTS, -1, np.int64)
@@ -362,7 +397,7 @@ RESULT = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer
 def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share): each document with each benchmark item that it holds.
 
-    Items are taken in blocks of ``rank``, each with a latent space of its own."""
+    Items are taken in parts of ``rank`` pieces or one longer item, each with a latent space of its own."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
     items = [Item.of(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator()]
@@ -384,10 +419,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
     idf = _weights(items, held, blocks, limits)
     share = min(1.0, limits.fit_passages / max(blocks, 1))
     sample = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    for k in range(0, len(items), limits.rank):
-        some = items[k : k + limits.rank]
+    parts = _parts(items, limits.rank)
+    for k, some in enumerate(parts):
         column, rows = _item_matrix(some, _Slots(), idf)
-        basis = latent_basis(sample, column, idf, rows, limits)
+        basis = latent_basis(sample, column, idf, rows, replace(limits, rank=max(limits.rank, len(rows))))
         latent = rows @ basis
         found = texts.mapInArrow(_searcher(some, column, idf, basis, latent, limits), RESULT)
         result = found if k == 0 else result.unionByName(found)

@@ -304,3 +304,21 @@ def test_decontamination_with_a_third_of_the_rows_one_leaked_document(spark):
     assert {(d, 1) for d in range(150)} <= want and len(want) >= 150 + 17
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
     assert found == want
+
+
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(10)
+    vocabulary = made_words(rng, 6000)
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (97, 300, 400, 600, 2000)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        spread = [x for w in item for x in (w, rng.choice(vocabulary))]  # no two words of the item are neighbours
+        for form in (item, spread):
+            want.add((len(texts), k))
+            texts.append(" ".join(some(rng.randint(0, 90)) + form + some(rng.randint(0, 90))))
+    texts += [" ".join(items[4][:300])] + [" ".join(some(rng.randint(1, 900))) for _ in range(150)]
+    bench = spark.createDataFrame([(k, " ".join(i) + ".") for k, i in enumerate(items)], "item_id bigint, text string")
+    limits = decontaminate.Limits(rank=64)  # below the pieces of the longest item
+    for given in (decontaminate.Limits(), limits):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench, given).collect()} == want
