@@ -20,7 +20,10 @@ Beside it, pairs of neighbouring words that an item and a text share are counted
 item of m words with e words changed, left out or put in keeps m - 1 - 2e of them, so every copy with up to
 (1 - ``min_paraphrase``) m such edits (and fewer than half of its words) is a candidate, whatever the words weigh.
 
-Candidates (cosine of at least ``min_cosine``, or enough pairs) are verified on the words around the
+The cosine of a short item is low among rarer neighbours, so a passage that holds ``min_held`` of the item's squared
+weight is a candidate too, whatever else stands in it.
+
+Candidates (cosine of at least ``min_cosine``, enough weight or enough pairs) are verified on the words around the
 passage: the longest common subsequence must hold ``min_lcs`` of the item's words,
 or, for a paraphrase, ``min_paraphrase`` of them and, as the answer check,
 ``min_answer`` of the item's last sentence in order.
@@ -63,6 +66,7 @@ class Limits:
     least_weight: float = 1.0
     fit_passages: int = 200_000
     min_cosine: float = 0.4
+    min_held: float = 0.5
     min_lcs: float = 0.75
     min_paraphrase: float = 0.55
     min_answer: float = 0.9
@@ -299,11 +303,12 @@ def _parts(items: list[Item], rank: int) -> list[list[_Piece]]:
     return parts
 
 
-def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, limits: Limits):
+def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, norms: np.ndarray, limits: Limits):
     items = list({id(p.item): p.item for p in pieces}.values())
     place = {id(item): k for k, item in enumerate(items)}
     item_of = np.array([place[id(p.item)] for p in pieces])
     first = np.searchsorted(item_of, np.arange(len(items) + 1))
+    least = np.where(norms > 0, limits.min_held * norms, np.inf).astype(np.float32)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())]
     )
@@ -316,7 +321,8 @@ def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis:
                 continue
             y, _, _ = _project(b, column, idf, basis)
             weight = b.passages(np.add.reduceat(idf[b.slots] ** 2, b.starts))
-            cosine = (y @ latent.T) / np.sqrt(np.maximum(weight, 1e-9))[:, None]
+            common = y @ latent.T
+            cosine = common / np.sqrt(np.maximum(weight, 1e-9))[:, None]
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
 
             def check(p: int, k: int, before: int, after: int) -> None:
@@ -331,7 +337,7 @@ def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis:
                     new = (share, answer, float(cosine[p, first[k] : first[k + 1]].max()))
                     found[key] = max(old or new, new)
 
-            passage, piece = np.nonzero(cosine >= limits.min_cosine)
+            passage, piece = np.nonzero((cosine >= limits.min_cosine) | (common >= least))
             for p, k in np.unique(np.stack([passage, item_of[piece]], 1), axis=0):
                 reach = len(items[k].words) + len(items[k].words) // 4
                 check(int(p), int(k), reach, 2 * STRIDE + reach)
@@ -358,8 +364,8 @@ def _weights(items: list[Item], held: np.ndarray, blocks: float, limits: Limits)
     return idf.astype(np.float32)
 
 
-def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Column of each slot (-1: none) and the pieces' TF-IDF rows of length 1 over these columns."""
+def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column of each slot (-1: none), the pieces' TF-IDF rows of length 1 over these columns, their lengths before."""
     held = [[slots[w] for w in i.words] for i in items]
     used = np.unique(np.concatenate(held))
     column = np.full(SLOTS, -1, np.int64)
@@ -367,7 +373,8 @@ def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[n
     rows = np.zeros((len(items), len(used)), np.float32)
     for i, own in enumerate(held):
         np.add.at(rows[i], column[own], idf[own])
-    return column, rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    norms = np.linalg.norm(rows, axis=1)
+    return column, rows / np.maximum(norms, 1e-9)[:, None], norms
 
 
 def latent_basis(sample: DataFrame, column: np.ndarray, idf: np.ndarray, rows: np.ndarray, limits: Limits, power: int = 1) -> np.ndarray:
@@ -421,10 +428,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
     sample = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     parts = _parts(items, limits.rank)
     for k, some in enumerate(parts):
-        column, rows = _item_matrix(some, _Slots(), idf)
+        column, rows, norms = _item_matrix(some, _Slots(), idf)
         basis = latent_basis(sample, column, idf, rows, replace(limits, rank=max(limits.rank, len(rows))))
         latent = rows @ basis
-        found = texts.mapInArrow(_searcher(some, column, idf, basis, latent, limits), RESULT)
+        found = texts.mapInArrow(_searcher(some, column, idf, basis, latent, norms, limits), RESULT)
         result = found if k == 0 else result.unionByName(found)
     return result
 

@@ -322,3 +322,22 @@ def test_decontamination_of_long_items(spark):
     limits = decontaminate.Limits(rank=64)  # below the pieces of the longest item
     for given in (decontaminate.Limits(), limits):
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench, given).collect()} == want
+
+
+def test_decontamination_of_short_items_among_rare_words(spark):
+    rng = random.Random(11)
+    common, rare = made_words(rng, 400), iter(made_words(rng, 40_000))
+    some = lambda n: [next(rare) for _ in range(n)]
+    items = [rng.sample(common, n) for n in (8, 8, 9, 10, 12, 15)]
+    texts = []
+    for item in items:
+        spread = [x for w in item for x in (w, next(rare))]  # no two words of the item are neighbours
+        for form in (item, [*item[:3], next(rare), *item[4:]], spread):
+            texts.append(" ".join(some(rng.randint(40, 90)) + form + some(rng.randint(40, 90))))
+    planted = {(d, d // 3) for d in range(len(texts))}
+    texts += [" ".join(rng.choice(common) for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    bench = spark.createDataFrame([(k, " ".join(i) + ".") for k, i in enumerate(items)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    assert found == planted
+    exact = brute_leaks(texts, [" ".join(i) + "." for i in items], decontaminate.Limits())
+    assert exact <= found and len(exact) >= 12
