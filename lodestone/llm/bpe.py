@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding by prefix-sharing trie traversal.
 
 A text is cut at added tokens and into words by the byte-level pattern. The words
-of a chunk of texts that aren't known yet are put into a trie of bytes. A
-depth-first walk gives every trie node the last token of the encoding of its
-prefix: the one token that ends there and may follow the last token of the prefix
-before it. So a prefix that many words share is worked out once, and a word's
-encoding is read back from its node, last token by last token.
+of a chunk of texts that aren't known yet make a trie of bytes, held as its sorted
+leaves. A depth-first walk gives every trie node the last token of the encoding of
+its prefix: the one token that ends there and may follow the last token of the
+prefix before it. So a prefix that many words share is worked out once, and a
+word's encoding is read back from its node, last token by last token. A word of
+``LONG_WORD`` characters or more shares nothing worth its path and is walked alone.
 
 Token ``b`` may follow ``a`` if no merge crosses their boundary: going from the two
 whole tokens back through the merges that made them, latest first, no pair of
 pieces at the boundary has a merge that comes before the next merge of its sides.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text;
-texts are encoded whole at any length; repeated rows are encoded alike; bytes that
+texts and words are encoded whole at any length (a long word takes a few bytes of
+memory for each of its own); repeated rows are encoded alike; bytes that
 aren't UTF-8 decode to U+FFFD. Truncation and padding of the file aren't used.
 """
 
@@ -20,20 +22,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the word pattern of byte-level BPE, with Unicode white space written out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Words that a Python worker remembers, once as lately met and once as older ones.
-REMEMBERED = 150_000
+#: Bounds of what a task remembers: distinct words, once as lately met and once as older ones, and pairs of tokens. All of it goes when the task ends.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 100_000, 400_000
+#: Bytes from which a word is walked by itself and not remembered.
+LONG_WORD = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,7 +48,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(shifted)}
 
 
-#: Tries are nested dictionaries by byte; under this key a node has the token or word that ends there.
+#: The tokens' trie has nested dictionaries by byte; under this key a node has the token that ends there.
 HERE = -1
 
 
@@ -57,7 +62,8 @@ class Encoder:
         self.ids = {raw(t): i for t, i in file["model"]["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in file["added_tokens"]}
         self.size = {i: len(b) for b, i in self.ids.items()}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        texts = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.bytes_of = [texts.get(i, b"") for i in range(max(texts) + 1)]
         #: rank: place of the merge that makes a token (-1: a byte); parts: the two tokens it merges; pair: rank by parts.
         self.rank = dict.fromkeys(self.ids.values(), -1)
         self.parts: dict[int, tuple[int, int]] = {}
@@ -75,15 +81,19 @@ class Encoder:
                 node = node.setdefault(byte, {})
             node[HERE] = i
         self.follows: dict[int, bool] = {}
-        #: Encodings of words met lately, and those remembered before them.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: Encodings (32-bit ids) of words met lately, and those remembered before them.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
+    def forget(self) -> None:
+        """Drop all but the vocabulary: a Python worker outlives its task and would keep the rest."""
+        self.known, self.older, self.follows = {}, {}, {}
+
     def may_follow(self, a: int, b: int) -> bool:
         """Remembered under one integer for both tokens."""
-        if len(self.follows) > 600_000:
+        if len(self.follows) > REMEMBERED_PAIRS:
             self.follows.clear()
         found = self.follows[a << 20 | b] = not self._crossed(a, b)
         return found
@@ -103,75 +113,95 @@ class Encoder:
             else:
                 next_right, right = rank[right], self.parts[right][0]
 
+    def _grow(self, byte: int, depth: int, lasts, growing: list) -> tuple[int, list]:
+        """One step down a trie: (last token of the prefix of ``depth`` bytes, tokens that may still grow there).
+
+        ``growing`` has the tokens that may grow at the depth before, longest first: where each began, and its place in
+        the tokens' trie. The last token is the longest that ends here and may follow the last token before it."""
+        grown, last, follows, root = [], None, self.follows, self.tokens
+        for begin, place in growing:
+            place = place.get(byte)
+            if place is not None:
+                grown.append((begin, place))
+                if last is None and HERE in place:
+                    token = place[HERE]
+                    if begin:
+                        follow = follows.get(lasts[begin - 1] << 20 | token)
+                        if follow is None:
+                            follow = self.may_follow(lasts[begin - 1], token)
+                        if not follow:
+                            continue
+                    last = token
+        place = root[byte]
+        grown.append((depth - 1, place))
+        return place[HERE] if last is None else last, grown
+
+    def _ids(self, lasts) -> bytes:
+        """The encoding of the prefix that ``lasts`` ends with, read back from its last token."""
+        ids, at, size = array("i"), len(lasts), self.size
+        while at:
+            token = lasts[at - 1]
+            ids.append(token)
+            at -= size[token]
+        ids.reverse()
+        return ids.tobytes()
+
     def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words: build their trie, then walk it depth first.
-
-        On the way down, ``reach[d]`` has the tokens that may still grow at depth d: where each began, and its place in
-        the tokens' trie. ``lasts[d - 1]`` is the last token of the prefix of d bytes; if no longer token may be, it is the
-        byte's own."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode("utf-8", "surrogatepass"):
-                below = node.get(byte)
-                if below is None:
-                    below = node[byte] = {}
-                node = below
-            node[HERE] = word
-        stack = [(byte, 1, child) for byte, child in root.items()]
-        lasts, reach, tokens, size, follows = [], [[]], self.tokens, self.size, self.follows
-        while stack:
-            byte, depth, node = stack.pop()
-            before = depth - 1
-            del lasts[before:], reach[depth:]
-            growing, last = [], None
-            for state in reach[before]:
-                place = state[1].get(byte)
-                if place is not None:
-                    begin = state[0]
-                    growing.append((begin, place))
-                    if last is None and HERE in place:
-                        token = place[HERE]
-                        if begin:
-                            follow = follows.get(lasts[begin - 1] << 20 | token)
-                            if follow is None:
-                                follow = self.may_follow(lasts[begin - 1], token)
-                            if not follow:
-                                continue
-                        last = token
-            place = tokens[byte]
-            growing.append((before, place))
-            lasts.append(place[HERE] if last is None else last)
-            reach.append(growing)
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((b, depth + 1, child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        token = lasts[at - 1]
-                        ids.append(token)
-                        at -= size[token]
-                    ids.reverse()
-                    self.known[child] = tuple(ids)
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Ids of each text. Distinct new words of all texts share one trie."""
+        """Encode distinct words by a depth-first walk of their trie.
+
+        Sorted by bytes, the words are the trie's leaves in order: what a word shares with the one before it is the path
+        that stays, so each distinct prefix is visited once and no node need be stored. On the path, ``reach[d]`` has the
+        tokens that may still grow at depth d, ``lasts[d - 1]`` the last token of the prefix of d bytes."""
+        grow, known = self._grow, self.known
+        lasts: list[int] = []
+        reach: list[list] = [[]]
+        before = b""
+        for key, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            depth = 0
+            for a, b in zip(before, key):
+                if a != b:
+                    break
+                depth += 1
+            del lasts[depth:], reach[depth + 1 :]
+            growing = reach[depth]
+            for byte in key[depth:]:
+                depth += 1
+                last, growing = grow(byte, depth, lasts, growing)
+                lasts.append(last)
+                reach.append(growing)
+            known[word] = self._ids(lasts)
+            before = key
+
+    def encode_long(self, word: str) -> bytes:
+        """The same walk for one long word: four bytes are kept for each of its bytes."""
+        lasts, growing = array("i"), []
+        for depth, byte in enumerate(word.encode("utf-8", "surrogatepass"), 1):
+            last, growing = self._grow(byte, depth, lasts, growing)
+            lasts.append(last)
+        return self._ids(lasts)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, 32 bits each. Distinct new words of all texts share one trie."""
         cut = []
         for text in texts:
             parts = [text or ""]
             if self.cut and any(a in parts[0] for a in self.added):
                 parts = self.cut.split(parts[0])
             cut.append([[p] if p in self.added else self.words.findall(p) for p in parts])
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
         new = set(chain.from_iterable(chain.from_iterable(cut))) - self.known.keys() - self.added.keys()
         again = new & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
-        self.learn(new - again)
-        self.known.update((a, (i,)) for a, i in self.added.items())
+        new -= again
+        long = {w for w in new if len(w) >= LONG_WORD}
+        self.learn(new - long)
+        self.known.update((w, self.encode_long(w)) for w in long)
+        self.known.update((a, array("i", [i]).tobytes()) for a, i in self.added.items())
         for parts in cut:
-            yield list(chain.from_iterable(map(self.known.__getitem__, chain.from_iterable(parts))))
+            yield b"".join(map(self.known.__getitem__, chain.from_iterable(parts)))
+        for word in long:
+            del self.known[word]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -195,6 +225,28 @@ def _share(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _batches(shared, columns: int, chars: int, batches: Iterator[pa.RecordBatch]):
+    """(encoder, slice, encodings of its texts) for slices of about ``chars`` characters; texts are the last column."""
+    encoder = _encoder(shared)
+    try:
+        for batch in batches:
+            texts = batch.column(columns)
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(batch):
+                base = sizes[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, base + chars, "right")))
+                yield encoder, batch.slice(begin, end - begin), list(encoder.encode(texts.slice(begin, end - begin).to_pylist()))
+                begin = end
+    finally:
+        encoder.forget()
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, chars: int = 500_000) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), the tokens of its whole ``text``; a column ``ids`` is replaced."""
     shared = _share(docs.sparkSession, path)
@@ -203,53 +255,51 @@ def encode(docs: DataFrame, path: str, chars: int = 500_000) -> DataFrame:
     place = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            sizes = np.cumsum([len(t) if (t := x.as_py()) else 0 for x in batch.column(place)])
-            begin = 0
-            while begin < len(batch):
-                base = sizes[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(sizes, base + chars, "right")))
-                part = batch.slice(begin, end - begin)
-                ids = pa.array(list(encoder.encode(part.column(place).to_pylist())), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*own, "ids"])
-                begin = end
+        for _, part, found in _batches(shared, place, chars, batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], names=[*own, "ids"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
     return docs.select(*own).mapInArrow(run, schema)
 
 
-def _decoder(shared, names: list[str]):
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, decoded): the text of each row's ``ids``; null ids give the empty text."""
+    shared = _share(encoded.sparkSession, path)
+    kind = encoded.schema[id_col].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            n, digests, texts = [], [], []
-            for cell in batch.column(batch.num_columns - 1):
-                ids = np.asarray(cell.values if cell.values is not None else [], np.int32)
-                n.append(len(ids))
-                digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                texts.append(encoder.decode(ids.tolist()))
-            new = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "n_tokens", "ids_sha256", "decoded"])
+            texts = pa.array([encoder.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[id_col, "decoded"])
 
-    return run
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, decoded string")
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids, n_tokens, ids_sha256, decoded): the text of each row's ``ids``, and a digest of the ids as little-endian uint32."""
-    shared = _share(encoded.sparkSession, path)
-    kind = encoded.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded string"
-    return encoded.select(id_col, "ids").mapInArrow(_decoder(shared, [id_col, "ids"]), schema)
+def round_trip(docs: DataFrame, path: str, with_ids: bool = True, chars: int = 500_000) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document, without ``ids`` on request.
 
+    ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the text that they decode to.
+    One Python worker encodes and decodes, so a vocabulary is held once for each task."""
+    shared = _share(docs.sparkSession, path)
+    names = ["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for encoder, part, found in _batches(shared, 1, chars, batches):
+            n, digests, back = [], [], []
+            for ids in found:
+                own = np.frombuffer(ids, np.int32)
+                n.append(len(own))
+                digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                back.append(hashlib.sha256(encoder.decode(own.tolist()).encode()).hexdigest())
+            cols = [part.column(0), pa.array(n, pa.int64()), *([_lists(found)] if with_ids else []), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
-    back = decode(encode(docs.select("doc_id", "text"), path), path)
-    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
-    return back.select("doc_id", "n_tokens", "ids", "ids_sha256", decoded.alias("decoded_sha256"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens bigint, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """``round_trip`` without the ids."""
-    return round_trip(docs, path).drop("ids")
+    return round_trip(docs, path, with_ids=False)
