@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,20 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a fresh local one, but on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    """A new path under the shared folder, with its scheme; removed when the driver's JVM ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}")
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(jpath)
+    return fs.makeQualified(jpath).toString()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +59,24 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with the one row of their group in ``groups`` (keys, n_rows, other columns), of a cut table.
+
+    Groups with at least 1 / ``share`` of the rows counted in n_rows, of which there can't be more than ``share``, are
+    broadcast, and their rows are dealt out by ``spread`` instead of the key, so that no task gets a whole hot group."""
+    total = groups.agg(F.sum("n_rows")).first()[0] or 0
+    values = [c for c in groups.columns if c not in (*keys, "n_rows")]
+    is_hot = F.col("n_rows") * share >= total
+    packed = lambda name: F.struct(*values).alias(name)
+    hot = groups.where(is_hot).select(*keys, packed("_hot"))
+    cold = groups.where(~is_hot).select(*keys, F.lit(-1).cast("bigint").alias("_deal"), packed("_cold"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_deal", F.when(F.col("_hot").isNull(), F.lit(-1).cast("bigint")).otherwise(F.pmod(spread, F.lit(1 << 40)))
+    )
+    joined = dealt.join(cold, [*keys, "_deal"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    return joined.select(*rows.columns, *(F.col("_group")[v].alias(v) for v in values))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null gives no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))

@@ -325,6 +325,16 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are the least of their component; others go. A null id stays."""
+    """One document of each component, the one of the least id; others go.
+
+    Of rows with one id and one text, one stays. Rows with one id and several texts are one document: it is linked where
+    any of them is, and goes or stays whole. A null id stays."""
     first = similarity_classes(docs.where(F.col(id_col).isNotNull()), percent, size, id_col).where("doc_id != component_id")
-    return docs.join(first.select(F.col("doc_id").alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    left = docs.join(first.select(F.col("doc_id").alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    # Ids alone are shuffled to find repeated ones; texts are only where there are any.
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("_rows"))
+    again = cut(ids.where("_rows > 1").select("_again"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, "text"])
+    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)

@@ -5,8 +5,9 @@ often the character class changes and how unusual letter pairs are, the share of
 letters covered by dictionary words, what the path says (tests, examples, docs) and
 words beside the candidate. The forest (Spark ML) is trained on labelled findings,
 a table (candidate, before, after, path, label) of bounded size: at most about
-``fit_rows`` of it by hash. The dictionary is the ``DICTIONARY`` commonest words of
-the whole corpus, letters only, of four letters or more; ties by word.
+``fit_rows`` of it by hash. The dictionary is the commonest words of the whole
+corpus, ``DICTIONARY`` at most, letters only, of four letters or more; ties are
+taken or left together.
 
 Defined cases: null and empty texts have no candidates; a null path says nothing;
 repeated rows are scanned one by one; offsets count code points, end exclusive;
@@ -25,6 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut, drop_cut
+
 DICTIONARY = 20_000
 #: Shapes of keys. ``text`` is any long run of key characters.
 KINDS = {
@@ -80,10 +83,22 @@ FINDINGS = "doc_id bigint, start bigint, stop bigint, kind string, candidate str
 
 
 def dictionary_of(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
-    """The commonest words of letters only, at most ``size`` of them."""
+    """The commonest words of letters only: all words of as many frequency classes, from the top, as make ``size`` words at most.
+
+    A class is one count up to 64 and a sixteenth of an octave above, so the driver gets about a thousand classes and
+    ``size`` words, whatever the corpus. Ties are taken or left together."""
     split = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 4)
-    top = split.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size)
-    return frozenset(r.w for r in top.select("w").collect())
+    level = F.when(F.col("count") <= 64, F.col("count")).otherwise((16 * F.log2("count")).cast("bigint"))
+    counts = cut(split.groupBy("w").count().select("w", level.alias("level")), "word-levels")
+    least, total = None, 0
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > size:
+            break
+        least = row.level
+    found = frozenset(r.w for r in counts.where(F.col("level") >= least).select("w").collect()) if least is not None else frozenset()
+    drop_cut(counts)
+    return found
 
 
 def find(docs: DataFrame, dictionary: frozenset[str], path_col: str = "source") -> DataFrame:

@@ -14,7 +14,8 @@ Files are written and read through pyarrow's file systems under the shared folde
 A failed or repeated task leaves a file that no manifest row names.
 
 Defined cases: null pages have an empty payload; a null address leaves out the
-target header; repeated rows are written again and the first is the response for
+target header; a page without an id is written under no number and comes back without
+one, as a revisit if a page with an id has its payload, else as a response; repeated rows are written again and the first is the response for
 all; text is written as UTF-8 at any length; an empty table gives no records.
 """
 
@@ -33,16 +34,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shared_path
+from lodestone.llm.common import cut, join_groups, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
+#: Reading tasks at most; beyond it a task reads several ranges.
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = re.compile(r"<urn:page:(-?\d+)>")
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The file system of a qualified path (``shared_path``), and the path there."""
+    return (pafs.LocalFileSystem(), path[5:].replace("//", "", 1)) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -52,14 +55,15 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def _record(page_id: int, url: str | None, payload: bytes, digest: str, first: int) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+    name = "<urn:page:{}>".format
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Type", "response" if first == page_id else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE)]
+    headers = [("WARC-Type", "response" if first == page_id else "revisit"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         headers.append(("WARC-Target-URI", quote(url, safe="%/:?#[]@!$&'()*+,;=~")))
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if first != page_id:
-        headers += [("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Profile", PROFILE)]
+        headers += [("WARC-Refers-To", name(first)), ("WARC-Profile", PROFILE)]
         return member(headers, http)
     return member(headers, http + payload)
 
@@ -98,12 +102,15 @@ def _writer(folder: str, file_bytes: int):
 def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to new files in the shared folder; the manifest (path, size, records)."""
     payload = F.coalesce("html", F.lit(""))
-    sized = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("_sha"), F.octet_length(payload).alias("_n"))
-    firsts = sized.groupBy("_sha", "_n").agg(F.min("page_id").alias("_first"))
-    linked = sized.join(firsts, ["_sha", "_n"])
-    first = F.when(F.col("_n") >= min_bytes, F.col("_first")).otherwise(F.col("page_id"))
+    sized = pages.select(
+        F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("_sha"), F.octet_length(payload).alias("_n")
+    )
+    # Only payloads that occur again need their first page; the pages themselves are shuffled by payload only if those are many.
+    firsts = cut(sized.groupBy("_sha", "_n").agg(F.count("*").alias("n_rows"), F.min("page_id").alias("_first")).where("n_rows > 1"), "warc-firsts")
+    linked = join_groups(sized, firsts, ["_sha", "_n"], F.xxhash64("page_id", "url"))
+    first = F.when(F.col("_n") >= min_bytes, F.coalesce("_first", "page_id")).otherwise(F.col("page_id"))
     folder = shared_path(pages.sparkSession, "warc")
-    manifest = linked.select(F.col("page_id").cast("bigint"), "url", "html", first.cast("bigint").alias("first")).mapInArrow(
+    manifest = linked.select("page_id", "url", "html", first.alias("first")).mapInArrow(
         _writer(folder, file_bytes), "path string, size bigint, records bigint"
     )
     return cut(manifest, "warc-manifest")
@@ -219,7 +226,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """All records of the files in ``manifest`` (path, size), read by byte ranges of ``split_bytes``."""
     starts = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split_bytes))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop"))
-    return ranges.repartition("path", "start").mapInArrow(_reader, RECORDS)
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0]
+    # A stated number of partitions is not coalesced: the rows are tiny, the work behind them isn't.
+    return ranges.repartition(max(1, min(int(n or 1), MOST_TASKS))).mapInArrow(_reader, RECORDS)
 
 
 def _base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +246,7 @@ def digest(pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     manifest = write_archives(pages.select("page_id", "url", "html"))
     read = read_archives(manifest, split_bytes).where("warc_type IN ('response', 'revisit')").mapInArrow(_base32, RECORDS + ", payload_digest string")
     response = F.col("warc_type") == "response"
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("bigint")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("bigint")
     return read.select(
         number("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("http_length")).alias("payload_bytes"),

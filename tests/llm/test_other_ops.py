@@ -9,7 +9,9 @@ import pytest
 
 import corpus_pipeline
 from lodestone.llm import license_scan, pii, quality_classifier, registry, secret_scan, warc
-from lodestone.llm.common import cut, table
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import cut, join_groups, shared_dir, table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kind string, start string, stop string, label string, features string"
 
@@ -41,6 +43,9 @@ def test_secret_scan(spark):
     got = {(r.doc_id, r.candidate): r for r in secret_scan.scan(frame(spark, texts), secret_scan.example_findings(spark, 1200)).collect()}
     assert got[0, key].is_secret and (got[0, key].start, got[0, key].stop) == (11, 51) and got[6, key].probability == got[0, key].probability
     assert not got[1, "internationalizationalized"].is_secret and not got[4, key].is_secret
+    words = "alpha " * 70 + "gamma " * 66 + "delta " * 3 + "omega " * 3 + "beta"
+    of = lambda n: secret_scan.dictionary_of(frame(spark, [words]), n)
+    assert of(9) == {"alpha", "gamma", "delta", "omega", "beta"} and of(3) == {"alpha", "gamma"} and of(0) == set()
     assert secret_scan.scan(frame(spark, []), secret_scan.example_findings(spark, 400)).count() == 0
 
 
@@ -137,6 +142,45 @@ def test_warc_round_trip(spark, split):
     assert len(got) == len(rows)
 
 
+def test_warc_reads_in_several_tasks(spark):
+    html = [hashlib.sha512(str(i).encode()).hexdigest() * 40 for i in range(300)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id bigint, url string, html string").repartition(6)
+    manifest = warc.write_archives(pages, file_bytes=10_000)
+    read = warc.read_archives(manifest, 4096).where("warc_type != 'warcinfo'")
+    assert manifest.count() > 1 and read.select(F.spark_partition_id().alias("p"), "record_id").distinct().select("p").distinct().count() > 1
+    assert sorted(bytes(r.payload).decode() for r in read.collect()) == sorted(html)
+
+
+def test_warc_pages_without_an_id(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (None, "v", "b"), (7, None, "b"), (9, "w", "c"), (9, "w", "c")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.digest(pages).collect())
+    assert got == [(0, "response", 0, 1)] * 2 + [(0, "revisit", 7, 1), (7, "response", 0, 1)] + [(9, "response", 0, 1)] * 2
+
+
+def test_join_groups_spreads_hot_groups(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)], "k bigint, v bigint")
+    groups = cut(rows.groupBy("k").agg(F.count("*").alias("n_rows"), F.min("v").alias("first")).where("n_rows > 1"), "groups")
+    got = join_groups(rows, groups, ["k"], F.xxhash64("v"), share=10)
+    assert {(r.k, r.v, r.first) for r in got.collect()} == {(i % 3, i, i % 3) if i < 900 else (i, i, None) for i in range(1000)}
+    assert join_groups(rows, groups.limit(0), ["k"], F.xxhash64("v")).count() == 1000
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session)
+
+
 def test_warc_small_payloads_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id bigint, url string, html string")
     read = warc.read_archives(warc.write_archives(pages, min_bytes=3)).where("warc_type != 'warcinfo'")

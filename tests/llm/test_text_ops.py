@@ -13,12 +13,12 @@ from lodestone.llm.common import byte_bpe_path
 from lodestone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _words string, n string, kept string, line string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _words string, n string, kept string, line string, _doc string, _gone string"
 
 
 def frame(spark, texts, ids=None):
     """Documents with extra columns whose names the operators use inside."""
-    rows = [(i, t, "en", None, 1, "x", "x", "x", "x") for i, t in zip(ids or range(len(texts)), texts)]
+    rows = [(i, t, "en", None, 1, "x", "x", "x", "x", "x", "x") for i, t in zip(ids or range(len(texts)), texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -61,8 +61,10 @@ def test_quality_order_never_changes_the_verdict(spark):
     assert kept == {i for i, t in enumerate(odd_texts()) if brute_quality(t)[6]}
     for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
         where = quality_rules.with_words(docs).where(f"({quality_rules.cascade_sql(order)}) IS NULL")
-        assert {r.doc_id for r in where.select("doc_id").collect()} == kept
-    assert quality_rules.keep(docs).columns == docs.columns
+        assert {r.doc_id for r in where.select("_row.doc_id").collect()} == kept
+    left = quality_rules.keep(docs)
+    assert left.dtypes == docs.dtypes and {r._words for r in left.collect()} == {"x"}
+    assert quality_rules.judge(docs).drop("rejected_by", "kept").dtypes == [d for d in docs.dtypes if d[0] != "kept"]
 
 
 def test_quality_order_is_rejections_per_cost():
@@ -189,8 +191,12 @@ def test_keep_one_and_empty(spark):
     docs = frame(spark, ["a b c d e f g"] * 3 + ["other words are in here now", None, ""])
     assert {r.doc_id for r in jaccard_join.keep_one_per_group(docs).collect()} == {0, 3, 4, 5}
     assert jaccard_join.similarity_classes(frame(spark, [])).count() == 0
-    again = jaccard_join.similarity_classes(frame(spark, ["a b c"] * 3, ids=[4, 4, 9])).collect()
+    copies = frame(spark, ["a b c"] * 3, ids=[4, 4, 9])
+    again = jaccard_join.similarity_classes(copies).collect()
     assert {(r.doc_id, r.component_id) for r in again} == {(4, 4), (9, 4)}
+    assert [r.doc_id for r in jaccard_join.keep_one_per_group(copies).collect()] == [4]
+    several = frame(spark, ["a b c", "other words", "a b c", "a b c"], ids=[4, 4, None, None])
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard_join.keep_one_per_group(several).collect()) == [(0, "a b c")] * 2 + [(4, "a b c"), (4, "other words")]
 
 
 def test_components(spark):
@@ -226,9 +232,29 @@ def test_bpe(spark, reference_tokenizer):
     assert bpe.digest(frame(spark, []), byte_bpe_path()).count() == 0
 
 
+def test_bpe_of_one_long_word(reference_tokenizer):
+    import tracemalloc
+
+    with open(byte_bpe_path(), encoding="utf-8") as f:
+        encoder = bpe.Encoder(f.read())
+    rng = random.Random(3)
+    odd = "".join(rng.choice("abcdefgé") for _ in range(20_000))
+    for word in ("ab" * 3000, odd, odd[:1023], odd[:1024]):
+        (ids,) = encoder.encode([word])
+        assert np.frombuffer(ids, np.int32).tolist() == reference_tokenizer.encode(word, add_special_tokens=False).ids
+    tracemalloc.start()
+    (ids,) = encoder.encode(["x" * 5_000_000])
+    assert encoder.decode(np.frombuffer(ids, np.int32).tolist()) == "x" * 5_000_000
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    encoder.forget()
+    assert not (encoder.known or encoder.older or encoder.follows)
+
+
 def test_bpe_keeps_columns(spark):
     docs = frame(spark, ["one two"])
     out = bpe.encode(docs, byte_bpe_path())
+    assert [r.decoded for r in bpe.decode(out, byte_bpe_path()).collect()] == ["one two"]
     assert out.columns == [*docs.columns, "ids"] and bpe.encode(out, byte_bpe_path()).columns == out.columns
 
 
