@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def duck(sf):
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return None
     if isinstance(x, (bool,)) or type(x).__name__ == "bool_":
         return bool(x)
