@@ -28,16 +28,21 @@ passage: the longest common subsequence must hold ``min_lcs`` of the item's word
 or, for a paraphrase, ``min_paraphrase`` of them and, as the answer check,
 ``min_answer`` of the item's last sentence in order.
 
-Defined cases: null and empty texts match nothing; an item of under ``min_words``
-words is ignored, for it can't be told from common phrases; repeated rows are
-checked one by one; extra columns are ignored. No items give an empty result.
+A document is read once for ``parts_at_once`` parts of ``rank`` items each, and the driver holds the items of that
+many parts at a time.
+
+Defined cases: null and empty texts match nothing; an item of under ``min_words`` words is found only where all of its
+words stand in a row, and one of under ``min_exact_words``, which can't be told from common phrases, isn't looked for;
+items with equal texts are found one by one; repeated rows are checked one by one, rows without an id too; extra columns
+are ignored. No items give an empty result. One row for each document and item: of several places the best, by the
+share of the item, then of the answer, then the cosine.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +76,8 @@ class Limits:
     min_paraphrase: float = 0.55
     min_answer: float = 0.9
     min_words: int = 8
+    min_exact_words: int = 5
+    parts_at_once: int = 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -125,18 +132,17 @@ def _blocks(texts: list[str | None], slots: _Slots) -> _Blocks:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 400_000):
-    """(first column, texts) of bounded size; one text is never split."""
-    ids, texts, size = [], [], 0
+    """Lists of the columns, of which the second is the text, of bounded size; one text is never split."""
+    rows, size = [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids.append(key.as_py())
-            texts.append(text.as_py())
-            size += len(texts[-1] or "")
+        for row in zip(*batch.columns, strict=True):
+            rows.append([x.as_py() for x in row])
+            size += len(rows[-1][1] or "")
             if size >= chars:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield list(zip(*rows))
+                rows, size = [], 0
+    if rows:
+        yield list(zip(*rows))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,25 +174,34 @@ def _project(b: _Blocks, column: np.ndarray, idf: np.ndarray, basis: np.ndarray)
     return b.passages(by_block), at, col
 
 
-def _multiplier(column: np.ndarray, idf: np.ndarray, omega: np.ndarray):
+def _multiplier(columns: list[np.ndarray], idf: list[np.ndarray], omegas: list[np.ndarray]):
+    """Rows of A^T A omega for each part, summed over the passages seen."""
+
+    def add(out: np.ndarray, b: _Blocks, column: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> None:
+        y, at, col = _project(b, column, idf, omega)
+        if not len(at):
+            return
+        # A word counts in the passage that starts at its block and in the one that ends there.
+        y[1:] += np.where((b.owner[1:] == b.owner[:-1])[:, None], y[:-1], 0)
+        order = at[np.argsort(col[at], kind="stable")]
+        first = np.flatnonzero(np.diff(col[order], prepend=-1))
+        block = b.block_of
+        for k in range(0, omega.shape[1], 32):
+            rows = y[block[order], k : k + 32] * idf[b.slots[order], None]
+            out[col[order][first], k : k + 32] += np.add.reduceat(rows, first, axis=0)
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of A^T A omega, summed over the passages seen."""
-        slots, out = _Slots(), np.zeros(omega.shape, np.float64)
+        slots, sums = _Slots(), [np.zeros(omega.shape, np.float64) for omega in omegas]
         for _, texts in _chunks(batches):
             b = _blocks(texts, slots)
-            y, at, col = _project(b, column, idf, omega)
-            if len(at):
-                # A word counts in the passage that starts at its block and in the one that ends there.
-                y[1:] += np.where((b.owner[1:] == b.owner[:-1])[:, None], y[:-1], 0)
-                order = at[np.argsort(col[at], kind="stable")]
-                first = np.flatnonzero(np.diff(col[order], prepend=-1))
-                block = b.block_of
-                for k in range(0, omega.shape[1], 32):
-                    part = y[block[order], k : k + 32] * idf[b.slots[order], None]
-                    out[col[order][first], k : k + 32] += np.add.reduceat(part, first, axis=0)
-        used = np.flatnonzero(out.any(axis=1))
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(out[used].ravel()), omega.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), flat.cast(pa.list_(pa.float64()))], names=["col", "row"])
+            for each in zip(sums, columns, idf, omegas, strict=True):
+                add(each[0], b, *each[1:])
+        for part, out in enumerate(sums):
+            used = np.flatnonzero(out.any(axis=1))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(out[used].ravel()), out.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(used), part, np.int32)), pa.array(used), flat.cast(pa.list_(pa.float64()))], names=["part", "col", "row"]
+            )
 
     return multiply
 
@@ -303,48 +318,82 @@ def _parts(items: list[Item], rank: int) -> list[list[_Piece]]:
     return parts
 
 
-def _searcher(pieces: list[_Piece], column: np.ndarray, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, norms: np.ndarray, limits: Limits):
-    items = list({id(p.item): p.item for p in pieces}.values())
-    place = {id(item): k for k, item in enumerate(items)}
-    item_of = np.array([place[id(p.item)] for p in pieces])
-    first = np.searchsorted(item_of, np.arange(len(items) + 1))
-    least = np.where(norms > 0, limits.min_held * norms, np.inf).astype(np.float32)
+@dataclass
+class _Space:
+    """A part of the items with its latent space."""
+
+    pieces: list[_Piece]
+    column: np.ndarray
+    idf: np.ndarray
+    basis: np.ndarray
+    latent: np.ndarray
+    norms: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.items = list({id(p.item): p.item for p in self.pieces}.values())
+        place = {id(item): k for k, item in enumerate(self.items)}
+        self.item_of = np.array([place[id(p.item)] for p in self.pieces])
+        self.first = np.searchsorted(self.item_of, np.arange(len(self.items) + 1))
+
+    def search(self, b: _Blocks, shared: _Shared, limits: Limits) -> Iterator[tuple[int, Item, tuple[float, float, float]]]:
+        """(text, item, (share of the item, of its answer, cosine)) of the leaks in some texts."""
+        y, _, _ = _project(b, self.column, self.idf, self.basis)
+        weight = b.passages(np.add.reduceat(self.idf[b.slots] ** 2, b.starts))
+        common = y @ self.latent.T
+        cosine = common / np.sqrt(np.maximum(weight, 1e-9))[:, None]
+        found: dict[tuple[int, int], tuple[float, float, float]] = {}
+
+        def check(p: int, k: int, before: int, after: int) -> None:
+            key = (int(b.owner[p]), k)
+            low, high = b.ends[key[0]]
+            old = found.get(key)
+            if old is not None and old[:2] == (1.0, 1.0):
+                return
+            near = b.words[max(low, b.starts[p] - before) : min(high, b.starts[p] + after)]
+            share, answer, leaked = judge(self.items[k], near, limits)
+            if leaked:
+                new = (share, answer, float(cosine[p, self.first[k] : self.first[k + 1]].max()))
+                found[key] = max(old or new, new)
+
+        least = np.where(self.norms > 0, limits.min_held * self.norms, np.inf).astype(np.float32)
+        passage, piece = np.nonzero((cosine >= limits.min_cosine) | (common >= least))
+        for p, k in np.unique(np.stack([passage, self.item_of[piece]], 1), axis=0):
+            reach = len(self.items[k].words) + len(self.items[k].words) // 4
+            check(int(p), int(k), reach, 2 * STRIDE + reach)
+        for p, k in shared.places(b):
+            size = len(self.items[k].words)
+            check(p, k, size, STRIDE + size + int(shared.edits[k]))
+        return ((t, self.items[k], v) for (t, k), v in found.items())
+
+
+def _verbatim(b: _Blocks, short: dict[tuple[bytes, ...], list[Item]]) -> set[tuple[int, int]]:
+    """(text, item) where all words of a short item stand in a row."""
+    out = set()
+    for n in {len(w) for w in short}:
+        for text, (low, high) in b.ends.items():
+            for i in range(low, high - n + 1):
+                if found := short.get(tuple(b.words[i : i + n])):
+                    out.update((text, item.item_id) for item in found)
+    return out
+
+
+def _searcher(spaces: list[_Space], short: list[Item], limits: Limits):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())]
+        [("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64()), ("_text", pa.int64())]
     )
+    whole: dict[tuple[bytes, ...], list[Item]] = {}
+    for item in short:
+        whole.setdefault(tuple(item.words), []).append(item)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, shared = _Slots(), _Shared(items, limits)
-        for ids, texts in _chunks(batches):
+        slots, shared = _Slots(), [_Shared(space.items, limits) for space in spaces]
+        for ids, texts, keys in _chunks(batches):
             b = _blocks(texts, slots)
             if not len(b.starts):
                 continue
-            y, _, _ = _project(b, column, idf, basis)
-            weight = b.passages(np.add.reduceat(idf[b.slots] ** 2, b.starts))
-            common = y @ latent.T
-            cosine = common / np.sqrt(np.maximum(weight, 1e-9))[:, None]
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
-
-            def check(p: int, k: int, before: int, after: int) -> None:
-                key = (int(b.owner[p]), k)
-                low, high = b.ends[key[0]]
-                old = found.get(key)
-                if old is not None and old[:2] == (1.0, 1.0):
-                    return
-                near = b.words[max(low, b.starts[p] - before) : min(high, b.starts[p] + after)]
-                share, answer, leaked = judge(items[k], near, limits)
-                if leaked:
-                    new = (share, answer, float(cosine[p, first[k] : first[k + 1]].max()))
-                    found[key] = max(old or new, new)
-
-            passage, piece = np.nonzero((cosine >= limits.min_cosine) | (common >= least))
-            for p, k in np.unique(np.stack([passage, item_of[piece]], 1), axis=0):
-                reach = len(items[k].words) + len(items[k].words) // 4
-                check(int(p), int(k), reach, 2 * STRIDE + reach)
-            for p, k in shared.places(b):
-                size = len(items[k].words)
-                check(p, k, size, STRIDE + size + int(shared.edits[k]))
-            rows = [(ids[t], items[k].item_id, c, s, a) for (t, k), (s, a, c) in sorted(found.items())]
+            rows = [(t, item.item_id, c, s, a) for space, pairs in zip(spaces, shared, strict=True) for t, item, (s, a, c) in space.search(b, pairs, limits)]
+            rows += [(t, item, None, 1.0, 1.0) for t, item in _verbatim(b, whole)]
+            rows = [(ids[t], *r, keys[t]) for t, *r in sorted(rows, key=lambda r: r[:2])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
@@ -377,43 +426,37 @@ def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[n
     return column, rows / np.maximum(norms, 1e-9)[:, None], norms
 
 
-def latent_basis(sample: DataFrame, column: np.ndarray, idf: np.ndarray, rows: np.ndarray, limits: Limits, power: int = 1) -> np.ndarray:
+def latent_bases(sample: DataFrame, matrices: list[tuple[np.ndarray, np.ndarray]], idf: list[np.ndarray], limits: Limits, power: int = 1) -> list[np.ndarray]:
     """Leading right singular vectors of sampled passages and weighted items, by randomised subspace iteration.
 
-    What reaches the driver is a matrix of the items' distinct words by ``rank``."""
-    rank = min(limits.rank, rows.shape[1])
-    q = np.random.default_rng(5).standard_normal((rows.shape[1], rank)).astype(np.float32)
+    ``matrices`` has (column of each slot, rows of the pieces) of each part; all parts share each pass over the sample. What
+    reaches the driver is a matrix of a part's distinct words by ``rank``."""
+    bases = []
+    for _, rows in matrices:
+        rank = min(max(limits.rank, len(rows)), rows.shape[1])
+        bases.append(np.random.default_rng(5).standard_normal((rows.shape[1], rank)).astype(np.float32))
     for _ in range(power + 1):
-        out = np.zeros(q.shape)
+        out = [np.zeros(q.shape) for q in bases]
         sums = (
-            sample.mapInArrow(_multiplier(column, idf, q), "col bigint, row array<double>")
-            .groupBy("col")
+            sample.mapInArrow(_multiplier([c for c, _ in matrices], idf, bases), "part int, col bigint, row array<double>")
+            .groupBy("part", "col")
             .agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
         )
-        for col, row in sums.toLocalIterator():
-            out[col] = row
-        own = rows.T @ (rows @ q)
-        out += limits.item_weight * max(1e-9, np.linalg.norm(out) / max(1e-9, np.linalg.norm(own))) * own
-        q = np.linalg.qr(out)[0].astype(np.float32)
-    return q
+        for part, col, row in sums.toLocalIterator():
+            out[part][col] = row
+        for k, (_, rows) in enumerate(matrices):
+            own = rows.T @ (rows @ bases[k])
+            out[k] += limits.item_weight * max(1e-9, np.linalg.norm(out[k]) / max(1e-9, np.linalg.norm(own))) * own
+            bases[k] = np.linalg.qr(out[k])[0].astype(np.float32)
+    return bases
 
 
 RESULT = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, answer_share): each document with each benchmark item that it holds.
-
-    Items are taken in parts of ``rank`` pieces or one longer item, each with a latent space of its own."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    items = [Item.of(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator()]
-    items = [i for i in items if len(i.words) >= limits.min_words]
-    result = spark.createDataFrame([], RESULT)
-    if not items:
-        return result
-    held = np.zeros(SLOTS)
-    blocks = 0.0
+def _counts(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """Occurrences of each slot in distinct texts, and the number of blocks."""
+    held, blocks = np.zeros(SLOTS), 0.0
     keyed = texts.select(F.xxhash64("text").alias("key"), "text")
     # Written first, so that its size is known and a small one is broadcast: the texts aren't shuffled.
     copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
@@ -423,20 +466,62 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
             blocks = n
         else:
             held[slot] = n
-    idf = _weights(items, held, blocks, limits)
+    return held, blocks
+
+
+def _groups(items: Iterator[Item], limits: Limits) -> Iterator[tuple[list[list[_Piece]], list[Item]]]:
+    """(parts, short items) for one pass over the documents each."""
+    some, short, size = [], [], 0
+    for item in items:
+        if len(item.words) < limits.min_words:
+            short.append(item)
+        else:
+            some.append(item)
+        size += len(_Piece.of(item))
+        if size >= limits.rank * limits.parts_at_once:
+            yield _parts(some, limits.rank), short
+            some, short, size = [], [], 0
+    if some or short:
+        yield _parts(some, limits.rank), short
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits, id_col: str) -> DataFrame:
+    """``find_leaks`` with ``_text``, the hash of the text."""
+    texts = docs.where(F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
+    schema = RESULT + ", _text bigint"
+    read = (Item.of(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator())
+    groups = _groups((i for i in read if len(i.words) >= limits.min_exact_words), limits)
+    group = next(groups, None)
+    if group is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    held, blocks = _counts(texts.select("text"))
     share = min(1.0, limits.fit_passages / max(blocks, 1))
-    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    parts = _parts(items, limits.rank)
-    for k, some in enumerate(parts):
-        column, rows, norms = _item_matrix(some, _Slots(), idf)
-        basis = latent_basis(sample, column, idf, rows, replace(limits, rank=max(limits.rank, len(rows))))
-        latent = rows @ basis
-        found = texts.mapInArrow(_searcher(some, column, idf, basis, latent, norms, limits), RESULT)
-        result = found if k == 0 else result.unionByName(found)
+    sample = texts.select("doc_id", "text").where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    result = None
+    while group is not None:
+        parts, short = group
+        parts = [p for p in parts if p]
+        idf = [_weights(list({id(p.item): p.item for p in pieces}.values()), held, blocks, limits) for pieces in parts]
+        matrices = [_item_matrix(pieces, _Slots(), w) for pieces, w in zip(parts, idf, strict=True)]
+        bases = latent_bases(sample, [m[:2] for m in matrices], idf, limits) if parts else []
+        spaces = [_Space(p, m[0], w, q, m[1] @ q, m[2]) for p, m, w, q in zip(parts, matrices, idf, bases, strict=True)]
+        found = texts.mapInArrow(_searcher(spaces, short, limits), schema)
+        group = next(groups, None)
+        if result is not None or group is not None:
+            found = cut(found, "leaks")  # the driver keeps one group's spaces, not all
+        result = found if result is None else result.unionByName(found)
     return result
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share, answer_share): each document with each benchmark item that it holds.
+
+    Items are taken in parts of ``rank`` pieces or one longer item, each with a latent space of its own. cosine is null for
+    short items, which are looked up word by word."""
+    return _leaks(docs, benchmark, limits, id_col).drop("_text")
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no benchmark item."""
-    leaked = find_leaks(docs, benchmark, limits, id_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")
+    """The documents that hold no benchmark item. Whether one does depends on its text alone, so an id may be null or repeated."""
+    leaked = cut(_leaks(docs, benchmark, limits, id_col).select(F.col("_text").alias("_leaked")).distinct(), "leaked-texts")
+    return docs.join(leaked, F.xxhash64("text") == F.col("_leaked"), "left_anti")

@@ -367,3 +367,44 @@ def test_decontamination_of_short_items_among_rare_words(spark):
     assert found == planted
     exact = brute_leaks(texts, [" ".join(i) + "." for i in items], decontaminate.Limits())
     assert exact <= found and len(exact) >= 12
+
+
+def test_decontamination_in_several_passes_with_short_and_equal_items(spark):
+    rng = random.Random(12)
+    vocabulary = made_words(rng, 2000)
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (4, 5, 6, 7, 5, 20, 30, 40, 25, 60, 33)]
+    items.append(items[1])
+    texts = [" ".join(some(rng.randint(0, 60)) + i + some(rng.randint(0, 60))) for i in items]
+    texts += [" ".join(some(40) + [w for w in items[3] for w in (w, "xx")]), *(" ".join(some(50)) for _ in range(60)), None, ""]
+    ids = [None if k == 5 else k for k in range(len(texts))]
+    docs = frame(spark, texts, ids)
+    bench = spark.createDataFrame([(k, " ".join(i).upper() + ".") for k, i in enumerate(items)], "item_id bigint, text string")
+    want = {(None if k == 5 else k, k) for k in range(1, 12)} | {(1, 11), (11, 1)}
+    for limits in (decontaminate.Limits(), decontaminate.Limits(rank=2, parts_at_once=2)):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, limits).collect()} == want
+        left = decontaminate.drop_leaked(docs, bench, limits)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {0, *range(12, len(texts))}
+
+
+def test_recall_by_strength_of_paraphrase(spark):
+    """All pairs that an exhaustive check of every stretch accepts, for each share of changed words."""
+    rng = random.Random(13)
+    vocabulary = made_words(rng, 4000)
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(rng.randint(10, 70)) for _ in range(12)]
+    texts, strength = [], []
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4):
+        for item in items:
+            copy = [w if rng.random() >= share or i >= len(item) - 3 else rng.choice([[], some(1), [*some(1), w]]) for i, w in enumerate(item)]
+            copy = [x for w in copy for x in (w if isinstance(w, list) else [w])]
+            texts.append(" ".join(some(rng.randint(0, 80)) + copy + some(rng.randint(0, 80))))
+            strength.append(share)
+    shown = [" ".join(i[:-3]) + ". " + " ".join(i[-3:]) + "." for i in items]
+    bench = spark.createDataFrame(list(enumerate(shown)), "item_id bigint, text string")
+    want = brute_leaks(texts, shown, decontaminate.Limits())
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    for share in sorted(set(strength)):
+        own = {(d, k) for d, k in want if strength[d] == share}
+        print(share, len(own), len(own & found))
+        assert len(own) >= 6 and len(own & found) >= 0.9 * len(own)
