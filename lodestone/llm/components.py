@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop_cut
+from lodestone.llm.common import cut, drop_cut, join_groups
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the neighbours of each node (all, or those below it) to the least of them."""
+    """Link the neighbours of each node (all, or those below it) to the least of them.
+
+    A node with a large share of the edges, as the least one of a large group is, is joined by broadcast."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         keep = F.col("v") > F.col("u")
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         keep = F.lit(True)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = near.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = near.groupBy("u").agg(F.count("*").alias("n_rows"), F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = cut(least, "least-neighbours")
+    linked = join_groups(near, least, ["u"], F.xxhash64("v")).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where("u != v").distinct()

@@ -523,5 +523,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no benchmark item. Whether one does depends on its text alone, so an id may be null or repeated."""
-    leaked = cut(_leaks(docs, benchmark, limits, id_col).select(F.col("_text").alias("_leaked")).distinct(), "leaked-texts")
-    return docs.join(leaked, F.xxhash64("text") == F.col("_leaked"), "left_anti")
+    leaked = cut(_leaks(docs, benchmark, limits, id_col).select("_text").distinct(), "leaked-texts")
+    return docs.join(leaked, F.xxhash64(docs["text"]) == leaked["_text"], "left_anti")

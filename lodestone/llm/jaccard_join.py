@@ -24,9 +24,14 @@ different components are compared too. Before texts are fetched, a parity sketch
 drops pairs that can't link. Every pair left is verified on its whole sets.
 Thus no link between components is lost, and pairs inside a component aren't listed.
 
+Documents of one set are joined to their class by ``join_groups``, and the rows of a
+large open bucket are dealt out over several tasks, so no task gets a hot group whole.
+
 Defined cases: null, empty and blank texts have an empty set, linked with nothing;
-fewer words than a shingle make one token of all; identical rows are one document;
-extra columns are ignored.
+fewer words than a shingle make one token of all; rows with one id and one text are one
+document, and rows with one id and several texts give a row for each different set; a
+null id is a document of its own that is linked with nothing unless its text is another's
+(give ids first if they matter); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,12 +46,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop_cut, free_shuffles
+from lodestone.llm.common import cut, drop_cut, free_shuffles, join_groups
 from lodestone.llm.components import components
 
 BAND_RATIO = 1.4
 #: Sets of n tokens are told apart by the sketch while n is below about twice its bits.
 SKETCH_BITS = 1024
+#: Rows of an open bucket that one task takes.
+BUCKET_ROWS = 1000
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -261,13 +268,11 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     hits = cut(rows.join(shared.select("sig"), "sig", "left_semi"), "shared-signatures")
     drop_cut(index)
     free_shuffles(docs.sparkSession)
-    classes = heads.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
-    class_of = cut(
-        heads.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select(
-            "doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
-        ),
-        "classes",
-    )
+    # Only sets of several documents need their least document; empty ones have no class.
+    key = ["k1", "k2", "n"]
+    same = heads.where("n > 0").groupBy(*key).agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("class_id")).where("n_rows > 1")
+    joined = join_groups(heads.select("doc_id", *key), cut(same, "same-sets"), key, F.xxhash64("doc_id"))
+    class_of = cut(joined.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     copies = class_of.where("class_id != doc_id").select("doc_id", "class_id")
     of_class = (
         hits.join(copies, "doc_id", "left")
@@ -307,10 +312,13 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     labelled = members.select("sig", "doc_id", "full").join(
         joined.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    labelled = cut(labelled.join(mixed.select("sig"), "sig", "left_semi").join(heads, "doc_id"), "open-buckets")
-    side = lambda p: labelled.select("sig", *(F.col(c).alias(p + c) for c in labelled.columns if c != "sig"))
-    rest = side("a").join(side("b"), "sig").where(
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo != hi")
+    labelled = cut(labelled.join(mixed.select("sig", "rows"), "sig").join(heads, "doc_id"), "open-buckets")
+    # A large bucket is dealt out: each of its parts on one side meets the whole bucket on the other, in a task of its own.
+    parts = F.ceil(F.col("rows") / BUCKET_ROWS)
+    side = lambda p, deal: labelled.select("sig", deal.alias("deal"), *(F.col(c).alias(p + c) for c in labelled.columns if c != "sig"))
+    own, every = F.pmod(F.xxhash64("doc_id"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    rest = side("a", own).join(side("b", every), ["sig", "deal"]).where(
         (F.col("acomponent") < F.col("bcomponent")) & (F.col("afull") | F.col("bfull")) & _may_link(percent, "a", "b")
     )
     rest = cut(rest.select(F.col("adoc_id").alias("u"), F.col("bdoc_id").alias("v")).distinct(), "rest-pairs")
@@ -329,12 +337,12 @@ def keep_one_per_group(docs: DataFrame, percent: int = 80, size: int = 5, id_col
 
     Of rows with one id and one text, one stays. Rows with one id and several texts are one document: it is linked where
     any of them is, and goes or stays whole. A null id stays."""
-    first = similarity_classes(docs.where(F.col(id_col).isNotNull()), percent, size, id_col).where("doc_id != component_id")
-    left = docs.join(first.select(F.col("doc_id").alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    known = docs.where(F.col(id_col).isNotNull())
+    gone = similarity_classes(known, percent, size, id_col).where("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     # Ids alone are shuffled to find repeated ones; texts are only where there are any.
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("_rows"))
-    again = cut(ids.where("_rows > 1").select("_again"), "repeated-ids")
+    again = cut(known.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
     if again.isEmpty():
         return left
-    repeated = left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, "text"])
-    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)
+    repeated = left.join(again, left[id_col] == again["id"], "left_semi").dropDuplicates([id_col, "text"])
+    return left.join(again, left[id_col] == again["id"], "left_anti").unionByName(repeated)

@@ -13,12 +13,12 @@ from lodestone.llm.common import byte_bpe_path
 from lodestone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _words string, n string, kept string, line string, _doc string, _gone string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _words string, n string, kept string, line string, _doc string, _gone string, _text string"
 
 
 def frame(spark, texts, ids=None):
     """Documents with extra columns whose names the operators use inside."""
-    rows = [(i, t, "en", None, 1, "x", "x", "x", "x", "x", "x") for i, t in zip(ids or range(len(texts)), texts)]
+    rows = [(i, t, "en", None, 1, "x", "x", "x", "x", "x", "x", "x") for i, t in zip(ids or range(len(texts)), texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
