@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the word pattern of byte-level BPE, with Unicode white space written out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Bounds of what a task remembers: distinct words, once as lately met and once as older ones, and pairs of tokens. All of it goes when the task ends.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 100_000, 400_000
+#: Bounds of what a Python worker remembers, some 40 MB beside the vocabulary's 64: distinct words, once as lately met and
+#: once as older ones, and pairs of tokens.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 100_000, 300_000
 #: Bytes from which a word is walked by itself and not remembered.
 LONG_WORD = 1024
 
@@ -87,10 +88,6 @@ class Encoder:
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def forget(self) -> None:
-        """Drop all but the vocabulary: a Python worker outlives its task and would keep the rest."""
-        self.known, self.older, self.follows = {}, {}, {}
-
     def may_follow(self, a: int, b: int) -> bool:
         """Remembered under one integer for both tokens."""
         if len(self.follows) > REMEMBERED_PAIRS:
@@ -228,18 +225,15 @@ def _share(spark: SparkSession, path: str):
 def _batches(shared, columns: int, chars: int, batches: Iterator[pa.RecordBatch]):
     """(encoder, slice, encodings of its texts) for slices of about ``chars`` characters; texts are the last column."""
     encoder = _encoder(shared)
-    try:
-        for batch in batches:
-            texts = batch.column(columns)
-            sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
-            begin = 0
-            while begin < len(batch):
-                base = sizes[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(sizes, base + chars, "right")))
-                yield encoder, batch.slice(begin, end - begin), list(encoder.encode(texts.slice(begin, end - begin).to_pylist()))
-                begin = end
-    finally:
-        encoder.forget()
+    for batch in batches:
+        texts = batch.column(columns)
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(batch):
+            base = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, base + chars, "right")))
+            yield encoder, batch.slice(begin, end - begin), list(encoder.encode(texts.slice(begin, end - begin).to_pylist()))
+            begin = end
 
 
 def _lists(found: list[bytes]) -> pa.ListArray:

@@ -46,13 +46,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, mix
 
 STRIDE = 24
 PASSAGE = 2 * STRIDE
@@ -84,29 +83,62 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class _Slots(dict):
-    """Slot of a word; forgets all when it has grown large."""
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at a time.
+_PIECE = 1 << 18
+_POWERS, _UNPOWERS = (np.cumprod(np.append(np.uint64(1), np.full(_PIECE - 1, x, np.uint64))) for x in (_BASE, _UNBASE))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = slot = xxhash.xxh3_64_intdigest(word) & (SLOTS - 1)
-        return slot
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word [start, end) of folded bytes: its polynomial in an odd base, from running sums."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + _PIECE, "right")))
+        size = int(ends[last - 1] - base)
+        powers, back = (_POWERS[:size], _UNPOWERS) if size <= _PIECE else (np.cumprod(np.append(np.uint64(1), np.full(size - 1, _BASE, np.uint64))), _UNPOWERS)
+        total = np.append(np.uint64(0), np.cumsum(data[base : base + size].astype(np.uint64) * powers))
+        low, high = starts[first:last] - base, ends[first:last] - base
+        out[first:last] = (total[high] - total[low]) * back[low]
+        first = last
+    return mix(out ^ (ends - starts).astype(np.uint64))
+
+
+def _find_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of folded bytes."""
+    inside = np.empty(len(data) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = data != 32
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def slots_of(own: list[bytes]) -> np.ndarray:
+    """Slot of each word."""
+    data = np.frombuffer(b" ".join(own), np.uint8)
+    return (_hash_words(data, *_find_words(data)) >> np.uint64(48)).astype(np.int64)
 
 
 @dataclass
 class _Blocks:
     """Words of some texts, cut into blocks; arrays by block unless said otherwise."""
 
-    words: list[bytes]
-    slots: np.ndarray  # by word
-    starts: np.ndarray
+    data: bytes  # folded texts, parted by spaces
+    begin: np.ndarray  # by word, as end and slots
+    end: np.ndarray
+    slots: np.ndarray
+    starts: np.ndarray  # first word
     owner: np.ndarray
-    ends: dict[int, tuple[int, int]]  # words of each text
+    ends: list[tuple[int, int]]  # words of each text
 
     @property
     def block_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.words))))
+        return np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.slots))))
+
+    def words(self, low: int, high: int) -> list[bytes]:
+        return self.data[self.begin[low] : self.end[high - 1]].split() if low < high else []
 
     def passages(self, by_block: np.ndarray) -> np.ndarray:
         """Sums of neighbouring blocks of a text; its last block alone."""
@@ -117,18 +149,19 @@ class _Blocks:
         return out
 
 
-def _blocks(texts: list[str | None], slots: _Slots) -> _Blocks:
-    found, starts, owner, ends = [], [], [], {}
-    for i, text in enumerate(texts):
-        own, base = words(text), len(found)
-        found += own
-        new = range(base, base + len(own), STRIDE)
-        starts += new
-        owner += [i] * len(new)
-        ends[i] = (base, len(found))
-    return _Blocks(
-        found, np.fromiter(map(slots.__getitem__, found), np.int64, len(found)), np.array(starts, np.int64), np.array(owner, np.int64), ends
-    )
+def _blocks(texts: list[str | None]) -> _Blocks:
+    folded = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts]
+    data = b" ".join(folded)
+    raw = np.frombuffer(data, np.uint8)
+    begin, end = _find_words(raw)
+    edges = np.cumsum([0, *(len(f) + 1 for f in folded)])
+    bounds = np.searchsorted(begin, edges)
+    counts = np.diff(bounds)
+    blocks = -(-counts // STRIDE)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    place = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    slots = (_hash_words(raw, begin, end) >> np.uint64(48)).astype(np.int64)
+    return _Blocks(data, begin, end, slots, bounds[owner] + place * STRIDE, owner, list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 400_000):
@@ -147,12 +180,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 400_000):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each slot in distinct texts, from (copies, text); at slot -1 the number of blocks."""
-    slots, held, total = _Slots(), np.zeros(SLOTS), 0.0
+    held, total = np.zeros(SLOTS), 0.0
     for copies, texts in _chunks(batches):
-        b = _blocks(texts, slots)
+        b = _blocks(texts)
         if len(b.starts):
             weight = 1 / np.array(copies, np.float64)
-            lengths = [high - low for low, high in b.ends.values()]
+            lengths = [high - low for low, high in b.ends]
             held += np.bincount(b.slots, np.repeat(weight, lengths), minlength=SLOTS)
             total += weight[b.owner].sum()
     used = np.flatnonzero(held)
@@ -191,9 +224,9 @@ def _multiplier(columns: list[np.ndarray], idf: list[np.ndarray], omegas: list[n
             out[col[order][first], k : k + 32] += np.add.reduceat(rows, first, axis=0)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, sums = _Slots(), [np.zeros(omega.shape, np.float64) for omega in omegas]
+        sums = [np.zeros(omega.shape, np.float64) for omega in omegas]
         for _, texts in _chunks(batches):
-            b = _blocks(texts, slots)
+            b = _blocks(texts)
             for each in zip(sums, columns, idf, omegas, strict=True):
                 add(each[0], b, *each[1:])
         for part, out in enumerate(sums):
@@ -250,12 +283,11 @@ class _Shared:
     """Places in texts that share so many word pairs with an item that a copy may lie there."""
 
     def __init__(self, items: list[Item], limits: Limits) -> None:
-        slots = _Slots()
         sizes = np.array([len(i.words) for i in items])
         self.edits = ((1 - limits.min_paraphrase) * sizes + 1e-9).astype(np.int64)
         self.least = np.maximum(1, sizes - 1 - 2 * self.edits)
         self.span = (sizes + self.edits + STRIDE - 2) // STRIDE + 1  # blocks that a copy can touch
-        own = [np.unique(_pairs(np.array([slots[w] for w in i.words], np.int64))) for i in items]
+        own = [np.unique(_pairs(slots_of(i.words))) for i in items]
         item = np.repeat(np.arange(len(items)), [len(o) for o in own])
         pair = np.concatenate(own)
         order = np.argsort(pair, kind="stable")
@@ -349,7 +381,7 @@ class _Space:
             old = found.get(key)
             if old is not None and old[:2] == (1.0, 1.0):
                 return
-            near = b.words[max(low, b.starts[p] - before) : min(high, b.starts[p] + after)]
+            near = b.words(max(low, int(b.starts[p]) - before), min(high, int(b.starts[p]) + after))
             share, answer, leaked = judge(self.items[k], near, limits)
             if leaked:
                 new = (share, answer, float(cosine[p, self.first[k] : self.first[k + 1]].max()))
@@ -370,9 +402,10 @@ def _verbatim(b: _Blocks, short: dict[tuple[bytes, ...], list[Item]]) -> set[tup
     """(text, item) where all words of a short item stand in a row."""
     out = set()
     for n in {len(w) for w in short}:
-        for text, (low, high) in b.ends.items():
-            for i in range(low, high - n + 1):
-                if found := short.get(tuple(b.words[i : i + n])):
+        for text, (low, high) in enumerate(b.ends):
+            own = b.words(low, high)
+            for i in range(len(own) - n + 1):
+                if found := short.get(tuple(own[i : i + n])):
                     out.update((text, item.item_id) for item in found)
     return out
 
@@ -386,9 +419,9 @@ def _searcher(spaces: list[_Space], short: list[Item], limits: Limits):
         whole.setdefault(tuple(item.words), []).append(item)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, shared = _Slots(), [_Shared(space.items, limits) for space in spaces]
+        shared = [_Shared(space.items, limits) for space in spaces]
         for ids, texts, keys in _chunks(batches):
-            b = _blocks(texts, slots)
+            b = _blocks(texts)
             if not len(b.starts):
                 continue
             rows = [(t, item.item_id, c, s, a) for space, pairs in zip(spaces, shared, strict=True) for t, item, (s, a, c) in space.search(b, pairs, limits)]
@@ -404,18 +437,17 @@ def _weights(items: list[Item], held: np.ndarray, blocks: float, limits: Limits)
     """Weight of each slot."""
     full = np.log((1 + blocks) / (1 + held))
     idf = np.where(held > limits.stop_share * blocks, 0, full)
-    slots = _Slots()
     for item in items:
-        own = np.array([slots[w] for w in item.words])
+        own = slots_of(item.words)
         bare = own[held[own] > limits.stop_share * blocks]
         if 2 * len(bare) >= len(own):
             idf[bare] = np.maximum(full[bare], limits.least_weight)
     return idf.astype(np.float32)
 
 
-def _item_matrix(items: list[_Piece], slots: _Slots, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _item_matrix(items: list[_Piece], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Column of each slot (-1: none), the pieces' TF-IDF rows of length 1 over these columns, their lengths before."""
-    held = [[slots[w] for w in i.words] for i in items]
+    held = [slots_of(i.words) for i in items]
     used = np.unique(np.concatenate(held))
     column = np.full(SLOTS, -1, np.int64)
     column[used] = np.arange(len(used))
@@ -502,7 +534,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits, id_col: str) -
         parts, short = group
         parts = [p for p in parts if p]
         idf = [_weights(list({id(p.item): p.item for p in pieces}.values()), held, blocks, limits) for pieces in parts]
-        matrices = [_item_matrix(pieces, _Slots(), w) for pieces, w in zip(parts, idf, strict=True)]
+        matrices = [_item_matrix(pieces, w) for pieces, w in zip(parts, idf, strict=True)]
         bases = latent_bases(sample, [m[:2] for m in matrices], idf, limits) if parts else []
         spaces = [_Space(p, m[0], w, q, m[1] @ q, m[2]) for p, m, w, q in zip(parts, matrices, idf, bases, strict=True)]
         found = texts.mapInArrow(_searcher(spaces, short, limits), schema)

@@ -20,8 +20,8 @@ with an equal signature) the classes are first compared with two leaders only, s
 that a bucket costs as many pairs as it has rows. Components are formed from the
 links found; then, in buckets where several components meet, pairs of classes from
 different components are compared too. Before texts are fetched, a parity sketch
-(1,024 bits; its Hamming distance never exceeds the number of differing tokens)
-drops pairs that can't link. Every pair left is verified on its whole sets.
+(1,024 bits, and some bits a token for larger sets; its Hamming distance never
+exceeds the number of differing tokens) drops pairs that can't link. Every pair left is verified on its whole sets.
 Thus no link between components is lost, and pairs inside a component aren't listed.
 
 Documents of one set are joined to their class by ``join_groups``, and the rows of a
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop_cut, free_shuffles, join_groups
+from lodestone.llm.common import cut, drop_cut, free_shuffles, join_groups, mix
 from lodestone.llm.components import components
 
 BAND_RATIO = 1.4
@@ -55,13 +55,7 @@ SKETCH_BITS = 1024
 #: Rows of an open bucket that one task takes.
 BUCKET_ROWS = 1000
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -182,8 +176,23 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """Parity bits for a set too large for ``sketch``: two to four bits a token, a power of two in all."""
+    if len(tokens) <= SKETCH_BITS:
+        return None
+    bits = 1 << (2 * len(tokens) - 1).bit_length()
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches; the longer one is folded to the other's length."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 HEAD = ("doc_id", "n", "k1", "k2", *SKETCH)
-INDEX = ", ".join(f"{c} bigint" for c in HEAD) + ", whole array<bigint>, less array<bigint>"
+INDEX = ", ".join(f"{c} bigint" for c in HEAD) + ", wide binary, whole array<bigint>, less array<bigint>"
 
 
 def _indexer(plan: Plan):
@@ -191,14 +200,16 @@ def _indexer(plan: Plan):
         cache: dict[int, Band] = {}
         schema = pa.schema(
             [(c, pa.int64()) for c in HEAD]
+            + [("wide", pa.binary())]
             + [(c, pa.list_(pa.int64())) for c in ("whole", "less")]
         )
         for batch in batches:
-            rows, lists = [], ([], [])
+            rows, wide, lists = [], [], ([], [])
             for text in batch.column(1):
                 tokens = shingle_set(text.as_py(), plan.size)
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 rows.append((len(tokens), *np.frombuffer(digest, np.int64), *sketch(tokens)))
+                wide.append(wide_sketch(tokens))
                 for out, found in zip(lists, plan.signatures(tokens, cache), strict=True):
                     out.append(found.view(np.int64))
             cols = np.array(rows, np.int64).reshape(len(rows), len(HEAD) - 1).T
@@ -208,7 +219,7 @@ def _indexer(plan: Plan):
                 )
                 for x in lists
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), *nested], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), pa.array(wide, pa.binary()), *nested], schema=schema)
 
     return index
 
@@ -233,6 +244,22 @@ def _verifier(percent: int, size: int):
     return verify
 
 
+def _sift(pairs: DataFrame, wides: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) but those whose wide sketches rule a link out. Both sketches are needed; they are far shorter than texts."""
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                a is None or b is None or sketch_distance(a, b) * (100 + percent) <= (m + n) * (100 - percent)
+                for m, a, n, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda key, p: wides.select(F.col("doc_id").alias(key), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
+    both = pairs.join(side("u", "a"), "u", "left").join(side("v", "b"), "v", "left")
+    return both.select("u", "v", "an", "aw", "bn", "bw").mapInArrow(far, "u bigint, v bigint").distinct()
+
+
 def _may_link(percent: int, a: str, b: str):
     """Size and sketch leave a link possible. a, b: prefixes of columns n and SKETCH."""
     differ = sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCH), F.lit(0))
@@ -258,7 +285,8 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text")
     plan = Plan(percent, size)
     index = cut(texts.mapInArrow(_indexer(plan), INDEX), "shingle-index")
-    heads = cut(index.drop("whole", "less").distinct(), "heads")
+    heads = cut(index.drop("wide", "whole", "less").distinct(), "heads")
+    wides = cut(index.where("wide IS NOT NULL").select("doc_id", "n", "wide").distinct(), "wide-sketches")
     rows = index.select("doc_id", F.explode("whole").alias("sig"), F.lit(True).alias("full")).unionByName(
         index.select("doc_id", F.explode("less").alias("sig"), F.lit(False).alias("full"))
     )
@@ -300,7 +328,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
         .distinct()
     )
     stars = stars.join(head("a", "u"), "u").join(head("b", "v"), "v").where(_may_link(percent, "a", "b")).select("u", "v")
-    stars = cut(stars, "star-pairs")
+    stars = cut(_sift(stars, wides, percent), "star-pairs")
     bodies = cut(texts.join(members.select("doc_id").union(members.select("last")).distinct(), "doc_id", "left_semi"), "bodies")
     free_shuffles(docs.sparkSession)
     found = cut(_links(stars, bodies, percent, size), "star-links")
@@ -322,6 +350,7 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
         (F.col("acomponent") < F.col("bcomponent")) & (F.col("afull") | F.col("bfull")) & _may_link(percent, "a", "b")
     )
     rest = cut(rest.select(F.col("adoc_id").alias("u"), F.col("bdoc_id").alias("v")).distinct(), "rest-pairs")
+    rest = cut(_sift(rest, wides, percent), "sifted-pairs")
     more = cut(_links(rest, bodies, percent, size), "rest-links")
     for used in (labelled, rest, bodies, members):
         drop_cut(used)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import words
-from lodestone.llm.jaccard_join import mix
+from lodestone.llm.common import mix
 
 SIZE = 5
 BANDS = 12

@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import words_of
 
-def _joined(hashes: str, step: int) -> str:
-    """Hash of the windows of 2 * step words, from an array of hashes of windows of step words."""
-    n = f"greatest(0, size({hashes}) - {step})"
-    return f"zip_with(slice({hashes}, 1, {n}), slice({hashes}, {step + 1}, {n}), (x, y) -> xxhash64(x, y))"
+
+def _grams(n: int) -> str:
+    """SQL for the hashes of all windows of ``n`` words, from the word hashes ``h``."""
+    return f"transform(sequence(0, size(h) - {n}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(n))}))"
 
 
 #: Metrics over the columns ``_text`` (never null) and ``_words``. All are bigint.
 METRICS = {
     "n_words": "cast(size(_words) as bigint)",
-    "word_chars": r"cast(char_length(_text) - regexp_count(_text, '[\\x20\\x09-\\x0D]') as bigint)",
+    "word_chars": "cast(char_length(array_join(_words, '')) as bigint)",
     "n_symbols": "cast(regexp_count(_text, '[#*$%&|<>]') as bigint)",
     "n_upper": "cast(regexp_count(_text, '[A-Z]') as bigint)",
     "n_shouts": "cast(regexp_count(_text, '!') as bigint)",
@@ -38,13 +38,11 @@ METRICS = {
     # Lines with a word, less the distinct ones: those equal to an earlier line.
     "n_dup_lines": r"""transform(array(filter(split(_text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')),
         ls -> cast(size(ls) - size(array_distinct(ls)) as bigint))[0]""",
-    # Hash 8-word windows by doubling (1, 2, 4, 8). Documents without an equal pair, nearly all, stop there;
-    # else sort (hash, position), keep positions with an equal neighbour and add up what their windows cover.
-    "n_repeat_words": f"""CASE WHEN size(_words) < 9 THEN 0L ELSE transform(
-        transform(transform(transform(array(
-            transform(_words, w -> xxhash64(w))), h -> {_joined("h", 1)}), h -> {_joined("h", 2)}), h -> {_joined("h", 4)}),
-        g -> CASE WHEN size(array_distinct(g)) = size(g) THEN 0L ELSE transform(
-            array(sort_array(transform(g, (h, i) -> struct(h, i)))),
+    # Documents without an equal pair of 4-word windows, nearly all, stop there. Else take 8-word windows, sort
+    # (hash, position), keep positions with an equal neighbour and add up what their windows cover.
+    "n_repeat_words": f"""CASE WHEN size(_words) < 9 THEN 0L ELSE transform(array(transform(_words, w -> xxhash64(w))),
+        h -> CASE WHEN size(array_distinct({_grams(4)})) = size(h) - 3 THEN 0L ELSE transform(
+            array(sort_array(transform({_grams(8)}, (g, i) -> struct(g AS h, i AS i)))),
             s -> transform(
                 array(sort_array(transform(
                     filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false)),

@@ -152,11 +152,11 @@ def brute_classes(texts, percent, size):
 
 def near_copies(rng, n=25):
     out = []
-    for size in (3, 8, 12, 20, 40, 90, 200):
+    for size in (3, 8, 12, 20, 40, 90, 200, 1500, 4000):
         base = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 30)) for _ in range(size)]
-        for _ in range(n):
+        for _ in range(n if size < 1000 else 6):
             copy = list(base)
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6])):
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6]) * max(1, size // 120)):
                 copy[rng.randrange(len(copy))] = "z" + str(rng.randint(0, 99))
             out.append(" ".join(copy[rng.randint(0, 2) :]))
     return out
@@ -169,6 +169,16 @@ def test_similarity_classes(spark, percent, size):
     assert got == brute_classes(texts, percent, size)
 
 
+def test_wide_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(2)
+    for n, more in ((1100, 0), (2000, 150), (2040, 100), (5000, 3300)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - 40], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        assert 0.5 * differ < jaccard_join.sketch_distance(jaccard_join.wide_sketch(a), jaccard_join.wide_sketch(b)) <= differ
+    assert jaccard_join.wide_sketch(a[:1024]) is None
+
+
 def test_allocation_covers_every_difference():
     """Any two sets within the bound share a signature, whole against whole or whole against one-deletion."""
     rng, plan, cache = np.random.default_rng(1), jaccard_join.Plan(80, 5), {}
@@ -247,8 +257,7 @@ def test_bpe_of_one_long_word(reference_tokenizer):
     assert encoder.decode(np.frombuffer(ids, np.int32).tolist()) == "x" * 5_000_000
     assert tracemalloc.get_traced_memory()[1] < 250 << 20
     tracemalloc.stop()
-    encoder.forget()
-    assert not (encoder.known or encoder.older or encoder.follows)
+    assert not any(len(w) >= bpe.LONG_WORD for w in [*encoder.known, *encoder.older])
 
 
 def test_bpe_keeps_columns(spark):
@@ -261,6 +270,17 @@ def test_bpe_keeps_columns(spark):
 # ---- decontamination ----
 
 
+def test_word_slots_are_those_of_the_words():
+    texts = ["One, two THREE", None, "", "two", "x" * 600_000 + " two", "é-two three", " .. "]
+    b = decontaminate._blocks(texts)
+    for i, t in enumerate(texts):
+        low, high = b.ends[i]
+        own = decontaminate.words(t)
+        assert b.words(low, high) == own
+        assert b.slots[low:high].tolist() == [int(decontaminate.slots_of([w])[0]) for w in own]
+    assert len(b.starts) == 4 and b.owner.tolist() == [0, 3, 4, 5]
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
