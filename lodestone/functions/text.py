@@ -98,6 +98,16 @@ def url_stem(url: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""), r"\+", "%2B")), last)
 
 
+def title_from_url(url: Column) -> Column:
+    """The decoded last part of an address's path without a known extension, trimmed; ``Document`` if nothing is left."""
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    last = F.regexp_extract(path, r"([^/]*)$", 1)
+    name = F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+    for ending in ("pdf", "html", "php", "htm"):
+        name = F.regexp_replace(name, rf"(?i)\.{ending}$", "")
+    return F.coalesce(F.nullif(strip(name), F.lit("")), F.lit("Document"))
+
+
 def doc_id(url: Column) -> Column:
     """``doc.`` and the slug of the address's stem; ``index`` without one."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(url_stem(url)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -118,11 +128,33 @@ def slug(text: Column, joint: str = "_") -> Column:
 
 
 def parse_locator(locator: Column) -> Column:
-    """struct(page_start, page_end, heading) of ``pA-B §heading``."""
-    first = F.regexp_extract(locator, r"\bp(\d+)", 1).try_cast("int")
-    last = F.regexp_extract(locator, r"\bp\d+\s*[-–]\s*(\d+)", 1).try_cast("int")
-    heading = F.when(F.contains(locator, F.lit("§")), F.nullif(locator_heading(locator), F.lit("")))
-    return F.struct(first.alias("page_start"), F.coalesce(last, first).alias("page_end"), heading.alias("heading"))
+    """struct(page_start, page_end, heading) of ``pA-B §heading``.
+
+    A page counts at the start alone and a single one has no end; the heading is what follows the last section mark, else
+    all that is left."""
+    whole = strip(locator)
+    page = r"(?i)^p(\d+)(?:\s*[-–]\s*(\d+))?"
+    first = F.regexp_extract(whole, page, 1).try_cast("int")
+    last = F.regexp_extract(whole, page, 2).try_cast("int")
+    heading = F.nullif(locator_heading(F.regexp_replace(whole, page, "")), F.lit(""))
+    return F.struct(first.alias("page_start"), last.alias("page_end"), heading.alias("heading"))
+
+
+def parse_source(source: Column) -> Column:
+    """struct(doc, locator) of the first ``;``-parted token of a family's source: ``doc.x §heading``, or a document alone."""
+    first = strip(F.split_part(source, F.lit(";"), F.lit(1)))
+    marked = F.contains(first, F.lit(" §"))
+    at = F.locate(" §", first)
+    doc = F.when(marked, strip(F.left(first, at - 1))).otherwise(F.regexp_extract(first, r"(?U)^(\S+)", 1))
+    rest = F.when(marked, F.concat(F.lit("§"), strip(F.substring(first, at + 2, F.length(first))))).otherwise(F.regexp_extract(first, r"(?sU)^\S+\s+(.*)$", 1))
+    return F.struct(F.nullif(doc, F.lit("")).alias("doc"), F.nullif(rest, F.lit("")).alias("locator"))
+
+
+def location(kind: Column, page_start: Column, page_end: Column, heading: Column) -> Column:
+    """``p. 4–5 — Heading`` for a paged PDF, else the heading."""
+    several = F.when(page_end.isNotNull() & (page_end != page_start), F.concat(F.lit("–"), page_end.cast("string"))).otherwise("")
+    pages = F.when((kind == "pdf") & (page_start > 0), F.concat(F.lit("p. "), page_start.cast("string"), several))
+    return F.when(pages.isNotNull(), F.concat_ws(" — ", pages, heading)).otherwise(heading)
 
 
 def section_locator(path: Column, page_start: Column, page_end: Column) -> Column:
@@ -171,15 +203,25 @@ def citation_ids(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"tr\d+"), F.lit(0)))
 
 
-def truncate(text: Column, limit: int) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
+def truncate(text: Column, limit: int = 600) -> Column:
+    """The first ``limit`` characters and an ellipsis, if there are more; null as empty."""
+    some = F.coalesce(text, F.lit(""))
+    return F.when(F.length(some) > limit, F.concat(F.substring(some, 1, limit), F.lit("…"))).otherwise(some)
+
+
+#: Fixed value: words of five letters or more, API codes, numbers.
+CONTENT = r"[a-z]{5,}|api[\s\-]?\d+|\d[\d,\.]*"
 
 
 def content_tokens(text: Column) -> Column:
-    """Distinct words of five letters or more, standard codes and numbers (commas removed)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    parts = [F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in ("[a-z]{5,}", r"api[-\s]?\d+", r"\d[\d,]*(?:\.\d+)?")]
-    return F.array_distinct(F.transform(F.concat(*parts), lambda t: F.regexp_replace(t, r"[,\s]", "")))
+    """Distinct words of five letters or more, API codes and numbers of a text, their commas removed."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CONTENT), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda t: F.replace(t, F.lit(","), F.lit(""))))
+
+
+def answer_tokens(text: Column) -> Column:
+    """``content_tokens`` of an answer, from which commas go first."""
+    return content_tokens(F.replace(F.coalesce(text, F.lit("")), F.lit(","), F.lit("")))
 
 
 def word_count(text: Column) -> Column:

@@ -8,33 +8,69 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 
-#: Intents with their agents, and the order in which slots are asked for.
+#: Triage vocabulary, intents with their agents, and the order in which slots are asked for.
+DIVISIONS = ("industrial", "fire_rescue", "diving", "unknown")
+LANGUAGES = ("en", "hi", "hinglish")
 ROUTES = {
-    "application_discovery": "application_discovery", "product_info": "product_advisor", "documents": "documents_compliance",
-    "company_faq": "faq_company", "after_sales": "after_sales_intake", "commercial": "commercial_routing",
+    "application_enquiry": "application_discovery", "product_question": "product_advisor", "documents": "documents_compliance",
+    "after_sales": "after_sales_intake", "commercial": "commercial_routing", "faq": "faq_company",
 }
+OUT_OF_SCOPE = "out_of_scope"
 DUTY_SLOTS = ("gas", "capacity", "capacity_unit", "discharge_p")
-SERVICE_SLOTS = ("name", "company", "contact", "product", "issue", "city")
+SERVICE_SLOTS = ("model", "serial_or_year", "site_city", "need", "contact_pref", "contact_detail")
+CLARIFY_BELOW = 0.6
 
 
-def route(intent: Column, confidence: Column, in_scope: Column, least: float = 0.6) -> Column:
+def triage(rows: DataFrame) -> DataFrame:
+    """``rows`` with sound triage fields: unknown words become the defaults, confidence lies in [0, 1], out of scope wins."""
+    intent = F.when(F.col("intent").isin(*ROUTES, OUT_OF_SCOPE), F.col("intent")).otherwise("faq")
+    outside = intent == OUT_OF_SCOPE
+    confidence = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))
+    return rows.withColumns(
+        {
+            "division": F.when(F.col("division").isin(*DIVISIONS), F.col("division")).otherwise("unknown"),
+            "language": F.when(F.col("language").isin(*LANGUAGES), F.col("language")).otherwise("en"),
+            "in_scope": F.coalesce("in_scope", ~outside) & ~outside,
+            "pii_present": F.coalesce("pii_present", F.lit(False)),
+            "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)),
+            "intent": intent,
+        }
+    )
+
+
+def route(intent: Column, confidence: Column, in_scope: Column, least: float = CLARIFY_BELOW) -> Column:
     """clarify below the confidence threshold, deflect out of scope, else the intent's agent (deflect if unknown)."""
     agents = F.create_map(*(F.lit(x) for pair in ROUTES.items() for x in pair))
-    return F.when(F.coalesce(confidence, F.lit(0.0)) < least, "clarify").when(~in_scope, "deflect").otherwise(F.coalesce(F.element_at(agents, intent), F.lit("deflect")))
+    outside = ~in_scope | (intent == OUT_OF_SCOPE)
+    return F.when(F.coalesce(confidence, F.lit(0.0)) < least, "clarify").when(outside, "deflect").otherwise(F.coalesce(F.element_at(agents, intent), F.lit("deflect")))
 
 
-def first_missing(slots: tuple[str, ...] = DUTY_SLOTS) -> Column:
-    """Name of the first slot column that is null or empty; null if none is."""
-    return F.coalesce(*(F.when(F.nullif(F.col(s).cast("string"), F.lit("")).isNull(), F.lit(s)) for s in slots))
+def first_missing_duty() -> Column:
+    """What to ask of a duty next: gas, then capacity (with its unit), then discharge_p; null if nothing lacks."""
+    lacks = lambda c: F.col(c).isNull()
+    return F.when(lacks("gas"), "gas").when(lacks("capacity") | lacks("capacity_unit"), "capacity").when(lacks("discharge_p"), "discharge_p")
+
+
+def first_missing(slots: tuple[str, ...] = SERVICE_SLOTS) -> Column:
+    """Name of the first slot column that is null; null if none is."""
+    return F.coalesce(*(F.when(F.col(s).isNull(), F.lit(s)) for s in slots))
+
+
+#: What states a lubrication or a standard. Acronyms count in any case, short codes in capitals before a digit.
+LUBRICATION = r"(?iu)oil[\s-]?free|oil[\s-]?less|non[\s-]?lube|lube|lubric|ऑयल[\s-]?फ्री|ऑइल[\s-]?फ्री|लुब्रिकेटेड|नॉन[\s-]?लुब्रिकेटेड|तेल[\s-]?मुक्त"
+ACRONYMS = r"(?i)\b(?:api|iso|asme|atex|ped|nfpa|eiga|din|ansi|iec)\b"
+SHORT_CODES = r"\b(?:EN|IS|BS|BIS)[\s-]?\d"
+#: A flow with its unit, and a pressure.
+FLOW = r"(?i)\d[\d,\.]*\s*(?:n\s*m\s*3\s*/?\s*hr?|nm³|scmd|scmh|kg\s*/\s*hr|m3\s*/\s*hr|m³/\s*hr|lpm|cfm|tpd)"
+PRESSURE = r"(?i)\d[\d,\.]*\s*(?:barg|bar|psi)"
 
 
 def mentions_lubrication(text: Column) -> Column:
-    return text.rlike(r"(?i)oil[\s-]?free|non[\s-]?lub|lubricat|oil[\s-]?inject|oil[\s-]?flood")
+    return F.coalesce(text.rlike(LUBRICATION), F.lit(False))
 
 
 def mentions_standard(text: Column) -> Column:
-    """Short codes count in capitals only."""
-    return text.rlike(r"\b(?:API|ISO|EN|NFPA|ASME|ATEX|PESO)\b") | text.rlike(r"(?i)\bstandards?\b")
+    return F.coalesce(text.rlike(ACRONYMS) | text.rlike(SHORT_CODES), F.lit(False))
 
 
 def guard_filters(turns: DataFrame, text: str = "text") -> DataFrame:
@@ -88,22 +124,149 @@ def numbered(messages: DataFrame, turn: str = "turn_id", order: str = "position"
 
 #: Words that tell kinds of questions, tried in order.
 QUESTION_KINDS = (
-    ("certification", r"(?i)certif|iso\b|approval"), ("client", r"(?i)client|customer|reference"), ("history", r"(?i)histor|found|since|establish"),
-    ("award", r"(?i)award|prize"), ("capacity", r"(?i)capacit|turnover|employees"),
-)
+    ("certification", ("certif", "iso", "accredit")),
+    ("founder", ("founder", "founded", "who found", "started by", "who is behind")),
+    ("founded", ("founded", "establish", "since", "how old", "which year", "when was")),
+    ("facility", ("facilit", "manufactur", "plant", "factory")),
+    ("coverage", ("coverage", "countr", "export", "middle east", "abroad", "overseas", "presence")),
+    ("client", ("client", "customer")),
+    ("industry_served", ("industr", "sector")),
+    ("contact", ("contact", "email", "phone")),
+)
+#: Words of requests for a document, extensions of files to hand out, words of dealers, of offices, and regions.
+DOCUMENT_WORDS = ("catalog", "catalogue", "download", "datasheet", "data sheet", "brochure", "leaflet", "pdf", "document", "spec sheet", "spec-sheet", "manual")
+DOWNLOADABLE = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip")
+DEALER_WORDS = ("dealer", "distributor", "reseller", "channel partner", "distributorship")
+OFFICE_WORDS = ("office", "branch", "cover", "covers", "region", "regional", "located", "location", "handle", "handles", "look after", "looks after", "head office", "headquarter", "head-quarter", "india")
+REGION_WORDS = {"north": "North", "south": "South", "east": "East", "west": "West"}
+#: Claims of absence, denials of a match, an empty list of sources at the end, and questions on products or standards.
+ABSENCE = r"(?i)don'?t have|do not have|not in (our|the) published|can'?t confirm|cannot confirm|couldn'?t find|could not find|no (published )?(information|details|record|data)|not (available|listed|published) in"
+DENIAL = (
+    r"(?i)not getting any results|no results|no (matching )?(documents?|records?|data|information)|problem with the (search )?tool|search (tool |)(isn'?t|is not|failed|failing|not working)|"
+    r"couldn'?t find|could not find|don'?t have (any|that|it)|no such|aren'?t any (documents?|results?|matches)|try (again|rephrasing|a different)"
+)
+EMPTY_SOURCES = r"(?i)(?:\r?\n)*[ \t]*sources?[ \t]*:[ \t]*(?:\[[ \t]*\]|\([ \t]*none[ \t]*\)|none|n/?a|—|-|\.)?[ \t]*$"
+PRODUCT_QUESTION = (
+    r"(?i)\bapi[\s\-]?\d|\basme\b|\bped\b|\batex\b|\biso\s?1363|\bis[\s\-]?\d|\ben[\s\-]?\d|\bbs[\s\-]?\d|"
+    r"compliant|compliance|certified to|conform|rated to|machine|compressor|product|equipment|model"
+)
+
+
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(low, F.lit(w))
+    return found
 
 
 def question_kinds(text: Column) -> Column:
-    """All kinds that a question's words tell, in order."""
-    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in QUESTION_KINDS)), lambda x: x.isNotNull())
+    """All kinds that a question's words tell, in order; the first is the main one."""
+    return F.filter(F.array(*(F.when(_has_any(text, words), F.lit(k)) for k, words in QUESTION_KINDS)), lambda x: x.isNotNull())
+
+
+def claims_absence(text: Column) -> Column:
+    return F.coalesce(text.rlike(ABSENCE), F.lit(False))
 
 
 def denies_match(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(?:no|not|cannot|can't|don't|unable)\b[^.]{0,40}\b(?:match|suit|offer|serve|have|find|found)")
+    return F.coalesce(text.rlike(DENIAL), F.lit(False))
+
+
+def without_empty_sources(text: Column) -> Column:
+    """A text without a last line that announces sources and names none; white space at its end goes."""
+    return F.regexp_replace(F.regexp_replace(text, EMPTY_SOURCES, ""), r"(?U)\s+$", "")
+
+
+def asks_product(text: Column) -> Column:
+    return F.coalesce(text.rlike(PRODUCT_QUESTION), F.lit(False))
 
 
 def wants_document(text: Column) -> Column:
-    return text.rlike(r"(?i)brochure|catalog|datasheet|data sheet|manual|pdf|download|certificate")
+    return _has_any(text, DOCUMENT_WORDS)
+
+
+def downloadable(url: Column) -> Column:
+    """Whether an address without its query names a file to hand out."""
+    path = F.regexp_replace(F.split_part(F.lower(url), F.lit("?"), F.lit(1)), "/+$", "")
+    found = F.lit(False)
+    for ending in DOWNLOADABLE:
+        found = found | path.endswith(ending)
+    return F.coalesce(found, F.lit(False))
+
+
+def lead_type(text: Column) -> Column:
+    return F.when(_has_any(text, DEALER_WORDS), "dealer").otherwise("commercial")
+
+
+def contact_question(preference: Column) -> Column:
+    """Which contact detail to ask for: email, phone, or contact_detail without a known preference."""
+    return F.when(_has_any(preference, ("email",)), "email").when(_has_any(preference, ("whatsapp", "call", "phone")), "phone").otherwise("contact_detail")
+
+
+def office_place(questions: DataFrame, offices: DataFrame, states: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(id, way, place) of questions that ask for an office: a city named in them, else a state, else a region, else head office.
+
+    Places are matched as parts of the lower-cased question (``containing``); of several the first by name."""
+    asked = questions.where(_has_any(F.col(text), OFFICE_WORDS)).select(id_col, F.lower(text).alias("_q"))
+    region = F.coalesce(*(F.when(F.contains(F.col("_q"), F.lit(w)), F.lit(r)) for w, r in REGION_WORDS.items()))
+    plain = [(1, "city", offices.select("city")), (2, "state", states.select("state"))]
+    found = [containing(asked, id_col, "_q", names.distinct(), c).select(id_col, F.lit(n).alias("_n"), F.lit(c).alias("way"), F.col(c).alias("place")) for n, c, names in plain]
+    found.append(asked.where(region.isNotNull()).select(id_col, F.lit(3).alias("_n"), F.lit("region").alias("way"), region.alias("place")))
+    found.append(asked.where(F.contains("_q", F.lit("head"))).select(id_col, F.lit(4).alias("_n"), F.lit("head_office").alias("way"), F.lit(None).cast("string").alias("place")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.groupBy(id_col).agg(F.min(F.struct("_n", "place", "way")).alias("b")).select(id_col, "b.way", "b.place")
+
+
+def containing(rows: DataFrame, id_col: str, text: str, names: DataFrame, name: str, size: int = 4) -> DataFrame:
+    """(id, name): names of ``size`` characters or more that a lower-cased text holds as a part, and shorter ones.
+
+    Longer names meet texts by equality of their first ``size`` characters with a stretch of the text, so no text is
+    compared with every name; the few possible shorter ones are joined as Spark sees fit."""
+    low = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(name, F.lower(name).alias("_low"))
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # overlapping, in one pass
+    met = rows.select(id_col, F.explode(grams).alias("_gram")).join(low.where(F.length("_low") >= size).withColumn("_gram", F.substring("_low", 1, size)), "_gram")
+    long = met.join(rows.select(id_col, text), id_col).where(F.contains(text, F.col("_low")))
+    short = rows.join(low.where(F.length("_low") < size), F.contains(F.col(text), F.col("_low")))
+    return long.select(id_col, name).unionByName(short.select(id_col, name)).distinct()
+
+
+def session_calls(calls: DataFrame, invocations: DataFrame, turns: DataFrame, tool: str) -> DataFrame:
+    """A tool's calls with their session and turn number: calls joined to invocations joined to turns."""
+    return calls.where(F.col("tool") == tool).join(invocations.select("inv_id", "turn_id"), "inv_id").join(turns.select("turn_id", "session_id", "seq"), "turn_id")
+
+
+def follow_up(turns: DataFrame, text: str = "text") -> DataFrame:
+    """Slots of each turn over those of the last earlier call (``prior_`` columns, see ``last_before``).
+
+    A full restatement inherits nothing; else missing slots are inherited. A capacity given anew without a flow and
+    unit in the message leaves the unit open, so that it is asked for."""
+    own = (*DUTY_SLOTS, "lubricated", "standard")
+    whole = F.lit(True)
+    for c in DUTY_SLOTS:
+        whole = whole & F.col(c).isNotNull()
+    merged = {c: F.when(whole, F.col(c)).otherwise(F.coalesce(c, f"prior_{c}")) for c in own}
+    unclear = F.col("capacity").isNotNull() & ~F.coalesce(F.col(text).rlike(FLOW), F.lit(False))
+    merged["capacity_unit"] = F.when(~unclear, merged["capacity_unit"])
+    return turns.withColumns(merged)
+
+
+def thinks(knob: Column, schema: Column, language: Column) -> Column:
+    """Whether thinking is switched off for a call: the knob is set, the schema is an answer's, the language isn't Hindi."""
+    return knob & (schema == "answer") & (F.coalesce(language, F.lit("en")) != "hi")
+
+
+def reply_language(language: Column) -> Column:
+    """The language to reply in; unknown ones give English."""
+    low = F.lower(language)
+    return F.when(low.isin(*LANGUAGES), low).otherwise("en")
+
+
+def needs_translation(query: Column, language: Column) -> Column:
+    """Whether a search query goes through the translation seam: the corpus is English."""
+    return F.lower(language).isin("hi", "hinglish") & (T.strip(query) != "")
 
 
 def duty_slots(text: Column) -> Column:
@@ -116,14 +279,13 @@ def duty_slots(text: Column) -> Column:
 
 
 def states_full_duty(text: Column) -> Column:
-    """Whether a message restates flow and pressure; such a message inherits nothing."""
-    slots = duty_slots(text)
-    return slots["capacity"].isNotNull() & slots["discharge_p"].isNotNull()
+    """Whether a message states a flow with its unit and a pressure."""
+    return F.coalesce(text.rlike(FLOW) & text.rlike(PRESSURE), F.lit(False))
 
 
 def unit_of_new_capacity(turns: DataFrame, text: str = "text") -> DataFrame:
-    """A capacity without a unit in the same message loses an inferred unit, so that it is asked for."""
-    stated = duty_slots(F.col(text))["capacity_unit"].isNotNull()
+    """A capacity without a flow and unit in the same message loses an inferred unit, so that it is asked for."""
+    stated = F.coalesce(F.col(text).rlike(FLOW), F.lit(False))
     return turns.withColumn("capacity_unit", F.when(F.col("capacity").isNull() | stated, F.col("capacity_unit")))
 
 
@@ -143,7 +305,7 @@ def answer_text(messages: DataFrame) -> DataFrame:
 
 def cards(hits: DataFrame, most: int = 3) -> DataFrame:
     """Download cards of search hits (turn_id, rank, doc_id, title, url): documents once, at most ``most`` a turn; the title falls back to the address."""
-    named = F.coalesce(F.nullif("title", F.lit("")), F.initcap(F.regexp_replace(T.url_stem(F.col("url")), r"[-_+]+", " ")))
+    named = F.coalesce(F.nullif("title", F.lit("")), T.title_from_url(F.col("url")))
     first = hits.groupBy("turn_id", "doc_id").agg(F.min("rank").alias("rank"), F.min_by(named, "rank").alias("title"), F.min_by("url", "rank").alias("url"))
     place = F.row_number().over(Window.partitionBy("turn_id").orderBy("rank", "doc_id"))
     return first.withColumn("_p", place).where(F.col("_p") <= most).drop("_p")

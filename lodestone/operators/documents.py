@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.operators.dialog import containing
 
 # ---- flags ----------------------------------------------------------------------------------------------------
 
@@ -240,13 +241,13 @@ def split_table(block: str, count: Counter, budget: int, limit: int) -> list[str
 
 
 def overlap(window: str, count: Counter, tokens: int) -> str:
-    """The shortest word suffix of a window with at least ``tokens`` tokens; all of it if it has fewer."""
-    parts = list(re.finditer(r"\S+", window))
+    """The shortest word suffix of a window with at least ``tokens`` tokens, joined by single spaces; all of it if it has fewer."""
+    parts = window.split() if tokens > 0 else []
     low, high = 0, len(parts) - 1
     while low < high:  # counts grow with the suffix
         middle = (low + high + 1) // 2
-        low, high = (middle, high) if count(window[parts[middle].start() :]) >= tokens else (low, middle - 1)
-    return window[parts[low].start() :].strip() if parts else ""
+        low, high = (middle, high) if count(" ".join(parts[middle:])) >= tokens else (low, middle - 1)
+    return " ".join(parts[low:])
 
 
 def pack(text: str, count: Counter, budget: int = 600, shared: int = 60, limit: int = 8192, keep: Callable[[str], bool] = lambda p: True) -> list[str]:
@@ -264,7 +265,8 @@ def pack(text: str, count: Counter, budget: int = 600, shared: int = 60, limit:
         else:
             windows.append([unit])
     joined = ["\n\n".join(w) for w in windows]
-    return [w if i == 0 else overlap(joined[i - 1], count, shared) + "\n\n" + w for i, w in enumerate(joined)]
+    tails = ["", *(overlap(w, count, shared) for w in joined[:-1])][: len(joined)]
+    return [f"{tail}\n\n{w}".strip() if tail else w for tail, w in zip(tails, joined, strict=True)]
 
 
 def count_words(text: str) -> int:
@@ -308,14 +310,23 @@ def chunks(parts: DataFrame, owners: DataFrame | None = None, count: Counter = c
     return cut.select("doc", chunk_id.alias("chunk_id"), "locator", "heading_path", "content", "token_count")
 
 
+def family_refs(families: DataFrame, capabilities: DataFrame, products: DataFrame) -> DataFrame:
+    """(doc, heading, family_id): sections that a family, a capability row or a product names as its source; all three unioned."""
+    columns = ("family_id", "source_doc_id", "source_locator")
+    every = families.select(*columns).unionByName(capabilities.select(*columns)).unionByName(products.select(*columns))
+    sound = every.where(" AND ".join(f"coalesce({c}, '') != ''" for c in columns))
+    return sound.select(F.col("source_doc_id").alias("doc"), T.heading_form(T.locator_heading(F.col("source_locator"))).alias("heading"), "family_id").distinct()
+
+
 def tag(found: DataFrame, families: DataFrame, cover: DataFrame) -> DataFrame:
     """Chunks with ``family_ids``: families whose name they hold, or that cite their section; and their commonest division.
 
-    ``cover``: (doc, heading, family_id). Families are a dimension whose names are compared with every chunk, in a
-    broadcast join that Spark sizes itself. Ties of divisions go to the first by name."""
-    low = F.lower(F.concat_ws("\n", F.array_join("heading_path", "\n"), "content"))
-    named = found.join(families.where("name != ''").select("family_id", F.lower("name").alias("_name")), F.contains(low, F.col("_name"))).select("chunk_id", "family_id")
-    at = T.heading_form(F.array_join("heading_path", " › "))
+    ``cover``: (doc, heading, family_id), see ``family_refs``. Names are met by their first characters (``containing``), not
+    compared with every chunk. Ties of divisions go to the first by name."""
+    low = found.select("chunk_id", F.lower("content").alias("_low"))
+    held = containing(low, "chunk_id", "_low", families.select("name").distinct(), "name")
+    named = held.join(families.select("name", "family_id"), "name").select("chunk_id", "family_id")
+    at = T.heading_form(F.when(F.size("heading_path") > 0, F.array_join("heading_path", " › ")).otherwise("(preamble)"))
     cited = found.withColumn("_h", at).join(cover.select(F.col("doc").cast("string").alias("doc"), T.heading_form(F.col("heading")).alias("_h"), "family_id"), ["doc", "_h"]).select("chunk_id", "family_id")
     tags = named.unionByName(cited).distinct()
     divisions = tags.join(families.select("family_id", "division"), "family_id").where("division IS NOT NULL").groupBy("chunk_id", "division").count()
@@ -325,5 +336,60 @@ def tag(found: DataFrame, families: DataFrame, cover: DataFrame) -> DataFrame:
     return found.join(lists, "chunk_id", "left").join(common, "chunk_id", "left").withColumn("family_ids", F.coalesce("family_ids", empty))
 
 
+def release_sections(documents: DataFrame, converted: DataFrame) -> DataFrame:
+    """Documents of a release (doc_id, kind, sha256) with the body of their converted file, by its hash; a missing file fails when read."""
+    found = documents.join(converted.select("sha256", "body"), "sha256", "left")
+    body = F.when(F.col("body").isNull(), F.raise_error(F.concat(F.lit("no converted file: "), "sha256")).cast("string")).otherwise(F.col("body"))
+    return found.withColumn("body", body)
+
+
+def valid_overrides(overrides: DataFrame) -> DataFrame:
+    """Hand-kept dispositions; an unknown word fails when read."""
+    known = F.col("disposition").isin("chunk", "reference_only", "excluded")
+    wrong = F.raise_error(F.concat(F.lit("not a disposition: "), "disposition")).cast("string")
+    return overrides.withColumn("disposition", F.when(known, F.col("disposition")).otherwise(wrong))
+
+
+def chunk_corpus(documents: DataFrame, families: DataFrame, cover: DataFrame, overrides: DataFrame | None = None, count: Counter = count_words, limit: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """(chunks, dispositions) of documents (doc_id, kind, body, division): dispositions, sections, corpus-wide paragraph owners
+    among what is chunked, chunks, family tags. A chunk without a division of its families has its document's."""
+    seeded = dispositions(documents, None if overrides is None else valid_overrides(overrides))
+    taken = documents.join(seeded.where("disposition = 'chunk'").select("doc_id"), "doc_id", "left_semi")
+    parts = sections(taken)
+    blocks = parts.select("doc", F.explode(F.split("text", r"\n\s*\n")).alias("text")).where(~F.col("text").rlike(r"^\s*\|"))
+    owners = paragraph_owners(blocks.join(taken.select(F.col("doc_id").alias("doc"), "kind"), "doc"))
+    made = tag(chunks(parts, owners, count, limit=limit), families, cover)
+    own = taken.select(F.col("doc_id").cast("string").alias("doc"), F.col("division").alias("_own"))
+    return made.join(own, "doc", "left").withColumn("division", F.coalesce("division", "_own")).drop("_own"), seeded
+
+
+def verify(sources: DataFrame, manifest: DataFrame, converted: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """(url, kind, ok, missing, junk, note) of every source (url, kind): PDFs against a witness text, pages against banned patterns.
+
+    ``manifest``: (url, sha256); ``converted``: (sha256, body); ``witnesses``: (sha256, witness). A source that isn't in the
+    manifest or has no converted file isn't ok."""
+    at = sources.select("url", "kind").join(manifest.select("url", F.col("sha256")), "url", "left").join(converted.select("sha256", "body"), "sha256", "left").join(witnesses.select("sha256", "witness"), "sha256", "left")
+    note = F.when(F.col("sha256").isNull(), "not in manifest").when(F.col("body").isNull(), "no converted file").when((F.col("kind") == "pdf") & F.col("witness").isNull(), "no witness")
+    held = at.withColumn("note", note)
+    pdf = held.where("kind = 'pdf' AND note IS NULL")
+    lost = missing_tokens(pdf, "url", "witness", "body").groupBy("url").agg(
+        F.sort_array(F.collect_list(F.when(F.col("missing") > 1, F.concat("token", F.lit("x"), F.col("missing").cast("string"))).otherwise(F.col("token")))).alias("missing")
+    )
+    none = F.array().cast("array<string>")
+    judged = held.join(lost, "url", "left").withColumns({"missing": F.coalesce("missing", none), "junk": F.when((F.col("kind") != "pdf") & F.col("note").isNull(), junk(F.col("body"))).otherwise(none)})
+    return judged.select("url", "kind", (F.col("note").isNull() & (F.size("missing") == 0) & (F.size("junk") == 0)).alias("ok"), "missing", "junk", "note")
+
+
+def ingest_totals(pages: DataFrame) -> DataFrame:
+    """One row of totals of converted pages (headings, tables, markdown)."""
+    return pages.agg(F.count("*").alias("pages"), F.sum("headings").alias("headings"), F.sum("tables").alias("tables"), F.sum(F.length("markdown")).alias("characters"))
+
+
+def page_density(pages: DataFrame, sparse: int = 50) -> DataFrame:
+    """(doc_id, pages, characters, sparse, density) of pages (doc_id, page, text): sparse ones have under ``sparse`` characters."""
+    n = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(n).alias("characters"), F.count_if(n < sparse).alias("sparse")).withColumn("density", F.col("characters") / F.col("pages"))
+
+
 def json_scalar(value) -> str:
     return json.dumps(value, ensure_ascii=False)

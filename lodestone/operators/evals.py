@@ -44,6 +44,16 @@ def e2e_layer(first: Column, second: Column) -> Column:
     return F.when(F.size(first) == 0, "pass").when(F.coalesce(F.size(second) == 0, F.lit(False)), "flaky").otherwise("fail")
 
 
+#: Fields of tool results that hold ids.
+ID_FIELDS = ("cap_id", "family_id", "product_id", "fact_id", "office_id", "chunk_id", "doc_id")
+
+
+def result_ids(result: Column) -> Column:
+    """Distinct ids in a tool result's JSON, at any depth: string values of the id fields."""
+    pattern = r'"(?:' + "|".join(ID_FIELDS) + r')"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(result, F.lit(pattern), F.lit(1))))
+
+
 def report(results: DataFrame) -> DataFrame:
     """(layer, pass, fail, flaky, na, ok) of results (layer, status)."""
     counts = results.groupBy("layer").pivot("status", list(STATUSES)).count().na.fill(0, list(STATUSES))

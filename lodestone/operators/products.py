@@ -50,10 +50,12 @@ def resolve(families: DataFrame, products: DataFrame, query: str, most: int = 4)
     """(tier, matched_by, family_id, product_id, position) of the first tier that has rows.
 
     Tiers: models; a family's id or name; the only family on the frontier, or an ambiguous few (2 to ``most``)."""
-    order = Window.orderBy("fit.tier", "fit.shared", "fit.numbers", "product_id")  # rows of one query's models
-    found = models(products, query).select(
-        F.lit(1).alias("tier"), F.min("matched_by").over(Window.partitionBy(F.lit(1))).alias("matched_by"), "family_id", "product_id", F.row_number().over(order).alias("position")
-    )
+    ranked = models(products, query)
+    kind = ranked.agg(F.min("matched_by").alias("matched_by"))  # one row: 'model' sorts before 'model_variant'
+    # A place by counting better rows would join all to all; the few rows of one query's models are ordered as a whole.
+    place = F.struct("fit.tier", "fit.shared", "fit.numbers", "product_id", "family_id")
+    listed_models = ranked.agg(F.array_sort(F.collect_list(place)).alias("rows")).crossJoin(F.broadcast(kind)).select("matched_by", F.posexplode("rows").alias("i", "r"))
+    found = listed_models.select(F.lit(1).alias("tier"), "matched_by", "r.family_id", "r.product_id", (F.col("i") + 1).alias("position"))
     key = T.alias_form(F.lit(query))
     named = families.where((T.alias_form(F.col("family_id")) == key) | (T.alias_form(F.col("name")) == key)).select("family_id")
     best = frontier(covered(families, products, query)).select("family_id")
@@ -89,7 +91,7 @@ def envelopes(capabilities: DataFrame, gases: DataFrame) -> DataFrame:
     return capabilities.join(lists, "cap_id", "left").withColumn("gases", F.coalesce("gases", F.array().cast("array<string>")))
 
 
-def office(offices: DataFrame, states: DataFrame, city: str | None = None, state: str | None = None, region: str | None = None, head: str = "head") -> DataFrame:
+def office(offices: DataFrame, states: DataFrame, city: str | None = None, state: str | None = None, region: str | None = None, head: str = "head", head_city: str = "noida") -> DataFrame:
     """The office for a city, else a state, else a region, else the head office (then ``fallback``).
 
     Arguments are patterns without regard to case, as in ILIKE."""
@@ -102,12 +104,23 @@ def office(offices: DataFrame, states: DataFrame, city: str | None = None, state
         ways.append(plain.join(of_state, "office_id", "left_semi").withColumn("_way", F.lit(2)))
     if region is not None:
         ways.append(plain.where(F.col("region").ilike(region)).withColumn("_way", F.lit(3)))
-    ways.append(plain.withColumn("_way", F.when(F.lower("name").contains(head), 4).otherwise(5)))
+    ways.append(plain.withColumn("_way", F.when(F.lower("name").contains(head) | F.col("city").ilike(head_city), 4).otherwise(5)))
     every = ways[0]
     for w in ways[1:]:
         every = every.unionByName(w)
     return every.orderBy("_way", "office_id").limit(1).withColumn("fallback", F.col("_way") >= 4).drop("_way")
 
 
+def distinct_values(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column, null left out."""
+    return rows.where(F.col(column).isNotNull()).select(column).distinct()
+
+
+def catalogue(families: DataFrame) -> DataFrame:
+    """One row (text): the frozen families as lines ``id: name``, by id. Families are a dimension of a few hundred rows."""
+    line = F.concat_ws(": ", "family_id", "name")
+    return families.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+
+
 def facts(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("kind") == kind).orderBy("fact_id")

@@ -124,3 +124,9 @@ def pdf_pages(pages: DataFrame, least: int = 50) -> DataFrame:
     marked = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n\n"), F.coalesce(shown, F.lit("")))
     listed = F.array_sort(F.collect_list(F.struct("page", marked.alias("t"))))
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("body"))
+
+
+def cached(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A stored classification, or None if there is none yet."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(schema).json(path) if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath) else None

@@ -14,11 +14,10 @@ def new_only(fresh: DataFrame, stored: DataFrame, key: str = "sha256") -> DataFr
 def append_new(fresh: DataFrame, path: str, key: str = "sha256") -> int:
     """Append what isn't in the table at ``path``; the number of rows written."""
     spark = fresh.sparkSession
-    try:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         fresh = new_only(fresh, spark.read.schema(fresh.schema).parquet(path), key)
-    except Exception as e:  # a first run has no table yet; anything else is an error
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    else:
         fresh = fresh.dropDuplicates([key])
     rows = fresh.persist()
     try:
@@ -53,10 +52,15 @@ def review_rows(staged: DataFrame, values: list[str], evidence: str = "evidence"
         return (F.array_join(col, ", ") if kind == "array" else F.to_json(col) if kind in ("struct", "map") else col.cast("string")).alias(c)
 
     pairs = [x for c in values for x in (cell(c), F.get_json_object(evidence, f"$.{c}").alias(f"»{c}"))]
-    kept = [c for c in ("section_id", "source_locator", "conflict_group") if c in staged.columns]
+    kept = [c for c in ("section_id", "source_doc_id", "source_locator", "conflict_group") if c in staged.columns]
     return staged.select(*pairs, *kept, F.lit("").alias("decision"))
 
 
+def with_parent_source(gases: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """Gas rows with the source document and locator of their capability row."""
+    return gases.join(capabilities.select("cap_id", "source_doc_id", "source_locator"), "cap_id", "left")
+
+
 def write_sheet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
 
@@ -66,3 +70,18 @@ def append_turn(tables: dict[str, DataFrame], root: str, batch: str) -> None:
     for name in ("message", "agent_invocation", "tool_call", "citation", "turn"):
         if name in tables:
             tables[name].withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/{name}")
+
+
+def write_manifest(pages: DataFrame, path: str) -> None:
+    """The ingest manifest: one JSON entry for each address; duplicates share a content hash."""
+    pages.dropDuplicates(["url"]).write.mode("overwrite").json(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """An artefact (sections, classifications, drops, raw extractions) as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def append_log(calls: DataFrame, path: str) -> None:
+    """Model calls at the end of a log of JSON lines."""
+    calls.write.mode("append").json(path)

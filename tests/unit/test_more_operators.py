@@ -26,7 +26,7 @@ def test_duty_and_answers(spark):
     m = spark.createDataFrame([("s", "t", 1, 0, "user", "text", "q", None), ("s", "t", 1, 1, "assistant", "text", "a", None), ("s", "t", 1, 2, "assistant", "document_card", None, '{"title":"Doc"}')], "session_id string, turn_id string, seq int, seq_in_turn int, role string, kind string, text string, payload string")
     assert dialog.answer_text(m).first().answer == "a Doc" and dialog.user_texts(m).first().texts == ["q"]
     hits = spark.createDataFrame([("t", i, f"d{i % 5}", "", f"http://x/my-doc{i}.pdf") for i in range(8)], "turn_id string, rank int, doc_id string, title string, url string")
-    assert [r.title for r in dialog.cards(hits).orderBy("rank").collect()] == ["My Doc0", "My Doc1", "My Doc2"]
+    assert [r.title for r in dialog.cards(hits).orderBy("rank").collect()] == ["my-doc0", "my-doc1", "my-doc2"]
 
 
 def test_golden_score(spark):

@@ -212,11 +212,11 @@ def test_evidence_gate(spark):
 
 
 def test_capability_rows(spark):
-    items = spark.createDataFrame([("d::s1", 0, "f1", "Up to 20,000 Nm3/hr", "up to 50 bar", ["h2", ""], "§A"), ("d::s1", 1, "zz", None, None, None, "§A")], "section_id string, i int, family_id string, capacity string, pressure string, gases array<string>, locator string")
+    items = spark.createDataFrame([("d::s1", 0, "f1", "Up to 20,000 Nm3/hr", "up to 50 bar", ["h2", ""], "§A"), ("d::s1", 1, "zz", None, None, None, "§A")], "section_id string, i int, family_id string, capacity string, pressure string, gases array<string>, source_locator string")
     rows, gases = evidence.capability_rows(items, spark.createDataFrame([("f1",)], "family_id string"))
     got = {r.cap_id: r for r in rows.collect()}
-    assert got["cap.d_s1.00"].capacity_max == 20000.0 and got["cap.d_s1.00"].discharge_p_max == 50.0 and got["cap.d_s1.01"].needs_family
-    assert [r.gas for r in gases.collect()] == ["h2"]
+    assert got["cap.d_s1.0"].capacity_max == 20000.0 and got["cap.d_s1.0"].discharge_p_max == 50.0 and got["cap.d_s1.1"].needs_family
+    assert [r.gas for r in gases.collect()] == ["h2", ""]
 
 
 def test_seams(spark):
@@ -238,14 +238,19 @@ def test_grounding(spark):
     answers = spark.createDataFrame([("a", "25,000 Nm3/hr [1]", 1, "en"), ("b", "99 bar", 1, "hi"), ("c", "plain", 0, None)], "id string, text string, n_cited int, language string")
     allowed = grounding.universe(spark.createDataFrame([("a", '{"x":25000.0}')], "id string, t string"), "id", "t")
     got = {r.id: r for r in grounding.gate(grounding.guard(answers, allowed, "id")).collect()}
-    assert got["a"].status == "grounded" and got["b"].reason == "unsourced_numbers:[99.0]" and got["c"].reason == "uncited"
+    assert got["a"].status == "full" and got["b"].reason == "unsourced_numbers:[99.0]" and got["c"].reason == "uncited"
     assert got["b"].reply == grounding.FALLBACK["hi"] and got["c"].reply == grounding.FALLBACK["en"] and got["a"].claims == 1
 
 
 def test_used_documents(spark):
     answers = spark.createDataFrame([("a", "hydrogen booster package")], "answer_id string, text string")
-    chunks = spark.createDataFrame([("a", "d1", "c1", "hydrogen booster"), ("a", "d1", "c2", "booster"), ("a", "d2", "c3", "package only")], "answer_id string, doc_id string, chunk_id string, content string")
-    assert [(r.doc_id, r.chunk_id) for r in grounding.used_documents(answers, chunks).collect()] == [("d1", "c1")]
+    schema = "answer_id string, rank int, doc_id string, chunk_id string, content_md string, title string"
+    rows = [("a", 1, "d2", "c3", "package only", None), ("a", 2, "d1", "c2", "booster", None), ("a", 3, "d1", "c1", "hydrogen booster", None)]
+    pick = lambda rs: [(r.doc_id, r.chunk_id) for r in grounding.used_documents(answers, spark.createDataFrame(rs, schema)).orderBy("position").collect()]
+    assert pick(rows) == [("d1", "c1")]
+    assert pick([("a", 1, "d2", "c3", "package here", "Booster"), *rows[1:]]) == [("d2", "c3"), ("d1", "c1")]
+    assert pick([("a", 1, "d2", "c3", "nothing", None), ("a", 2, "d1", "c2", "booster", None)]) == [("d1", "c2")]
+    assert pick([("a", 1, "d2", "c3", "nothing", None), ("a", 2, "d1", "c2", None, None)]) == [("d2", "c3")]
 
 
 def test_sources(spark):
@@ -253,7 +258,7 @@ def test_sources(spark):
     places = spark.createDataFrame([("fact", "x", "d2", "§H"), ("fact", "y", "d1", None), ("chunk", "z", "d2", "p4-5 §H")], "kind string, ref_id string, doc_id string, locator string")
     docs = spark.createDataFrame([("d1", "html", "", "https://x.org/our-line.html"), ("d2", "pdf", "Sheet", "u.pdf")], "doc_id string, kind string, title string, url string")
     got = [(r.doc_id, r.title, r.link) for r in grounding.sources(cited, places, docs).orderBy("position").collect()]
-    assert got == [("d2", "Sheet", "u.pdf#page=4"), ("d1", "Our Line", "https://x.org/our-line.html")]
+    assert got == [("d2", "Sheet", "u.pdf#page=4"), ("d1", "our-line", "https://x.org/our-line.html")]
 
 
 def test_dialog(spark):
@@ -264,8 +269,8 @@ def test_dialog(spark):
     assert [r.prior_tool for r in dialog.last_before(turns, calls).orderBy("seq").collect()] == [None, "m1", "m1", "m3"]
     guarded = dialog.guard_filters(spark.createDataFrame([("oil-free please", False, "API"), ("to API 618", True, "API")], "text string, lubricated boolean, standard string"))
     assert [(r.lubricated, r.standard) for r in guarded.collect()] == [(False, None), (None, "API")]
-    slots = spark.createDataFrame([("h2", "", None, None)], "gas string, capacity string, capacity_unit string, discharge_p string")
-    assert slots.select(dialog.first_missing().alias("m")).first().m == "capacity"
+    slots = spark.createDataFrame([("h2", "5", None, None), ("h2", "5", "cfm", None)], "gas string, capacity string, capacity_unit string, discharge_p string")
+    assert [r.m for r in slots.select(dialog.first_missing_duty().alias("m")).collect()] == ["capacity", "discharge_p"]
 
 
 def test_evals(spark):
