@@ -225,11 +225,11 @@ def containing(rows: DataFrame, id_col: str, text: str, names: DataFrame, name:
 
     Longer names meet texts by equality of their first ``size`` characters with a stretch of the text, so no text is
     compared with every name; the few possible shorter ones are joined as Spark sees fit."""
-    low = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(name, F.lower(name).alias("_low"))
+    low = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(name, F.lower(name).alias("_sought"))
     grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # overlapping, in one pass
-    met = rows.select(id_col, F.explode(grams).alias("_gram")).join(low.where(F.length("_low") >= size).withColumn("_gram", F.substring("_low", 1, size)), "_gram")
-    long = met.join(rows.select(id_col, text), id_col).where(F.contains(text, F.col("_low")))
-    short = rows.join(low.where(F.length("_low") < size), F.contains(F.col(text), F.col("_low")))
+    met = rows.select(id_col, F.explode(grams).alias("_gram")).join(low.where(F.length("_sought") >= size).withColumn("_gram", F.substring("_sought", 1, size)), "_gram")
+    long = met.join(rows.select(id_col, text), id_col).where(F.contains(text, F.col("_sought")))
+    short = rows.join(low.where(F.length("_sought") < size), F.contains(F.col(text), F.col("_sought")))
     return long.select(id_col, name).unionByName(short.select(id_col, name)).distinct()
 
 

@@ -290,8 +290,8 @@ def h19_user_texts(spark, sf):
 
 @query(
     """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
-c AS (SELECT l_orderkey, 2 * (row_number() OVER w - 1) AS i, 'product' AS kind, CAST(l_partkey AS VARCHAR) AS ref_id FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)
-UNION ALL SELECT l_orderkey, 2 * (row_number() OVER w - 1) + 1, 'family', p_brand FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+c AS (SELECT l_orderkey, 2 * (row_number() OVER w - 1) AS i, 'product' AS kind, CAST(l_partkey AS VARCHAR) AS ref_id FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR))
+UNION ALL SELECT l_orderkey, 2 * (row_number() OVER w - 1) + 1, 'family', p_brand FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)))
 SELECT l_orderkey AS answer_id, kind, ref_id, min(i) AS i FROM c GROUP BY ALL"""
 )
 def r02_derived_citations(spark, sf):
