@@ -196,14 +196,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _project(b: _Blocks, column: np.ndarray, idf: np.ndarray, basis: np.ndarray):
     """Passages in the space of ``basis`` (rows: item columns), from words that have a column."""
-    by_block = np.zeros((len(b.starts), basis.shape[1]), np.float32)
     col = np.where(idf[b.slots] > 0, column[b.slots], -1)
     at = np.flatnonzero(col >= 0)
-    if len(at):
-        block = b.block_of[at]
-        rows = basis[col[at]] * idf[b.slots[at], None]
-        first = np.flatnonzero(np.diff(block, prepend=-1))
-        by_block[block[first]] = np.add.reduceat(rows, first, axis=0)
+    block = b.block_of[at]
+    count = np.bincount(block, minlength=len(b.starts))
+    # Blocks with most such words first: the j-th words of those that have one are then a prefix, added in one go.
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = np.arange(len(at)) - (np.cumsum(count) - count)[block]
+    words = np.zeros((STRIDE, len(order)), np.int64)
+    words[place, rank[block]] = col[at]
+    weighted = basis * idf[np.flatnonzero(column >= 0), None]
+    sums = np.zeros((len(order), basis.shape[1]), np.float32)
+    ahead = np.searchsorted(-count[order], -np.arange(1, STRIDE + 1), "right")
+    for j, m in enumerate(ahead):
+        if m:
+            sums[:m] += weighted[words[j, :m]]
+    by_block = np.empty_like(sums)
+    by_block[order] = sums
     return b.passages(by_block), at, col
 
 
@@ -267,6 +278,9 @@ class Item:
 
 def judge(item: Item, near: list[bytes], limits: Limits) -> tuple[float, float, bool]:
     """(share of the item in common, share of its answer, leaked) for the words around a passage."""
+    held = set(near)
+    if sum(w in held for w in item.words) < limits.min_paraphrase * len(item.words):  # the subsequence can't be longer
+        return 0.0, 0.0, False
     share = lcs(item.words, near) / len(item.words)
     if share < limits.min_paraphrase:
         return share, 0.0, False
