@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the word pattern of byte-level BPE, with Unicode white space written out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Bounds of what a Python worker remembers, some 40 MB beside the vocabulary's 64: distinct words, once as lately met and
-#: once as older ones, and pairs of tokens.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 100_000, 300_000
+#: Bounds of what a Python worker remembers, some 100 MB at most beside the vocabulary's 64: distinct words, once as lately
+#: met and once as older ones, and pairs of tokens.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 150_000, 600_000
 #: Bytes from which a word is walked by itself and not remembered.
 LONG_WORD = 1024
 
@@ -110,28 +110,35 @@ class Encoder:
             else:
                 next_right, right = rank[right], self.parts[right][0]
 
-    def _grow(self, byte: int, depth: int, lasts, growing: list) -> tuple[int, list]:
-        """One step down a trie: (last token of the prefix of ``depth`` bytes, tokens that may still grow there).
-
-        ``growing`` has the tokens that may grow at the depth before, longest first: where each began, and its place in
-        the tokens' trie. The last token is the longest that ends here and may follow the last token before it."""
-        grown, last, follows, root = [], None, self.follows, self.tokens
-        for begin, place in growing:
-            place = place.get(byte)
-            if place is not None:
-                grown.append((begin, place))
-                if last is None and HERE in place:
-                    token = place[HERE]
-                    if begin:
-                        follow = follows.get(lasts[begin - 1] << 20 | token)
-                        if follow is None:
-                            follow = self.may_follow(lasts[begin - 1], token)
-                        if not follow:
-                            continue
-                    last = token
-        place = root[byte]
-        grown.append((depth - 1, place))
-        return place[HERE] if last is None else last, grown
+    def _walk(self, key: bytes, depth: int, lasts, growing: list, reach: list | None = None) -> None:
+        """Steps down a trie from ``depth`` to the end of ``key``; adds to ``lasts``, and to ``reach`` what may still grow.
+
+        ``growing`` has the tokens that may grow at ``depth``, longest first: where each began, and its place in the tokens'
+        trie. The last token of a prefix is the longest that ends there and may follow the last token before it."""
+        follows, root = self.follows, self.tokens
+        for at in range(depth, len(key)):
+            byte = key[at]
+            grown, last = [], None
+            for state in growing:
+                place = state[1].get(byte)
+                if place is not None:
+                    begin = state[0]
+                    grown.append((begin, place))
+                    if last is None and HERE in place:
+                        token = place[HERE]
+                        if begin:
+                            follow = follows.get(lasts[begin - 1] << 20 | token)
+                            if follow is None:
+                                follow = self.may_follow(lasts[begin - 1], token)
+                            if not follow:
+                                continue
+                        last = token
+            place = root[byte]
+            grown.append((at, place))
+            lasts.append(place[HERE] if last is None else last)
+            growing = grown
+            if reach is not None:
+                reach.append(grown)
 
     def _ids(self, lasts) -> bytes:
         """The encoding of the prefix that ``lasts`` ends with, read back from its last token."""
@@ -149,7 +156,7 @@ class Encoder:
         Sorted by bytes, the words are the trie's leaves in order: what a word shares with the one before it is the path
         that stays, so each distinct prefix is visited once and no node need be stored. On the path, ``reach[d]`` has the
         tokens that may still grow at depth d, ``lasts[d - 1]`` the last token of the prefix of d bytes."""
-        grow, known = self._grow, self.known
+        known = self.known
         lasts: list[int] = []
         reach: list[list] = [[]]
         before = b""
@@ -160,21 +167,14 @@ class Encoder:
                     break
                 depth += 1
             del lasts[depth:], reach[depth + 1 :]
-            growing = reach[depth]
-            for byte in key[depth:]:
-                depth += 1
-                last, growing = grow(byte, depth, lasts, growing)
-                lasts.append(last)
-                reach.append(growing)
+            self._walk(key, depth, lasts, reach[depth], reach)
             known[word] = self._ids(lasts)
             before = key
 
     def encode_long(self, word: str) -> bytes:
         """The same walk for one long word: four bytes are kept for each of its bytes."""
-        lasts, growing = array("i"), []
-        for depth, byte in enumerate(word.encode("utf-8", "surrogatepass"), 1):
-            last, growing = self._grow(byte, depth, lasts, growing)
-            lasts.append(last)
+        lasts = array("i")
+        self._walk(word.encode("utf-8", "surrogatepass"), 0, lasts, [])
         return self._ids(lasts)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
