@@ -12,11 +12,15 @@ A band agrees only where the template's least shingle stands in the window, so
 windows are evaluated around such shingles and all others are known to disagree.
 
 A retrieved template is verified around the window: its share of shingles found
-there must be ``min_containment`` or more.
+there must be ``min_containment`` or more. Licenses quote each other, so of verified
+places that overlap, the template with the most shingles found stays: one that lies by
+more than half its words within places of better ones is dropped. Templates are short
+notices, openings, standard headers and whole texts (``license_texts``).
 
 Defined cases: null and empty texts match nothing; texts under ``SIZE`` words match
 nothing; a template of fewer words is an error; repeated rows are scanned one by one;
-extra columns are ignored; ties between places of a template go to the first.
+extra columns are ignored; ties between places of a template go to the first, ties
+between templates to the earlier template.
 """
 
 from __future__ import annotations
@@ -31,27 +35,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import words
 from lodestone.llm.common import mix
+from lodestone.llm.license_texts import TEMPLATES
 
 SIZE = 5
 BANDS = 12
 
-#: Notices by which files and pages state their license.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "Proprietary": "All rights reserved. No part of this publication may be reproduced",
-}
-
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of the word shingles of a text, in order."""
@@ -105,13 +93,27 @@ class Index:
         share = len(np.unique(found[low:high][at])) / width
         return share, low + int(at[0]) if len(at) else start, low + int(at[-1]) + SIZE if len(at) else start
 
+    def places(self, found: np.ndarray, min_containment: float) -> list[tuple[int, float, int, int]]:
+        """(template, containment, first word, word after the last) of each verified window, but those that a better template owns."""
+        rows = [(t, start, *self.verify(found, t, start)) for t, start in self.retrieve(found)]
+        sound = [r for r in rows if r[2] >= min_containment]
+        owner = np.full(len(found) + SIZE, -1, np.int64)
+        out = []
+        for t, _, share, first, end in sorted(sound, key=lambda r: (-r[2] * len(self.sets[r[0]]), r[0], r[1])):
+            held = owner[first:end]
+            if 2 * np.count_nonzero((held >= 0) & (held != t)) > end - first:
+                continue
+            held[held < 0] = t
+            out.append((t, share, first, end))
+        return out
+
 
 MATCHES = "doc_id bigint, license_id string, containment double, first_word bigint, end_word bigint, n_windows bigint"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containment: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, license_id, containment, first_word, end_word, n_windows): each license found, at its best and first place."""
-    known = templates or TEMPLATES
+    known = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(known)
@@ -120,12 +122,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = shingles(text.as_py())
                 best: dict[int, tuple] = {}
-                for t, start in sorted(index.retrieve(found)):
-                    share, first, end = index.verify(found, t, start)
-                    if share >= min_containment:
-                        old = best.get(t)
-                        top = (share, first, end) if old is None or share > old[0] else old[:3]
-                        best[t] = (*top, (old[3] if old else 0) + 1)
+                for t, share, first, end in index.places(found, min_containment):
+                    old = best.get(t, (0.0, 0, 0, 0))
+                    best[t] = (*max(old[:3], (share, first, end), key=lambda x: (x[0], -x[1], -x[2])), old[3] + 1)
                 rows += [(key.as_py(), index.names[t], *b) for t, b in sorted(best.items())]
             if rows:
                 types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
