@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -123,6 +125,38 @@ def test_license_scan(spark):
         license_scan.Index({"x": "too short"})
 
 
+def test_license_families_and_altered_copies(spark):
+    rng = random.Random(8)
+    texts, want = [], []
+    for name, text in {**license_scan.TEMPLATES}.items():
+        if len(text.split()) < 60:
+            continue
+        for share in (0.0, 0.02):
+            own = ["changed" if rng.random() < share else w for w in text.split()]
+            texts.append("Copyright 2020 by the team 1. " + " ".join(own) + " and then other words follow")
+            want.append(name)
+    got = license_scan.scan(frame(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license_id) for r in got) == list(enumerate(want))
+    both = license_scan.TEMPLATES["BSD-3-Clause-text"] + " x y z " * 99 + license_scan.TEMPLATES["BSD-2-Clause-text"]
+    assert {r.license_id for r in license_scan.scan(frame(spark, [both])).collect()} == {"BSD-2-Clause-text", "BSD-3-Clause-text"}
+
+
+def test_license_retrieval_against_every_window():
+    rng, index, missed, total = random.Random(9), license_scan.Index(license_scan.TEMPLATES), 0, 0
+    for t, text in enumerate(license_scan.TEMPLATES.values()):
+        for share in (0.0, 0.01, 0.03):
+            noise = " ".join(rng.choice(["alpha", "beta", "license", "the", "of"]) for _ in range(rng.randint(0, 300)))
+            own = " ".join("changed" if rng.random() < share else w for w in text.split())
+            found = license_scan.shingles(f"{noise} {own} {noise}")
+            retrieved = {k for k, start in index.retrieve(found) if index.verify(found, k, start)[0] >= 0.8}
+            for k, name in enumerate(index.names):
+                size = len(index.sets[k])
+                every = max(len(np.intersect1d(found[p : p + size], index.sets[k])) for p in range(len(found))) / size
+                total += every >= 0.8
+                missed += every >= 0.8 and k not in retrieved
+    assert total > 80 and missed == 0
+
+
 # ---- archives ----
 
 
@@ -208,6 +242,24 @@ def test_quality_classifier_edges(spark):
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def test_co_training_teaches_the_other_view(spark):
+    rng, rows, truth = random.Random(4), [], {}
+    for i in range(1500):
+        good = truth[i] = rng.random() < 0.5
+        own = [f"{'g' if good else 'b'}{rng.randrange(150)}" if rng.random() < 0.3 else f"n{rng.randrange(400)}" for _ in range(25)]
+        rows.append((i, " ".join(own), "en", f"s{2 * rng.randrange(3) + (good if rng.random() < 0.97 else not good)}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(truth[i]), 0) for i in range(0, 1500, 25)], "doc_id bigint, quality int, toxic int")
+    right, loss = {}, {}
+    for rounds in (0, 2):
+        scored = [r for r in quality_classifier.classify(docs, labels, rounds=rounds, confident=0.8).collect() if r.doc_id % 25]
+        for c in ("text_score", "meta_score", "score"):
+            right[rounds, c] = sum((r[c] >= 0.5) == truth[r.doc_id] for r in scored) / len(scored)
+            loss[rounds, c] = -sum(math.log(max(1e-12, r[c] if truth[r.doc_id] else 1 - r[c])) for r in scored) / len(scored)
+    assert right[2, "text_score"] > right[0, "text_score"] + 0.03
+    assert right[2, "score"] >= max(right[2, "text_score"], right[2, "meta_score"]) - 0.01 and right[2, "score"] >= 0.9, (right, loss)
+
+
 # ---- pipeline and registry ----
 
 
