@@ -123,18 +123,24 @@ def cascade_sql(order, ready: frozenset[str] = frozenset()) -> str:
     return f"CASE {branches} END" if order else "CAST(NULL AS STRING)"
 
 
+def verdict(order) -> str:
+    """``cascade_sql`` with words and text bound to lambda variables. As columns of a projection they would be copied into
+    every rule once a filter on the verdict moves below it; bound, a document is split into words once."""
+    return f"transform(array(_text), _text -> transform(array(_words), _words -> {cascade_sql(order)})[0])[0]"
+
+
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with ``rejected_by`` (the first rejecting rule in cascade order) and ``kept``."""
     order = cascade_order(measure(docs, rules, sample_rows))
     names = [c for c in docs.columns if c not in ("rejected_by", "kept")]
-    judged = with_words(docs.select(*names)).select("_row.*", F.expr(cascade_sql(order)).alias("rejected_by"))
+    judged = with_words(docs.select(*names)).select("_row.*", F.expr(verdict(order)).alias("rejected_by"))
     return judged.select(*names, "rejected_by", F.col("rejected_by").isNull().alias("kept"))
 
 
 def keep(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     order = cascade_order(measure(docs, rules, sample_rows))
-    return with_words(docs).where(F.expr(cascade_sql(order)).isNull()).select("_row.*")
+    return with_words(docs).where(F.expr(verdict(order)).isNull()).select("_row.*")
 
 
 DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
