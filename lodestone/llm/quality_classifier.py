@@ -36,8 +36,8 @@ def content_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(docs[c] for c in ("text", "lang", "source")))
 
 
-def views(docs: DataFrame, words: int = 4096) -> DataFrame:
-    """(doc_id, key, text_view, meta_view) of every document."""
+def counted(docs: DataFrame, words: int = 4096) -> DataFrame:
+    """What both views are made of, the one pass over the texts: (doc_id, key, statistics, metadata, word counts)."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", content_key(docs).alias("key"), text.alias("_t"), words_of(F.lower(F.col("text"))).alias("_w"), *(F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(f"_{c}") for c in ("lang", "source")))
     per = lambda pattern: F.regexp_count("_t", F.lit(pattern)) / F.greatest(F.length("_t"), F.lit(1))
@@ -53,9 +53,13 @@ def views(docs: DataFrame, words: int = 4096) -> DataFrame:
         F.floor(F.log2(F.length("_t") + 1)).cast("string").alias("_size"),
         F.floor(F.log2(F.regexp_count("_t", F.lit("\n")) + 1)).cast("string").alias("_lines"),
     )
-    hashed = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=words).transform(stats)
-    hashed = Normalizer(inputCol="_tf", outputCol="_share").transform(hashed)
-    both = VectorAssembler(inputCols=["_upper", "_symbols", "_shouts", "_digits", "_mean", "_distinct", "_share"], outputCol="text_view").transform(hashed)
+    return HashingTF(inputCol="_w", outputCol="_tf", numFeatures=words).transform(stats).drop("_t", "_w")
+
+
+def views(counts: DataFrame) -> DataFrame:
+    """(doc_id, key, text_view, meta_view) of every row of ``counted``."""
+    shares = Normalizer(inputCol="_tf", outputCol="_share").transform(counts)
+    both = VectorAssembler(inputCols=["_upper", "_symbols", "_shouts", "_digits", "_mean", "_distinct", "_share"], outputCol="text_view").transform(shares)
     meta = FeatureHasher(inputCols=["_lang", "_source", "_size", "_lines"], outputCol="meta_view", numFeatures=256).transform(both)
     return meta.select("doc_id", "key", "text_view", "meta_view")
 
@@ -81,11 +85,11 @@ def _calibrate(model, held: DataFrame, view: str) -> tuple[float, float]:
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
-def _teach(models: dict, docs: DataFrame, label: DataFrame, cutoff: float, pool_rows: int, salt: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _teach(models: dict, counts: DataFrame, label: DataFrame, cutoff: float, pool_rows: int, salt: int) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The written views of the picked unlabelled contents, and for each view the rows it pseudo-labels among them.
 
-    All documents are scored; keys and odds alone are shuffled and written. Then the picked contents' views are made once more."""
-    scored = views(docs)
+    All documents are scored; keys and odds alone are shuffled and written. Then the picked contents are joined by key."""
+    scored = views(counts)
     for v in VIEWS:
         scored = _odds(models[v], scored, v)
     free = scored.select("doc_id", "key", *(f"{v}_odds" for v in VIEWS)).join(label, "doc_id", "left_anti")
@@ -100,8 +104,8 @@ def _teach(models: dict, docs: DataFrame, label: DataFrame, cutoff: float, pool_
 
     picked = odds.select("key", *(taken(v).alias(v) for v in VIEWS)).where(" OR ".join(f"{v} IS NOT NULL" for v in VIEWS))
     # About 4 * pool_rows keys at most, so they fit a broadcast.
-    chosen = docs.withColumn("_content", content_key(docs)).join(F.broadcast(picked.select(F.col("key").alias("_content"))), "_content", "left_semi")
-    vectors = views(chosen.dropDuplicates(["_content"]).select(*docs.columns)).join(F.broadcast(picked), "key")
+    chosen = counts.join(F.broadcast(picked), "key", "left_semi").dropDuplicates(["key"])
+    vectors = views(chosen).join(F.broadcast(picked), "key")
     rows = cut(vectors, "co-training-rows")
     drop_cut(odds)
     return rows, {v: rows.where(F.col(v).isNotNull()).select("doc_id", "key", "text_view", "meta_view", F.col(v).alias("label")) for v in VIEWS}
@@ -112,9 +116,10 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, fit_rows: int
     docs = docs.select("doc_id", "text", "lang", "source")
     label = labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
     n_labels = label.count()
-    # Features of the bounded fitting samples alone are kept; each scoring computes its own in one pass.
     some = F.broadcast(label.where(_hash_below(min(1.0, fit_rows / max(1, n_labels)), 1)))
-    known = cut(views(docs.join(some, "doc_id", "left_semi")).join(some, "doc_id"), "co-training")
+    # Word counts are small integers under few slots and take a fraction of the texts; all later passes read them instead.
+    counts = cut(counted(docs), "co-training-counts")
+    known = cut(views(counts.join(some, "doc_id", "left_semi")).join(some, "doc_id"), "co-training")
     held, own = known.where(_hash_below(0.25, 3)), known.where(~_hash_below(0.25, 3))
     kinds = {(r.h, r.label): r.n for r in known.groupBy(_hash_below(0.25, 3).alias("h"), "label").agg(F.count("*").alias("n")).collect()}
     prior = (sum(n for (_, y), n in kinds.items() if y) / sum(kinds.values())) if kinds else 0.5
@@ -124,12 +129,12 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, fit_rows: int
     cutoff = math.log(confident / (1 - confident))
     models = {v: _fit(own, f"{v}_view") for v in VIEWS}
     for i in range(rounds):
-        rows, sure = _teach(models, docs, label, cutoff, pool_rows, 10 + i)
+        rows, sure = _teach(models, counts, label, cutoff, pool_rows, 10 + i)
         models = {v: _fit(own.unionByName(sure[other]), f"{v}_view") for v, other in (VIEWS, VIEWS[::-1])}
         drop_cut(rows)
     scales = {v: _calibrate(models[v], held, v) for v in VIEWS}
     drop_cut(known)
-    scored = views(docs)
+    scored = views(counts)
     for v in VIEWS:
         scored = _odds(models[v], scored, v).withColumn(f"{v}_odds", F.col(f"{v}_odds") * scales[v][0] + scales[v][1])
     base = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
