@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.common import cut
+
 KINDS = ("email", "ip", "card", "phone")
 ROW = ("doc_id", "_key")
 
@@ -210,28 +212,26 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> dict[tuple
 
 def find_spans(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 50_000) -> DataFrame:
     """(doc_id, _key, kind, start, stop, hit, base, probability) of base spans and those the classifier adds."""
-    labelled = _label(mentions(docs)).persist()
-    try:
-        counts: dict[str, dict[tuple[int, ...], int]] = {k: {} for k in KINDS}
-        for r in labelled.groupBy("kind", *VOTES).count().collect():
-            counts[r.kind][tuple(r[v] for v in VOTES)] = r["count"]
-        posterior = [(k, *v, p) for k in KINDS for v, p in estimate(counts[k]).items()] if any(counts.values()) else []
-        total = sum(sum(c.values()) for c in counts.values())
-        schema = "kind string, " + ", ".join(f"{v} int" for v in VOTES) + ", posterior double"
-        table = F.broadcast(docs.sparkSession.createDataFrame(posterior, schema))
-        weighed = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled.join(table, ["kind", *VOTES]))
-        if total:
-            share = min(1.0, fit_rows / total)
-            picked = weighed.where(F.pmod(F.xxhash64(*ROW, "kind", "start", "strict"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-            soft = picked.select("features", F.explode(F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("s")).select("features", "s.*")
-            model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30).fit(soft)
-            scored = model.transform(weighed).withColumn("probability", vector_to_array("probability")[1])
-        else:
-            scored = weighed.withColumn("probability", F.lit(0.0))
-    finally:
-        labelled.unpersist()
+    # Written, not cached: votes, fit and scoring read the mentions, and the texts are searched once, lost executors or not.
+    labelled = cut(_label(mentions(docs)), "pii-mentions")
+    counts: dict[str, dict[tuple[int, ...], int]] = {k: {} for k in KINDS}
+    for r in labelled.groupBy("kind", *VOTES).count().collect():
+        counts[r.kind][tuple(r[v] for v in VOTES)] = r["count"]
+    posterior = [(k, *v, p) for k in KINDS for v, p in estimate(counts[k]).items()] if any(counts.values()) else []
+    total = sum(sum(c.values()) for c in counts.values())
+    schema = "kind string, " + ", ".join(f"{v} int" for v in VOTES) + ", posterior double"
+    table = F.broadcast(docs.sparkSession.createDataFrame(posterior, schema))
+    weighed = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled.join(table, ["kind", *VOTES]))
+    if total:
+        share = min(1.0, fit_rows / total)
+        picked = weighed.where(F.pmod(F.xxhash64(*ROW, "kind", "start", "strict"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        soft = picked.select("features", F.explode(F.array(
+            F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
+            F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("s")).select("features", "s.*")
+        model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30).fit(soft)
+        scored = model.transform(weighed).withColumn("probability", vector_to_array("probability")[1])
+    else:
+        scored = weighed.withColumn("probability", F.lit(0.0))
     # Drop added spans that overlap a base span or an earlier added one of the kind.
     sound = scored.where(F.col("base") | (F.col("probability") >= threshold))
     by = Window.partitionBy(*ROW, "kind")
