@@ -11,6 +11,7 @@ from lodestone.llm import (
     license_scan,
     line_dedup,
     pii,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -61,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_line_dedup,
         op10_decontamination,
+        op11_prefix_trie,
     )
 }
-ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
