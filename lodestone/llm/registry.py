@@ -10,11 +10,13 @@ from lodestone.llm import (
     jaccard_join,
     license_scan,
     line_dedup,
+    lm_scores,
     pii,
     prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
+    spelling,
     warc,
 )
 from lodestone.llm.common import byte_bpe_path, table
@@ -66,6 +68,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +90,8 @@ QUERIES = {
         op9_line_dedup,
         op10_decontamination,
         op11_prefix_trie,
+        op12_lm_scores,
+        op13_spelling_variants,
     )
 }
 ORACLES = {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
