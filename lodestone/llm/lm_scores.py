@@ -47,8 +47,8 @@ from lodestone.llm.common import cut, drop_cut, free_shuffles, mix
 PIECE, BLOCK, SLICE = 1024, 1_000_000, 2_000_000
 #: What the base model adds to every count.
 ADDED = 0.1
-#: Prior weights of pairs and triples of words.
-PRIOR = (100.0, 20.0)
+#: Prior weights of pairs and triples of words: of 1 to 10,000 these gave held-out texts of 10,000 documents the best scores.
+PRIOR = (1000.0, 30.0)
 #: Hashes that stand for the beginning and the end of a text.
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\0start", b"\0end"))
 _A = np.uint64(0x9E3779B97F4A7C15)

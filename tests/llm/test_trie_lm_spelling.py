@@ -269,3 +269,10 @@ def test_scores_defined_cases(spark):
     alone = spark.createDataFrame([(None, "a b")], "doc_id bigint, text string")
     (row,) = lm_scores.digest(alone).collect()
     assert (row.doc_id, row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (None, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_scores_gain_on_held_out_texts(spark, sf):
+    """On texts that the model hasn't seen, contexts tell more than single words."""
+    docs = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
+    held = lm_scores.digest(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] - held[1] > 0.2 * held[2]
