@@ -1,209 +1,196 @@
-"""HTML pages to Markdown, in Arrow batches: the parse of one page is a tree walk that no expression can state."""
+"""HTML pages to Markdown: a small helper lists a page's nodes with their open elements, expressions do the rest.
+
+``nodes`` gives a row for each element and text of a page, with the path of elements around it. Elements are numbered as
+they open, so along a path numbers rise, and what lies below an element is what has a larger number on the path. Junk
+goes by a filter on paths; headings, paragraphs, links, lists, tables and the page are put together by groupings that all
+keep to the page's partition, so pages are shuffled once.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"script", "style", "template", "noscript"}
+HIDDEN = ("script", "style", "template", "noscript", "head")
 #: Tags whose start closes an open paragraph, and tags closed by a sibling of their kind.
 BREAKS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "section", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that make a block of their own, and the kind of a text's row.
+UNITS, TEXT = (*HEADINGS, "p", "table", "ul", "ol", "img", "a"), "#text"
+_ELEMENT = "struct<at:int,tag:string,marks:array<string>,href:string,link:string>"
 
 
-class Element:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def elements(self) -> Iterator[Element]:
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.elements()
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return " ".join(p.strip() for p in parts if p.strip())
+class _Nodes(HTMLParser):
+    """Rows (at, kind, text, path) of one page; the first has neither kind nor path."""
 
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
+        self.url, self.open, self.rows = url, [], [(0, "", "", [])]
+
+    def _add(self, kind: str, text: str) -> None:
+        self.rows.append((len(self.rows), kind, text, list(self.open)))
 
     def handle_starttag(self, tag, attrs):
         closes = SIBLINGS.get(tag, set())
-        while len(self.open) > 1 and (self.open[-1].tag in closes or self.open[-1].tag == "p" and tag in BREAKS_P):
+        while self.open and (self.open[-1]["tag"] in closes or self.open[-1]["tag"] == "p" and tag in BREAKS_P):
             self.open.pop()
-        node = Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        own = {k: v or "" for k, v in attrs}
+        marks = [f".{c}" for c in own.get("class", "").split()] + [f"#{own.get('id')}"] * ("id" in own)
+        href = own.get("href", "") if tag == "a" else None
+        self.open.append({"at": len(self.rows), "tag": tag, "marks": marks, "href": href, "link": href and urljoin(self.url, href)})
+        self._add(tag, own.get("alt", "").strip() if tag == "img" else "")
+        if tag in VOID:
             self.open.pop()
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
-        if at:
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == tag), None)
+        if at is not None:
             del self.open[at:]
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self._add(TEXT, data)
+
+
+def nodes(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(page, at, kind, text, path, id, url): the nodes of pages (id, url, html), ``page`` numbering the rows; the first node
+    of a page has its id and url. A null page has this node only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, key, url, html in batch.itertuples(index=False):
+                parser = _Nodes(url or "")
+                parser.feed(html or "")
+                parser.close()
+                at, kind, text, path = zip(*parser.rows)
+                first = [None] * (len(at) - 1)
+                yield pd.DataFrame({"page": page, "at": at, "kind": kind, "text": text, "path": path, "id": [key, *first], "url": [url, *first]})
+
+    schema = f"page bigint, at int, kind string, text string, path array<{_ELEMENT}>, id string, url string"
+    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html")
+    return rows.mapInPandas(run, schema).repartition("page")
 
 
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
-def selects(selector: str):
-    """Test for ``tag``, ``.class``, ``#id`` and their compounds; anything else is an error."""
+def selects(selector: str) -> Callable[[Column], Column]:
+    """Test of a path's element for ``tag``, ``.class``, ``#id`` and their compounds; anything else is an error."""
     m = SELECTOR.fullmatch(selector.strip())
     if not m or not m[0]:
         raise ValueError(f"selector not supported: {selector}")
-    marks = re.findall(r"([.#])([\w-]+)", m[2])
-    classes, ids = {v for k, v in marks if k == "."}, {v for k, v in marks if k == "#"}
-    return lambda e: (not m[1] or e.tag == m[1].lower()) and classes <= set(e.attrs.get("class", "").split()) and ids <= {e.attrs.get("id")}
-
-
-def parse(html: str, strip: list[str]) -> Element:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    tests = [selects(s) for s in strip]
-    stack = [builder.root]
-    while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not any(t(c) for t in tests)]
-        stack += [c for c in node.children if isinstance(c, Element)]
-    return builder.root
-
-
-class Converter:
-    """Markdown of one page. Junk: alt texts, link texts and nodes that consist of them."""
-
-    def __init__(self, base: str, drop_alt: list[str], drop_link: list[str]) -> None:
-        fold = lambda xs: {x.strip().lower() for x in xs}
-        self.base, self.alts, self.links = base, fold(drop_alt), fold(drop_link)
-        self.junk = self.alts | self.links
-        self.headings = self.tables = 0
-
-    def image(self, node: Element) -> str:
-        alt = node.attrs.get("alt", "").strip()
-        return "" if alt.lower() in self.alts else alt
-
-    def inline(self, node: Element) -> str:
-        def render(c) -> str:
-            if isinstance(c, str):
-                return c
-            if c.tag in HIDDEN:
-                return ""
-            if c.tag == "br":
-                return " "
-            if c.tag == "img":
-                return self.image(c)
-            if c.tag == "a":
-                shown, href = c.text(), c.attrs.get("href", "")
-                if shown.lower() in self.links:
-                    return ""
-                return f"[{shown}]({urljoin(self.base, href)})" if ".pdf" in href.lower() else shown
-            return "".join(map(render, c.children))
-
-        joined = "".join(map(render, node.children))
-        return re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]*\n[ \t]*", " ", joined)).strip()
-
-    def table(self, node: Element) -> str:
-        self.tables += 1
-        rows = [[self.inline(c) for c in r.elements() if c.tag in ("td", "th")] for r in node.elements() if r.tag == "tr"]
-        rows = [r for r in rows if r]
-        if not rows:
-            return ""
-        width = max(map(len, rows))
-        lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-        return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
-
-    def items(self, node: Element) -> str:
-        own = [self.inline(c) for c in node.children if isinstance(c, Element) and c.tag == "li"]
-        numbered = node.tag == "ol"
-        return "\n".join(f"{i}. {t}" if numbered else f"- {t}" for i, t in enumerate(own, 1) if t)
-
-    def blocks(self, node: Element) -> Iterator[str]:
-        for c in node.children:
-            if isinstance(c, str):
-                yield c.strip()
-            elif c.tag in HIDDEN or c.tag in ("head", "br", "hr"):
-                continue
-            elif re.fullmatch("h[1-6]", c.tag):
-                shown = self.inline(c)
-                if shown and shown.lower() not in self.junk:
-                    self.headings += 1
-                    yield "#" * int(c.tag[1]) + " " + shown
-            elif c.tag == "table":
-                yield self.table(c)
-            elif c.tag in ("ul", "ol"):
-                yield self.items(c)
-            elif c.tag == "img":
-                yield self.image(c)
-            elif c.tag in ("p", "a"):
-                yield "" if c.tag == "a" and c.text().lower() in self.links else self.inline(c)
-            else:
-                yield from self.blocks(c)
-
-    def convert(self, root: Element) -> tuple[str, str | None, int, int]:
-        """(Markdown, title, headings, tables)."""
-        title = next((e.text() for e in root.elements() if e.tag == "title"), None)
-        body = next((e for e in root.elements() if e.tag == "body"), root)
-        parts = [b for b in self.blocks(body) if b.strip() and b.strip().lower() not in self.junk]
-        return "\n\n".join(parts), title or None, self.headings, self.tables
+    marks = re.findall(r"[.#][\w-]+", m[2])
+    return lambda x: (x.tag == m[1].lower() if m[1] else F.lit(True)) & F.size(F.array_except(F.array(*map(F.lit, marks)).cast("array<string>"), x.marks)).eqNullSafe(0)
+
+
+def _below(path: Column, at: Column, *tags: str) -> Column:
+    """The first element of the path below element ``at`` that has one of the tags."""
+    return F.get(F.filter(path, lambda x: (x.at > at) & (x.tag.isin(*tags) if tags else F.lit(True))), 0)
+
+
+def _titles(found: DataFrame) -> DataFrame:
+    """(page, title): text of the page's first title element."""
+    inside = found.where(F.col("kind") == TEXT).withColumn("title", _below(F.col("path"), F.lit(-1), "title").at).where("title IS NOT NULL")
+    texts = inside.groupBy("page", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: T.strip(x.text)), "").alias("text"))
+    return texts.groupBy("page").agg(F.min_by("text", "title").alias("title"))
+
+
+def _pieces(found: DataFrame, strip: tuple[str, ...]) -> DataFrame:
+    """Nodes of the body that count, each with its block (unit, tag), line and cell of a list or table, and link."""
+    path = F.col("path")
+    gone = [F.exists(path, lambda x: x.tag.isin(*HIDDEN)), *(F.exists(path, selects(s)) for s in strip)]
+    body = F.coalesce(F.min(F.when(F.col("kind") == "body", F.col("at"))).over(Window.partitionBy("page")), F.lit(-1))
+    inside = found.withColumn("body", body).where((F.col("body") < 0) | F.exists(path, lambda x: x.at == F.col("body")))
+    for g in gone:
+        inside = inside.where(~g)
+    block = _below(path, F.col("body"), *UNITS)
+    text_alone = F.when(F.col("kind") == TEXT, F.struct(F.col("at"), F.lit(TEXT).alias("tag")))
+    placed = inside.withColumn("b", F.coalesce(F.when(block.isNotNull(), F.struct(block.at.alias("at"), block.tag.alias("tag"))), text_alone)).where("b IS NOT NULL")
+    unit, none = F.col("b.at"), F.lit(None).cast("int")
+    in_list = F.when(_below(path, unit).tag == "li", _below(path, unit).at)
+    lines = F.when(F.col("b.tag").isin("ul", "ol"), F.array(in_list)).when(F.col("b.tag") == "table", F.transform(F.filter(path, lambda x: (x.at > unit) & (x.tag == "tr")), lambda x: x.at)).otherwise(F.array(none))
+    spread = placed.withColumn("line", F.explode_outer(lines))
+    cell = F.when(F.col("b.tag") == "table", _below(path, F.col("line"), "td", "th").at)
+    spread = spread.withColumn("cell", cell)
+    link = _below(path, F.coalesce("cell", "line", unit), "a")
+    return spread.select("page", unit.alias("unit"), F.col("b.tag").alias("tag"), "line", "cell", link.alias("link"), "at", "kind", "text")
+
+
+def _cells(pieces: DataFrame, alts: list[str], links: list[str]) -> DataFrame:
+    """(page, unit, tag, line, cell, text, plain): inline text with links to PDF files as Markdown, and text alone."""
+    key = ["page", "unit", "tag", "line", "cell"]
+    words = F.filter(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == TEXT, F.struct("at", "text")))), lambda x: T.strip(x.text)), lambda x: x != "")
+    own = F.when(F.col("kind") == TEXT, F.col("text")).when(F.col("kind") == "br", F.lit(" ")).when((F.col("kind") == "img") & ~F.lower("text").isin(*alts), F.col("text")).otherwise(F.lit(""))
+    parts = pieces.groupBy(*key, F.coalesce("link.at", "at").alias("piece")).agg(F.first("link").alias("link"), F.array_join(words, " ").alias("words"), F.first(own).alias("own"))
+    linked = F.when(F.lower("words").isin(*links), F.lit("")).when(F.contains(F.lower("link.href"), F.lit(".pdf")), F.concat(F.lit("["), "words", F.lit("]("), F.col("link.link"), F.lit(")"))).otherwise(F.col("words"))
+    text = F.when(F.col("link").isNull(), F.col("own")).otherwise(linked)
+    ordered = F.array_sort(F.collect_list(F.struct("piece", text.alias("text"), "words")))
+    joined = F.array_join(F.transform(ordered, lambda x: x.text), "")
+    plain = F.array_join(F.filter(F.transform(ordered, lambda x: x.words), lambda x: x != ""), " ")
+    folded = T.strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]*\n[ \t]*", " "), r"[ \t]{2,}", " "))
+    return parts.groupBy(*key).agg(folded.alias("text"), plain.alias("plain"))
+
+
+def _blocks(cells: DataFrame, links: list[str], junk: list[str]) -> DataFrame:
+    """(page, unit, tag, text, counted): the Markdown of each block, and whether it counts as a heading or a table."""
+    row = F.array_sort(F.collect_list(F.struct("cell", "text")))
+    by_line = cells.groupBy("page", "unit", "tag", "line").agg(row.alias("cells"), F.first("text").alias("text"), F.first("plain").alias("plain"))
+    lines = F.array_sort(F.collect_list(F.struct("line", "cells", "text")))
+    units = by_line.groupBy("page", "unit", "tag").agg(lines.alias("all"), F.first("text").alias("text"), F.first("plain").alias("plain"))
+    rows = F.filter(F.transform(F.filter("all", lambda x: x.line.isNotNull()), lambda x: F.transform(F.filter(x.cells, lambda c: c.cell.isNotNull()), lambda c: c.text)), lambda r: F.size(r) > 0)
+    items = F.transform(F.filter("all", lambda x: x.line.isNotNull()), lambda x: x.text)
+    units = units.withColumns({"rows": rows, "items": items}).withColumn("width", F.array_max(F.transform("rows", F.size)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), F.col("width") - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
+    whole = F.array_join(F.concat(F.array(line(F.get("rows", 0)), rule), F.transform(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), line)), "\n")
+    listed = F.transform("items", lambda t, i: F.when(t != "", F.concat(F.when(F.col("tag") == "ol", F.concat((i + 1).cast("string"), F.lit(". "))).otherwise(F.lit("- ")), t)))
+    text = (
+        F.when(F.col("tag").isin(*HEADINGS), F.when((F.col("text") != "") & ~F.lower("text").isin(*junk), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), "text")))
+        .when(F.col("tag") == "table", F.when(F.size("rows") > 0, whole))
+        .when(F.col("tag").isin("ul", "ol"), F.array_join(F.filter(listed, lambda x: x.isNotNull()), "\n"))
+        .when((F.col("tag") == "a") & F.lower("plain").isin(*links), None)
+        .otherwise(F.col("text"))
+    )
+    return units.select("page", "unit", "tag", text.alias("text"))
 
 
 def to_markdown(pages: DataFrame, id_col: str = "page_id", strip: tuple[str, ...] = ("nav", "footer"), drop_alt: tuple[str, ...] = ("image",), drop_link: tuple[str, ...] = ("read more",)) -> DataFrame:
-    """(id, url, title, markdown, headings, tables) of pages (id, url, html). A null page is an empty one."""
-    for s in strip:
-        selects(s)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, url, html in batch.itertuples(index=False):
-                md, title, headings, tables = Converter(url or "", list(drop_alt), list(drop_link)).convert(parse(html or "", list(strip)))
-                rows.append((key, url, title, md, headings, tables))
-            yield pd.DataFrame(rows, columns=[id_col, "url", "title", "markdown", "headings", "tables"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, "url", "html").mapInPandas(run, f"{id_col} {kind}, url string, title string, markdown string, headings int, tables int")
+    """(id, url, title, markdown, headings, tables) of pages (id, url, html). A null page is an empty one.
+
+    Junk goes: elements under ``strip`` selectors, images and links of these texts, blocks that consist of such a text."""
+    alts, links = ([x.strip().lower() for x in xs] for xs in (drop_alt, drop_link))
+    junk = [*alts, *links, ""]
+    found = nodes(pages, id_col)
+    blocks = _blocks(_cells(_pieces(found, strip), [*alts, ""], [*links, ""]), links or [""], junk)
+    kept = F.when((T.strip(F.col("text")) != "") & ~F.lower(T.strip(F.col("text"))).isin(*junk), F.struct("unit", "text"))
+    bodies = blocks.groupBy("page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x.text), "\n\n").alias("markdown"),
+        F.count_if(F.col("tag").isin(*HEADINGS) & F.col("text").isNotNull()).cast("int").alias("headings"),
+        F.count_if(F.col("tag") == "table").cast("int").alias("tables"),
+    )
+    whole = found.where("kind = ''").select("page", "id", "url").join(_titles(found), "page", "left").join(bodies, "page", "left")
+    return whole.select(
+        F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), "url", F.nullif("title", F.lit("")).alias("title"),
+        F.coalesce("markdown", F.lit("")).alias("markdown"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("headings", "tables")),
+    )
 
 
 def navigation_links(pages: DataFrame) -> DataFrame:
     """Distinct (url): absolute addresses of .html and .php links under the first header, else nav, of pages (url, html)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for url, html in batch.itertuples(index=False):
-                root = parse(html or "", [])
-                place = next((e for t in ("header", "nav") for e in root.elements() if e.tag == t), None)
-                hrefs = [e.attrs.get("href", "") for e in place.elements() if e.tag == "a"] if place else []
-                found += [urljoin(url or "", h).split("#")[0] for h in hrefs if re.search(r"\.(?:html|php)(?:[?#]|$)", h)]
-            yield pd.DataFrame({"url": pd.Series(found, dtype=str)})
-
-    return pages.select("url", "html").mapInPandas(run, "url string").distinct()
+    found = nodes(pages.select(F.lit(0).alias("page_id"), "url", "html"))
+    first = lambda tag: F.min(F.when(F.col("kind") == tag, F.col("at"))).over(Window.partitionBy("page"))
+    links = found.withColumn("place", F.coalesce(first("header"), first("nav"))).where((F.col("kind") == "a") & F.exists("path", lambda x: x.at == F.col("place")))
+    own = links.select(F.get("path", F.size("path") - 1).alias("a")).where(F.col("a.href").rlike(r"\.(?:html|php)(?:[?#]|$)"))
+    return own.select(F.regexp_replace("a.link", "#.*$", "").alias("url")).distinct()
 
 
 def apply_diff(text: str, diff: str) -> str:
