@@ -31,20 +31,20 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop_cut, free_shuffles, mix
+from lodestone.llm.common import cut, free_shuffles, mix
 
 #: Own tokens of a piece, tokens of a block, and about how many n-grams of all blocks a slice gets.
-PIECE, BLOCK, SLICE = 1024, 1_000_000, 2_000_000
+PIECE, BLOCK, SLICE = 1024, 500_000, 1_000_000
 #: What the base model adds to every count.
 ADDED = 0.1
 #: Prior weights of pairs and triples of words: of 1 to 10,000 these gave held-out texts of 10,000 documents the best scores.
@@ -69,13 +69,13 @@ def word_hashes(text: str, chars: int = 1 << 20) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Integers byte by byte, all lowest bytes first: the upper ones, mostly zero, compress to nothing."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """Integers byte by byte, all lowest bytes first, compressed: of the upper ones, mostly zero, hardly anything is left."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
 def from_planes(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
 def pack(ascending: np.ndarray) -> bytes:
@@ -97,7 +97,7 @@ def _blocks(order: int, doc_type: pa.DataType):
             words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
             columns = [[list(c)] for c in zip(*pieces)]
             name = xxhash.xxh3_64_intdigest(f"{pieces[0][0]}:{first}") >> 1
-            return pa.RecordBatch.from_pylist([{"block": name, **{n: c[0] for (n, _), c in zip(fields, columns)}, "words": pack(words), "tokens": planes(tokens.astype(np.uint32))}], schema)
+            return pa.RecordBatch.from_pylist([{"block": name, **{n: c[0] for (n, _), c in zip(fields, columns)}, "words": pack(words), "tokens": planes(tokens.astype(np.int32))}], schema)
 
         for batch in batches:
             for row, doc_id, held, text in zip(*batch.columns, strict=True):
@@ -124,12 +124,12 @@ class Grams:
 
     def __init__(self, order: int, block: dict) -> None:
         self.order, self.words = order, unpack(block["words"])
-        self.tokens = from_planes(block["tokens"], np.uint32).astype(np.int64)
+        self.tokens = from_planes(block["tokens"], np.int32)
         self.lead, self.own = np.array(block["lead"], np.int64), np.array(block["own"], np.int64)
         self.size = self.lead + self.own
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.size)
-        self.counts_here = place >= np.repeat(self.lead, self.size)
+        place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.size)
+        self.counts_here = place >= np.repeat(self.lead.astype(np.int32), self.size)
         train = np.repeat(~np.array(block["held"], bool), self.size)
         self.at, self.keys, self.counts, self.before, self.suffix = [None, self.tokens], [None, self.words], [None], [None, None], [None, None]
         self.last = [None, np.arange(len(self.words))]
@@ -137,10 +137,10 @@ class Grams:
         starts = self.words[self.tokens] == START
         self.counts.append(np.bincount(self.tokens[train & (self.counts_here | starts)], minlength=len(self.words)))
         for k in range(2, order + 1):
-            previous = np.concatenate([[-1], self.at[k - 1][:-1]])
+            previous = np.concatenate([np.array([-1], np.int32), self.at[k - 1][:-1]])
             known = (previous >= 0) & (place >= k - 1)
-            codes, found = pd.factorize(previous[known] * len(self.words) + self.tokens[known])
-            at = np.full(len(self.tokens), -1)
+            codes, found = pd.factorize(previous[known].astype(np.int64) * len(self.words) + self.tokens[known])
+            at = np.full(len(self.tokens), -1, np.int32)
             at[known] = codes
             before, last = np.divmod(found, len(self.words))
             suffix = np.empty(len(found), np.int64)
@@ -159,18 +159,18 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _ask(order: int, bits: int):
+def _ask(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _rows(batch):
-                grams, out = Grams(order, block), []
-                for k in range(1, order + 1):
-                    by_key = np.argsort(grams.keys[k])
-                    keys, counts = grams.keys[k][by_key], grams.counts[k][by_key].astype(np.uint32)
-                    upper = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    edges = np.flatnonzero(np.diff(upper, prepend=-1, append=-1))
-                    for a, b in zip(edges[:-1], edges[1:]):
-                        out.append((k << 32 | int(upper[a]), block["block"], pack(keys[a:b]), planes(counts[a:b])))
+                grams, out = Grams(k, block), []
+                by_key = np.argsort(grams.keys[k])
+                keys, counts = grams.keys[k][by_key], grams.counts[k][by_key].astype(np.uint32)
+                upper = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                edges = np.flatnonzero(np.diff(upper, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:]):
+                    out.append((k << 32 | int(upper[a]), block["block"], pack(keys[a:b]), planes(counts[a:b])))
+                del grams, by_key, keys, counts
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["slice", "block", "keys", "counts"])
 
     return run
@@ -290,9 +290,13 @@ def score(docs: DataFrame, held_out, order: int = 3, prior: tuple[float, ...] =
     blocks = cut(rows.mapInArrow(_blocks(order, doc_type), schema), "lm-blocks")
     n = blocks.select(F.sum(F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, n / SLICE))))
-    asked = blocks.mapInArrow(_ask(order, bits), "slice bigint, block bigint, keys binary, counts binary")
-    answers = cut(asked.groupBy("slice").applyInArrow(_answer, "block bigint, slice bigint, others binary, n_words bigint, n_tokens bigint"), "lm-answers")
-    free_shuffles(spark)
+    answers = None
+    for k in range(1, order + 1):  # order by order, so that one order's n-grams are on disk at a time
+        asked = blocks.select("block", "held", "lead", "own", "words", "tokens").mapInArrow(_ask(k, bits), "slice bigint, block bigint, keys binary, counts binary")
+        told = cut(asked.groupBy("slice").applyInArrow(_answer, "block bigint, slice bigint, others binary, n_words bigint, n_tokens bigint"), "lm-answers")
+        answers = answers.unionByName(told) if answers else told
+        del asked, told
+        free_shuffles(spark)
     sums = answers.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     words, tokens = (sums[0] or 0), (sums[1] or 0)
     out = pa.schema([("row", pa.int64()), ("doc_id", doc_type), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
