@@ -54,8 +54,12 @@ def drop_cut(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished frames now, not at the driver's next collection."""
+def free_shuffles(spark: SparkSession, last: bool = False) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished frames now, not at the driver's next collection.
+
+    The scheduler holds on to the last job until another one comes; with ``last`` an empty one lets go of it."""
+    if last:
+        spark._jsparkSession.range(1).queryExecution().toRdd().count()
     gc.collect()
     spark._jvm.System.gc()
 

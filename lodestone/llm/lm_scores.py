@@ -296,7 +296,7 @@ def score(docs: DataFrame, held_out, order: int = 3, prior: tuple[float, ...] =
         told = cut(asked.groupBy("slice").applyInArrow(_answer, "block bigint, slice bigint, others binary, n_words bigint, n_tokens bigint"), "lm-answers")
         answers = answers.unionByName(told) if answers else told
         del asked, told
-        free_shuffles(spark)
+        free_shuffles(spark, last=True)
     sums = answers.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     words, tokens = (sums[0] or 0), (sums[1] or 0)
     out = pa.schema([("row", pa.int64()), ("doc_id", doc_type), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
