@@ -226,3 +226,20 @@ def patch(docs: DataFrame, patches: DataFrame, key: str = "sha256", body: str =
             yield batch.drop(columns="diff")
 
     return joined.mapInPandas(run, docs.select(key, *(c for c in docs.columns if c != key)).schema)
+
+
+def try_patch(docs: DataFrame, patches: DataFrame, key: str = "sha256", body: str = "markdown") -> DataFrame:
+    """``docs`` with ``patched`` and ``patch_error``: a diff that doesn't apply leaves the text and tells why."""
+
+    def apply(texts: pd.Series, diffs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, diff in zip(texts, diffs):
+            try:
+                rows.append((apply_diff(text, diff), True, None) if isinstance(diff, str) else (text, False, None))
+            except ValueError as e:
+                rows.append((text, False, str(e)))
+        return pd.DataFrame(rows, columns=["text", "patched", "error"])
+
+    one = patches.groupBy(key).agg(F.first("diff").alias("_diff"))
+    tried = docs.join(one, key, "left").withColumn("_p", F.pandas_udf(apply, "text string, patched boolean, error string")(F.col(body), F.col("_diff")))
+    return tried.select(*(c for c in docs.columns if c != body), F.col("_p.text").alias(body), F.col("_p.patched").alias("patched"), F.col("_p.error").alias("patch_error"))
