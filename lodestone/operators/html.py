@@ -76,8 +76,7 @@ def nodes(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
                 yield pd.DataFrame({"page": page, "at": at, "kind": kind, "text": text, "path": path, "id": [key, *first], "url": [url, *first]})
 
     schema = f"page bigint, at int, kind string, text string, path array<{_ELEMENT}>, id string, url string"
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html")
-    return rows.mapInPandas(run, schema).repartition("page")
+    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html").mapInPandas(run, schema)
 
 
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
@@ -97,32 +96,39 @@ def _below(path: Column, at: Column, *tags: str) -> Column:
     return F.get(F.filter(path, lambda x: (x.at > at) & (x.tag.isin(*tags) if tags else F.lit(True))), 0)
 
 
-def _titles(found: DataFrame) -> DataFrame:
+def _placed(found: DataFrame, strip: tuple[str, ...]) -> DataFrame:
+    """Nodes that count, without their paths: first nodes of pages, texts of titles, and nodes with their block (unit, tag), line
+    and cell of a list or table, and link. A page's rows share a partition from here on."""
+    path, none = F.col("path"), F.lit(None).cast("int")
+    is_text = F.col("kind") == TEXT
+    gone = F.exists(path, lambda x: x.tag.isin(*HIDDEN))
+    for s in strip:
+        gone = gone | F.exists(path, selects(s))
+    body = _below(path, F.lit(-1), "body").at
+    block = _below(path, F.coalesce(body, F.lit(-1)), *UNITS)
+    alone = F.when(is_text, F.struct(F.col("at"), F.lit(TEXT).alias("tag")))
+    unit = F.when(~gone, F.coalesce(F.when(block.isNotNull(), F.struct(block.at.alias("at"), block.tag.alias("tag"))), alone))
+    rows = found.withColumns({"title": F.when(is_text, _below(path, F.lit(-1), "title").at), "body": body, "b": unit}).where("kind = '' OR title IS NOT NULL OR b IS NOT NULL")
+    at = F.col("b.at")
+    item = F.when(_below(path, at).tag == "li", _below(path, at).at)
+    lines = F.when(F.col("b.tag").isin("ul", "ol"), F.array(item)).when(F.col("b.tag") == "table", F.transform(F.filter(path, lambda x: (x.at > at) & (x.tag == "tr")), lambda x: x.at)).otherwise(F.array(none))
+    spread = rows.withColumn("line", F.explode_outer(lines))
+    spread = spread.withColumn("cell", F.when(F.col("b.tag") == "table", _below(path, F.col("line"), "td", "th").at))
+    link = F.when(F.col("b").isNotNull(), _below(path, F.coalesce("cell", "line", at), "a"))
+    kept = F.when(link.isNotNull(), F.struct(link.at.alias("at"), link.href.alias("href"), link.link.alias("link")))
+    return spread.select("page", "at", "kind", "text", "id", "url", "title", "body", at.alias("unit"), F.col("b.tag").alias("tag"), "line", "cell", kept.alias("link")).repartition("page")
+
+
+def _titles(placed: DataFrame) -> DataFrame:
     """(page, title): text of the page's first title element."""
-    inside = found.where(F.col("kind") == TEXT).withColumn("title", _below(F.col("path"), F.lit(-1), "title").at).where("title IS NOT NULL")
-    texts = inside.groupBy("page", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: T.strip(x.text)), "").alias("text"))
+    texts = placed.where("title IS NOT NULL").groupBy("page", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "text"))), lambda x: T.strip(x.text)), "").alias("text"))
     return texts.groupBy("page").agg(F.min_by("text", "title").alias("title"))
 
 
-def _pieces(found: DataFrame, strip: tuple[str, ...]) -> DataFrame:
-    """Nodes of the body that count, each with its block (unit, tag), line and cell of a list or table, and link."""
-    path = F.col("path")
-    gone = [F.exists(path, lambda x: x.tag.isin(*HIDDEN)), *(F.exists(path, selects(s)) for s in strip)]
-    body = F.coalesce(F.min(F.when(F.col("kind") == "body", F.col("at"))).over(Window.partitionBy("page")), F.lit(-1))
-    inside = found.withColumn("body", body).where((F.col("body") < 0) | F.exists(path, lambda x: x.at == F.col("body")))
-    for g in gone:
-        inside = inside.where(~g)
-    block = _below(path, F.col("body"), *UNITS)
-    text_alone = F.when(F.col("kind") == TEXT, F.struct(F.col("at"), F.lit(TEXT).alias("tag")))
-    placed = inside.withColumn("b", F.coalesce(F.when(block.isNotNull(), F.struct(block.at.alias("at"), block.tag.alias("tag"))), text_alone)).where("b IS NOT NULL")
-    unit, none = F.col("b.at"), F.lit(None).cast("int")
-    in_list = F.when(_below(path, unit).tag == "li", _below(path, unit).at)
-    lines = F.when(F.col("b.tag").isin("ul", "ol"), F.array(in_list)).when(F.col("b.tag") == "table", F.transform(F.filter(path, lambda x: (x.at > unit) & (x.tag == "tr")), lambda x: x.at)).otherwise(F.array(none))
-    spread = placed.withColumn("line", F.explode_outer(lines))
-    cell = F.when(F.col("b.tag") == "table", _below(path, F.col("line"), "td", "th").at)
-    spread = spread.withColumn("cell", cell)
-    link = _below(path, F.coalesce("cell", "line", unit), "a")
-    return spread.select("page", unit.alias("unit"), F.col("b.tag").alias("tag"), "line", "cell", link.alias("link"), "at", "kind", "text")
+def _pieces(placed: DataFrame) -> DataFrame:
+    """Nodes of blocks in the page's first body; a page without a body is all body."""
+    first = F.min("body").over(Window.partitionBy("page"))
+    return placed.withColumn("_first", first).where("unit IS NOT NULL AND (_first IS NULL OR body = _first)").drop("_first")
 
 
 def _cells(pieces: DataFrame, alts: list[str], links: list[str]) -> DataFrame:
@@ -169,8 +175,8 @@ def to_markdown(pages: DataFrame, id_col: str = "page_id", strip: tuple[str, ...
     Junk goes: elements under ``strip`` selectors, images and links of these texts, blocks that consist of such a text."""
     alts, links = ([x.strip().lower() for x in xs] for xs in (drop_alt, drop_link))
     junk = [*alts, *links, ""]
-    found = nodes(pages, id_col)
-    blocks = _blocks(_cells(_pieces(found, strip), [*alts, ""], [*links, ""]), links or [""], junk)
+    found = _placed(nodes(pages, id_col), strip)
+    blocks = _blocks(_cells(_pieces(found), [*alts, ""], [*links, ""]), links or [""], junk)
     kept = F.when((T.strip(F.col("text")) != "") & ~F.lower(T.strip(F.col("text"))).isin(*junk), F.struct("unit", "text"))
     bodies = blocks.groupBy("page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x.text), "\n\n").alias("markdown"),
@@ -186,7 +192,7 @@ def to_markdown(pages: DataFrame, id_col: str = "page_id", strip: tuple[str, ...
 
 def navigation_links(pages: DataFrame) -> DataFrame:
     """Distinct (url): absolute addresses of .html and .php links under the first header, else nav, of pages (url, html)."""
-    found = nodes(pages.select(F.lit(0).alias("page_id"), "url", "html"))
+    found = nodes(pages.select(F.lit(0).alias("page_id"), "url", "html")).repartition("page")
     first = lambda tag: F.min(F.when(F.col("kind") == tag, F.col("at"))).over(Window.partitionBy("page"))
     links = found.withColumn("place", F.coalesce(first("header"), first("nav"))).where((F.col("kind") == "a") & F.exists("path", lambda x: x.at == F.col("place")))
     own = links.select(F.get("path", F.size("path") - 1).alias("a")).where(F.col("a.href").rlike(r"\.(?:html|php)(?:[?#]|$)"))
