@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +67,35 @@ def nodes(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page, at, kind, text, path, id, url): the nodes of pages (id, url, html), ``page`` numbering the rows; the first node
     of a page has its id and url. A null page has this node only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            for page, key, url, html in batch.itertuples(index=False):
+            for page, key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parser = _Nodes(url or "")
                 parser.feed(html or "")
                 parser.close()
-                at, kind, text, path = zip(*parser.rows)
-                first = [None] * (len(at) - 1)
-                yield pd.DataFrame({"page": page, "at": at, "kind": kind, "text": text, "path": path, "id": [key, *first], "url": [url, *first]})
+                held += ((page, *row, key if row[0] == 0 else None, url if row[0] == 0 else None) for row in parser.rows)
+                if len(held) > 20_000:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
 
     schema = f"page bigint, at int, kind string, text string, path array<{_ELEMENT}>, id string, url string"
-    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html").mapInPandas(run, schema)
+    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html").mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as Arrow columns; paths go in as flat columns of their elements."""
+    page, at, kind, text, path, key, url = zip(*rows)
+    flat = [e for p in path for e in p]
+    column = lambda name, t: pa.array([e[name] for e in flat], t)
+    parts = [column("at", pa.int32()), column("tag", pa.string()), column("marks", pa.list_(pa.string())), column("href", pa.string()), column("link", pa.string())]
+    elements = pa.StructArray.from_arrays(parts, names=["at", "tag", "marks", "href", "link"])
+    offsets = pa.array(list(accumulate(map(len, path), initial=0)), pa.int32())
+    paths = pa.ListArray.from_arrays(offsets, elements)
+    own = [pa.array(page, pa.int64()), pa.array(at, pa.int32()), pa.array(kind, pa.string()), pa.array(text, pa.string()), paths, pa.array(key, pa.string()), pa.array(url, pa.string())]
+    return pa.RecordBatch.from_arrays(own, names=["page", "at", "kind", "text", "path", "id", "url"])
 
 
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
