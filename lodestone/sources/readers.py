@@ -6,7 +6,9 @@ Small hand-kept files (source lists, families, questions) are read on the driver
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +132,45 @@ def cached(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A stored classification, or None if there is none yet."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return spark.read.schema(schema).json(path) if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath) else None
+
+
+def only_client(names: list[str]) -> str:
+    """The one client that there is; none or several are an error."""
+    if len(names) != 1:
+        raise ValueError(f"name one client of: {', '.join(sorted(names)) or 'none'}")
+    return names[0]
+
+
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """(agent, body) of a folder's prompts: ``<agent>.md``, else ``<agent>.txt``."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{md,txt}").select(F.col("value").alias("body"), F.input_file_name().alias("path"))
+    name = files.withColumns({"agent": F.regexp_extract("path", r"([^/]+)\.(?:md|txt)$", 1), "rank": F.col("path").endswith(".txt")})
+    return name.groupBy("agent").agg(F.min_by("body", "rank").alias("body"))
+
+
+def questions(spark: SparkSession, content: str, schema: str) -> DataFrame:
+    """Golden questions of a YAML file in the suite's schema: arguments of tools as JSON, what isn't given as null."""
+    rows = []
+    for q in simple_yaml(content).get("questions") or []:
+        fact = q.get("fact")
+        rows.append(json.dumps({**q, **({"fact": {**fact, "args": json.dumps(fact.get("args") or {})}} if fact else {})}))
+    texts = spark.createDataFrame([(r,) for r in rows], "j string")
+    return texts.select(F.from_json("j", schema).alias("q")).select("q.*")
+
+
+def witnesses(files: DataFrame, read: Callable[[bytes], str]) -> DataFrame:
+    """(sha256, witness) of raw PDF files (sha256, content): their text by another reader than the converter's, behind a function.
+
+    A file that it can't read has no witness."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for content in batch["content"]:
+                try:
+                    texts.append(read(bytes(content)))
+                except (OSError, ValueError):
+                    texts.append(None)
+            yield pd.DataFrame({"sha256": batch["sha256"], "witness": pd.Series(texts, dtype=object)})
+
+    return files.select("sha256", "content").mapInPandas(run, "sha256 string, witness string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,20 @@ def write_json(rows: DataFrame, path: str) -> None:
 def append_log(calls: DataFrame, path: str) -> None:
     """Model calls at the end of a log of JSON lines."""
     calls.write.mode("append").json(path)
+
+
+def as_yaml(rows: DataFrame, name: str, order: str) -> str:
+    """A hand-kept list (families, dispositions) as YAML that ``readers.simple_yaml`` reads back: one mapping a row, nulls left out.
+
+    Such lists are for people to edit: a few hundred rows, collected to the driver."""
+    lines = [f"{name}:"]
+    for row in rows.orderBy(order).collect():
+        fields = [(k, v) for k, v in row.asDict().items() if v is not None]
+        lines += [f"{'  - ' if i == 0 else '    '}{k}: {json.dumps(v, ensure_ascii=False)}" for i, (k, v) in enumerate(fields)]
+    return "\n".join(lines) + "\n"
+
+
+def sessions(created: DataFrame, touches: DataFrame) -> DataFrame:
+    """Sessions (session_id, created_at, …) with ``last_at``: the latest of the times appended when they were touched."""
+    last = touches.groupBy("session_id").agg(F.max("at").alias("_at"))
+    return created.join(last, "session_id", "left").withColumn("last_at", F.greatest("created_at", "_at")).drop("_at")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import documents
@@ -69,3 +70,49 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.seq, r.gas, r.capacity) for r in spark.table("slots").collect()}
     assert got == {(1, "h2", 5.0), (2, "h2", 5.0), (3, None, 7.0)}
+
+
+GOLDEN = """
+questions:
+  - id: a
+    question: "Which office covers Delhi?"
+    fact:
+      tool: get_office
+      args:
+        city: Delhi
+      expect_ids: ["o1"]
+    expected_outcome: answer
+    expected_answer_contains:
+      - Delhi
+  - id: b
+    question: hello
+    retrieval:
+      query: range
+      k: 3
+      expect_doc: d1
+"""
+
+
+def test_golden_questions_and_prompts(spark, tmp_path):
+    from lodestone.operators import golden
+
+    rows = {r.id: r for r in readers.questions(spark, GOLDEN, golden.QUESTION).collect()}
+    assert (rows["a"].fact.tool, rows["a"].fact.args, rows["a"].fact.expect_ids, rows["a"].expected_answer_contains, rows["a"].retrieval) == ("get_office", '{"city": "Delhi"}', ["o1"], ["Delhi"], None)
+    assert (rows["b"].retrieval.k, rows["b"].retrieval.expect_doc, rows["b"].fact) == (3, "d1", None)
+    for name, text in (("triage.md", "new"), ("triage.txt", "old"), ("faq.txt", "faq"), ("notes.log", "no")):
+        (tmp_path / name).write_text(text)
+    assert {r.agent: r.body for r in readers.prompts(spark, str(tmp_path)).collect()} == {"triage": "new", "faq": "faq"}
+
+
+def test_records_witnesses_lists_and_sessions(spark):
+    assert readers.only_client(["x"]) == "x"
+    with pytest.raises(ValueError):
+        readers.only_client(["x", "y"])
+    raw = spark.createDataFrame([("s1", b"text"), ("s2", b"\xff")], "sha256 string, content binary")
+    assert {r.sha256: r.witness for r in readers.witnesses(raw, lambda content: content.decode()).collect()} == {"s1": "text", "s2": None}
+    fams = spark.createDataFrame([("b", "Böoster: big", None, ["x"]), ("a", None, 2, None)], "id string, name string, n int, standards array<string>")
+    text = sinks.as_yaml(fams, "families", "id")
+    assert readers.simple_yaml(text) == {"families": [{"id": "a", "n": 2}, {"id": "b", "name": "Böoster: big", "standards": ["x"]}]}
+    created = spark.createDataFrame([("s1", 1), ("s2", 5)], "session_id string, created_at int")
+    touched = spark.createDataFrame([("s1", 3), ("s1", 2)], "session_id string, at int")
+    assert {r.session_id: r.last_at for r in sinks.sessions(created, touched).collect()} == {"s1": 3, "s2": 5}
