@@ -23,6 +23,8 @@ different components are compared too. Before texts are fetched, a parity sketch
 (1,024 bits, and some bits a token for larger sets; its Hamming distance never
 exceeds the number of differing tokens) drops pairs that can't link. Every pair left is verified on its whole sets.
 Thus no link between components is lost, and pairs inside a component aren't listed.
+Where links are to be counted, the classes of a component are compared block by block on
+their whole sets, and a class gets the sum of the documents it links with.
 
 Documents of one set are joined to their class by ``join_groups``, and the rows of a
 large open bucket are dealt out over several tasks, so no task gets a hot group whole.
@@ -54,6 +56,8 @@ BAND_RATIO = 1.4
 SKETCH_BITS = 1024
 #: Rows of an open bucket that one task takes.
 BUCKET_ROWS = 1000
+#: For link counts: classes of a block, and shingles that are compared at a time.
+BLOCK_CLASSES, COLUMNS = 512, 4096
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,10 +282,93 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     return joined.mapInArrow(_verifier(percent, size), "u bigint, v bigint")
 
 
-def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every document.
+def _block_counter(percent: int):
+    """Rows (component, lo, hi, block, class_id, docs, tokens) sorted by their first three: for each class, the documents of the
+    classes that it links with in the other block (or its own, where both are one)."""
+
+    def count(rows: list[dict]) -> pa.RecordBatch | None:
+        lo, hi = rows[0]["lo"], rows[0]["hi"]
+        a = [r for r in rows if r["block"] == lo]
+        b = [r for r in rows if r["block"] == hi]
+        if not a or not b:
+            return None
+        both = a if lo == hi else a + b
+        sets = [np.frombuffer(r["tokens"], np.uint64) for r in both]
+        sizes = np.array([len(t) for t in sets])
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = seen > 1
+        keep = shared[column]
+        row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        first_b = 0 if lo == hi else len(a)
+        met = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(shared.sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+            held = np.zeros((len(sets), COLUMNS), np.float32)
+            held[row[part], column[part] - at] = 1
+            met += held[: len(a)] @ held[first_b:].T
+        link = 100 * met >= percent * (sizes[: len(a), None] + sizes[None, first_b:] - met)
+        if lo == hi:
+            np.fill_diagonal(link, False)
+        docs = np.array([r["docs"] for r in both], np.int64)
+        found = link @ docs[first_b:]
+        if lo != hi:
+            found = np.concatenate([found, link.T @ docs[: len(a)]])
+        return pa.RecordBatch.from_arrays([pa.array([r["class_id"] for r in both], pa.int64()), pa.array(found, pa.int64())], names=["class_id", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and any(held[0][c] != r[c] for c in ("component", "lo", "hi")):
+                    if found := count(held):
+                        yield found
+                    held = []
+                held.append(r)
+        if held and (found := count(held)):
+            yield found
+
+    return run
+
 
-    class_id: the least document with the same set; component_id: the least one reachable by links."""
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["class_id", "tokens"])
+
+    return run
+
+
+def _count_links(nodes: DataFrame, classes: DataFrame, bodies: DataFrame, percent: int, size: int) -> DataFrame:
+    """(class_id, links): for each class with links to other sets, how many documents those have.
+
+    Components are cut into blocks of about ``BLOCK_CLASSES`` by hash; each pair of blocks is a group of its own, compared on
+    whole sets in one product of matrices, and leaves sums by class, never pairs."""
+    docs = classes.groupBy("class_id").agg(F.count("*").alias("docs"))
+    members = nodes.select(F.col("node").alias("class_id"), "component").join(docs, "class_id")
+    blocks = members.groupBy("component").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    blocks = cut(blocks.withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK_CLASSES).cast("bigint")), "component-blocks")
+    placed = join_groups(members, blocks, ["component"], F.xxhash64("class_id")).where("blocks IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    sets = bodies.join(placed.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "class_id bigint, tokens binary")
+    sets = cut(sets.join(placed, "class_id"), "component-sets")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    dealt = sets.select("component", "block", "class_id", "docs", "tokens", other)
+    dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class_id", "docs", "tokens")
+    key = ["component", "lo", "hi"]
+    counted = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_counter(percent), "class_id bigint, links bigint")
+    counted = cut(counted.groupBy("class_id").agg(F.sum("links").alias("links")), "link-counts")
+    drop_cut(sets)
+    return counted
+
+
+def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every document, and n_links on request.
+
+    class_id: the least document with the same set; component_id: the least one reachable by links; n_links: the number of
+    other documents that it links with, equal sets among them."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text")
     plan = Plan(percent, size)
     index = cut(texts.mapInArrow(_indexer(plan), INDEX), "shingle-index")
@@ -352,13 +439,23 @@ def similarity_classes(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     rest = cut(rest.select(F.col("adoc_id").alias("u"), F.col("bdoc_id").alias("v")).distinct(), "rest-pairs")
     rest = cut(_sift(rest, wides, percent), "sifted-pairs")
     more = cut(_links(rest, bodies, percent, size), "rest-links")
-    for used in (labelled, rest, bodies, members):
+    for used in (labelled, rest, members):
         drop_cut(used)
     final = components(found.unionByName(more)) if more.limit(1).count() else joined
-
-    return class_of.join(final, F.col("class_id") == F.col("node"), "left").select(
+    told = class_of.join(final, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
+    if not links:
+        drop_cut(bodies)
+        return told
+    free_shuffles(docs.sparkSession)
+    across = _count_links(cut(final, "nodes"), class_of, bodies, percent, size)
+    drop_cut(bodies)
+    # Classes of several documents or with links to others; all others have no link. A hot class is joined by broadcast.
+    sizes = class_of.where("n > 0").groupBy("class_id").agg(F.count("*").alias("n_rows")).join(across, "class_id", "left")
+    sizes = cut(sizes.withColumn("_links", F.col("n_rows") - 1 + F.coalesce("links", F.lit(0))).where("_links > 0").select("class_id", "n_rows", "_links"), "class-links")
+    counted = join_groups(told, sizes, ["class_id"], F.xxhash64("doc_id"))
+    return counted.withColumn("n_links", F.coalesce("_links", F.lit(0))).drop("_links")
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:

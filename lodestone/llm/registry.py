@@ -35,8 +35,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), percent=90, size=3)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), percent=90, size=3, links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,3 +428,24 @@ def test_recall_by_strength_of_paraphrase(spark):
         own = {(d, k) for d, k in want if strength[d] == share}
         print(share, len(own), len(own & found))
         assert len(own) >= 6 and len(own & found) >= 0.9 * len(own)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_link_counts(spark, monkeypatch, block):
+    """Copies, near copies in a chain, strangers, empty texts: every document's links against brute force, in one block and in many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = ["", None, "alone in the world here", "alone in the world here"]
+    for k in range(30):
+        words = list(base)
+        for at in rng.choice(60, k % 7, replace=False):
+            words[at] = f"x{rng.integers(20)}"
+        texts += [" ".join(words)] * int(rng.integers(1, 4))
+    texts += [" ".join(f"y{i + k}" for i in range(40)) for k in range(0, 12, 2)]
+    sets = [set(jaccard_join.shingle_set(t, 3).tolist()) for t in texts]
+    want = [sum(j != i and bool(a) and 100 * len(a & b) >= 70 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in jaccard_join.similarity_classes(frame(spark, texts), 70, 3, links=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) > 10
+    assert jaccard_join.similarity_classes(frame(spark, []), links=True).count() == 0
