@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
 from lodestone.functions import units as U
 from lodestone.operators import evidence, release, turns
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import units as U
-from lodestone.operators import calls, evals, grounding, turns
+from lodestone.operators import calls, dialog, evals, evidence, grounding, turns
 
 QUESTION = (
     "id string, question string, fact struct<tool:string,args:string,expect_ids:array<string>>, "
@@ -53,7 +53,7 @@ def retrieval(questions: DataFrame, store: calls.Store, encode: Callable[[list[s
     asked = questions.where("retrieval IS NOT NULL").select(F.col("id").alias("call_id"), F.coalesce(r("query"), "question").alias("query"), r("division").alias("division"), r("family_ids").alias("family_ids"), F.coalesce(r("k"), F.lit(5)).alias("k"))
     vector = F.lit(None).cast("array<double>")
     if encode:
-        found = turns.evidence.embed(asked.select("call_id", F.col("query").alias("content")), encode, dimension, id_col="call_id")
+        found = evidence.embed(asked.select("call_id", F.col("query").alias("content")), encode, dimension, id_col="call_id")
         asked = asked.join(found.withColumnRenamed("embedding", "v"), "call_id", "left")
         vector = F.col("v").cast("array<double>")
     rows = asked.select("call_id", F.lit("search_documents").alias("tool"), F.to_json(F.struct("query", "division", "family_ids", "k")).alias("args"), vector.alias("vector"))
@@ -76,7 +76,7 @@ def attempt(questions: DataFrame, store: calls.Store, call: Callable[[str], str]
     none = F.lit(None).cast("array<struct<role:string,text:string>>")
     asked = questions.select(F.col("id").alias("turn_id"), F.col("id").alias("session_id"), F.lit(1).alias("seq"), F.col("question").alias("text"), none.alias("history"))
     done = turns.answer(asked, store, call, prompts, None, encode, dimension)
-    answers = turns.dialog.answer_text(done.messages)
+    answers = dialog.answer_text(done.messages)
     cited = done.citations.groupBy(F.col("answer_id").alias("turn_id")).agg(F.collect_set("ref_id").alias("cited"))
     texts = done.tool_calls.select("turn_id", F.concat_ws(" ", "args", "result").alias("t")).unionByName(asked.select("turn_id", F.col("text").alias("t")))
     allowed = grounding.universe(texts, "turn_id", "t")
@@ -97,8 +97,8 @@ def attempt(questions: DataFrame, store: calls.Store, call: Callable[[str], str]
         wrong, tell(says("expected_answer_contains", False), "missing text "), tell(says("must_not_contain", True), "forbidden text "), tell(leaks, "Latin words "),
         tell(F.array_except(F.coalesce("expected_source_ids", empty), "cited"), "missing sources "), tell(F.when(F.col("outcome") == "handoff", unsourced).otherwise(empty), "unsourced numbers "),
     )
-    evidence = F.concat(F.lit("outcome="), F.coalesce("logged", F.lit("")), F.lit(" cites="), _listed(F.col("cited")), F.lit(" answer="), F.col("answer"))
-    return turns.settled(rows.select(F.col("turn_id").alias("id"), errors.alias("errors"), evidence.alias("evidence")))
+    shown = F.concat(F.lit("outcome="), F.coalesce("logged", F.lit("")), F.lit(" cites="), _listed(F.col("cited")), F.lit(" answer="), F.col("answer"))
+    return turns.settled(rows.select(F.col("turn_id").alias("id"), errors.alias("errors"), shown.alias("evidence")))
 
 
 def whole_turns(questions: DataFrame, store: calls.Store, call: Callable[[str], str] | None, prompts: dict[str, str] | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None, dimension: int = 0) -> DataFrame:
