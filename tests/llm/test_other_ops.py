@@ -284,5 +284,5 @@ def test_pipeline_on_odd_rows(spark, sf):
 def test_registry_names():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
