@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -250,23 +250,46 @@ def overlap(window: str, count: Counter, tokens: int) -> str:
     return " ".join(parts[low:])
 
 
-def pack(text: str, count: Counter, budget: int = 600, shared: int = 60, limit: int = 8192, keep: Callable[[str], bool] = lambda p: True) -> list[str]:
-    """Chunk contents of one section: blocks packed up to the budget; each chunk begins with the previous window's tail."""
+def split_words(block: str, count: Counter, budget: int) -> list[str]:
+    """A paragraph as runs of whole words within the budget, in order; only spaces between the runs are lost."""
+    words, found = list(re.finditer(r"\S+", block)), []
+    while words:
+        low, high = 1, min(len(words), budget)
+        while low < high:  # counts grow with the run
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if count(block[words[0].start() : words[middle - 1].end()]) <= budget else (low, middle - 1)
+        found.append(block[words[0].start() : words[low - 1].end()])
+        words = words[low:]
+    return found
+
+
+def pack(text: str, count: Counter, budget: int = 600, shared: int = 60, limit: int = 8192, keep: Callable[[str], bool] = lambda p: True, headings: Sequence[str] = ()) -> list[str]:
+    """Chunk contents of one section: blocks packed up to the budget; each chunk begins with the previous window's tail.
+
+    A paragraph that no chunk under the limit can hold is split between words; shorter ones stay whole, over the budget too."""
     units: list[str] = []
+    prose: set[str] = set()
     for block, is_table in split_blocks(text):
         if is_table:
             units += [block] if count(block) <= budget else split_table(block, count, budget, limit)
         elif keep(block):
             units.append(block)
+            prose.add(block)
     windows: list[list[str]] = []
     for unit in units:
         if windows and count("\n\n".join([*windows[-1], unit])) <= budget:
             windows[-1].append(unit)
         else:
             windows.append([unit])
-    joined = ["\n\n".join(w) for w in windows]
-    tails = ["", *(overlap(w, count, shared) for w in joined[:-1])][: len(joined)]
-    return [f"{tail}\n\n{w}".strip() if tail else w for tail, w in zip(tails, joined, strict=True)]
+    found, tail = [], ""
+    for window in windows:
+        own = "\n\n".join(window)
+        under = lambda w: f"{tail}\n\n{w}".strip() if tail else w  # noqa: B023, E731
+        long = len(window) == 1 and own in prose and count("\n".join([*headings, under(own)])) >= limit
+        for piece in split_words(own, count, budget) if long else [own]:
+            found.append(under(piece))
+            tail = overlap(piece, count, shared)
+    return found
 
 
 def count_words(text: str) -> int:
@@ -296,7 +319,7 @@ def chunks(parts: DataFrame, owners: DataFrame | None = None, count: Counter = c
             for r in batch.itertuples(index=False):
                 lost = set(r.lost) if r.lost is not None else set()
                 keep = lambda p: re.sub(r"\s+", " ", p).strip().lower() not in lost  # noqa: B023, E731
-                for i, content in enumerate(pack(r.text or "", count, budget, shared, limit, keep)):
+                for i, content in enumerate(pack(r.text or "", count, budget, shared, limit, keep, r.heading_path)):
                     n = count("\n".join([*r.heading_path, content]))
                     if n >= limit:
                         raise ValueError(f"a chunk of {r.doc} has {n} tokens")
