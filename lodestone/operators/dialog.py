@@ -220,6 +220,10 @@ def office_place(questions: DataFrame, offices: DataFrame, states: DataFrame, id
     return every.groupBy(id_col).agg(F.min(F.struct("_n", "place", "way")).alias("b")).select(id_col, "b.way", "b.place")
 
 
+#: Up to so many first stretches of names are held against each text; beyond, texts' stretches are joined with them.
+HEADS = 2_000
+
+
 def containing(rows: DataFrame, id_col: str, text: str, names: DataFrame, name: str, size: int = 4) -> DataFrame:
     """(id, name): names of ``size`` characters or more that a lower-cased text holds as a part, and shorter ones.
 
@@ -227,8 +231,15 @@ def containing(rows: DataFrame, id_col: str, text: str, names: DataFrame, name:
     compared with every name; the few possible shorter ones are joined as Spark sees fit."""
     low = names.where(F.col(name).isNotNull() & (F.col(name) != "")).select(name, F.lower(name).alias("_sought"))
     grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # overlapping, in one pass
-    met = rows.select(id_col, F.explode(grams).alias("_gram")).join(low.where(F.length("_sought") >= size).withColumn("_gram", F.substring("_sought", 1, size)), "_gram")
-    long = met.join(rows.select(id_col, text), id_col).where(F.contains(text, F.col("_sought")))
+    heads = low.where(F.length("_sought") >= size).withColumn("_gram", F.substring("_sought", 1, size))
+    few = heads.select("_gram").distinct().limit(HEADS + 1)
+    if few.count() <= HEADS:  # a text keeps those of its stretches that are heads, and goes along with them
+        one = few.agg(F.collect_list("_gram").alias("_heads"))
+        met = rows.select(id_col, text).crossJoin(F.broadcast(one)).select(id_col, text, F.explode(F.array_intersect(grams, "_heads")).alias("_gram"))
+        long = met.join(heads, "_gram").where(F.contains(text, F.col("_sought")))
+    else:  # all stretches meet the names, then the names their texts
+        met = rows.select(id_col, F.explode(grams).alias("_gram")).join(heads, "_gram")
+        long = met.join(rows.select(id_col, text), id_col).where(F.contains(text, F.col("_sought")))
     short = rows.join(low.where(F.length("_sought") < size), F.contains(F.col(text), F.col("_sought")))
     return long.select(id_col, name).unionByName(short.select(id_col, name)).distinct()
 
