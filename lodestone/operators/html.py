@@ -32,6 +32,9 @@ UNITS, TEXT = (*HEADINGS, "p", "table", "ul", "ol", "img", "a"), "#text"
 _ELEMENT = "struct<at:int,tag:string,marks:array<string>,href:string,link:string>"
 
 
+PAGES = 50
+
+
 class _Nodes(HTMLParser):
     """Rows (at, kind, text, path) of one page; the first has neither kind nor path."""
 
@@ -70,14 +73,15 @@ def nodes(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for page, key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parser = _Nodes(url or "")
-                parser.feed(html or "")
-                parser.close()
-                held += ((page, *row, key if row[0] == 0 else None, url if row[0] == 0 else None) for row in parser.rows)
-                if len(held) > 20_000:
-                    yield _batch(held)
-                    held = []
+            for start in range(0, batch.num_rows, PAGES):  # a batch may have 10,000 pages; few of them are Python objects at once
+                for page, key, url, html in zip(*(c.to_pylist() for c in batch.slice(start, PAGES).columns), strict=True):
+                    parser = _Nodes(url or "")
+                    parser.feed(html or "")
+                    parser.close()
+                    held += ((page, *row, key if row[0] == 0 else None, url if row[0] == 0 else None) for row in parser.rows)
+                    if len(held) > 5_000:
+                        yield _batch(held)
+                        held = []
         if held:
             yield _batch(held)
 
