@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IMAGE = "<!-- image -->"
+#: What ``(?U)\\s`` matches: the characters of the White_Space property.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def nfc(text: Column) -> Column:
@@ -35,7 +37,8 @@ def tidy_markdown(md: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Text without white space at its ends; a trim looks at the ends alone, where a pattern tries each space of the text."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:

@@ -1,9 +1,9 @@
-"""HTML pages to Markdown: a small helper lists a page's nodes with their open elements, expressions do the rest.
+"""HTML pages to Markdown: a small helper reads each page once, expressions and groupings do the rest.
 
-``nodes`` gives a row for each element and text of a page, with the path of elements around it. Elements are numbered as
-they open, so along a path numbers rise, and what lies below an element is what has a larger number on the path. Junk
-goes by a filter on paths; headings, paragraphs, links, lists, tables and the page are put together by groupings that all
-keep to the page's partition, so pages are shuffled once.
+``cells`` gives a row for each cell of a table, line of a list and other block of a page, with its texts, links, breaks and
+images in order; elements are numbered as they open. Inline text, lists, tables and the page are put together from these
+rows by expressions and groupings that all keep to the page's partition. ``nodes`` lists single nodes with the path of
+elements around them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from urllib.parse import urljoin
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -40,10 +40,16 @@ class _Nodes(HTMLParser):
 
     def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.url, self.open, self.rows = url, [], [(0, "", "", [])]
+        self.url, self.open, self.count, self.rows = url, [], 1, [(0, "", "", [])]
 
     def _add(self, kind: str, text: str) -> None:
-        self.rows.append((len(self.rows), kind, text, list(self.open)))
+        if kind == "a":
+            self.open[-1]["link"] = self._link(self.open[-1])
+        self.rows.append((self.count, kind, text, list(self.open)))
+        self.count += 1
+
+    def _link(self, a: dict) -> str:
+        return a["href"] and urljoin(self.url, a["href"])
 
     def handle_starttag(self, tag, attrs):
         closes = SIBLINGS.get(tag, set())
@@ -51,8 +57,7 @@ class _Nodes(HTMLParser):
             self.open.pop()
         own = {k: v or "" for k, v in attrs}
         marks = [f".{c}" for c in own.get("class", "").split()] + [f"#{own.get('id')}"] * ("id" in own)
-        href = own.get("href", "") if tag == "a" else None
-        self.open.append({"at": len(self.rows), "tag": tag, "marks": marks, "href": href, "link": href and urljoin(self.url, href)})
+        self.open.append({"at": self.count, "tag": tag, "marks": marks, "href": own.get("href", "") if tag == "a" else None})
         self._add(tag, own.get("alt", "").strip() if tag == "img" else "")
         if tag in VOID:
             self.open.pop()
@@ -66,34 +71,49 @@ class _Nodes(HTMLParser):
         self._add(TEXT, data)
 
 
+def _read(pages: DataFrame, rows: Callable[[int, str, str, str], list[tuple]], size: Callable[[tuple], int], batch: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows of pages (page, id, url, html), ``page`` numbering them; batches go out at about 5,000 by ``size``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_size = [], 0
+        for found in batches:
+            for start in range(0, found.num_rows, PAGES):  # a batch may have 10,000 pages; few of them are Python objects at once
+                for page in zip(*(c.to_pylist() for c in found.slice(start, PAGES).columns), strict=True):
+                    made = rows(*page)
+                    held += made
+                    held_size += sum(map(size, made))
+                    if held_size > 5_000:
+                        yield batch(held)
+                        held, held_size = [], 0
+        if held:
+            yield batch(held)
+
+    return pages.mapInArrow(run, schema)
+
+
+def _numbered(pages: DataFrame, id_col: str) -> DataFrame:
+    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string").alias("id"), "url", "html")
+
+
 def nodes(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page, at, kind, text, path, id, url): the nodes of pages (id, url, html), ``page`` numbering the rows; the first node
     of a page has its id and url. A null page has this node only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, PAGES):  # a batch may have 10,000 pages; few of them are Python objects at once
-                for page, key, url, html in zip(*(c.to_pylist() for c in batch.slice(start, PAGES).columns), strict=True):
-                    parser = _Nodes(url or "")
-                    parser.feed(html or "")
-                    parser.close()
-                    held += ((page, *row, key if row[0] == 0 else None, url if row[0] == 0 else None) for row in parser.rows)
-                    if len(held) > 5_000:
-                        yield _batch(held)
-                        held = []
-        if held:
-            yield _batch(held)
+    def rows(page, key, url, html):
+        parser = _Nodes(url or "")
+        parser.feed(html or "")
+        parser.close()
+        return [(page, *row, key if row[0] == 0 else None, url if row[0] == 0 else None) for row in parser.rows]
 
     schema = f"page bigint, at int, kind string, text string, path array<{_ELEMENT}>, id string, url string"
-    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_col).cast("string"), "url", "html").mapInArrow(run, schema)
+    return _read(_numbered(pages, id_col), rows, lambda row: 1, _batch, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """Rows as Arrow columns; paths go in as flat columns of their elements."""
     page, at, kind, text, path, key, url = zip(*rows)
     flat = [e for p in path for e in p]
-    column = lambda name, t: pa.array([e[name] for e in flat], t)
+    column = lambda name, t: pa.array([e.get(name) for e in flat], t)
     parts = [column("at", pa.int32()), column("tag", pa.string()), column("marks", pa.list_(pa.string())), column("href", pa.string()), column("link", pa.string())]
     elements = pa.StructArray.from_arrays(parts, names=["at", "tag", "marks", "href", "link"])
     offsets = pa.array(list(accumulate(map(len, path), initial=0)), pa.int32())
@@ -105,76 +125,133 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
-def selects(selector: str) -> Callable[[Column], Column]:
-    """Test of a path's element for ``tag``, ``.class``, ``#id`` and their compounds; anything else is an error."""
+def selects(selector: str) -> Callable[[dict], bool]:
+    """Test of an open element for ``tag``, ``.class``, ``#id`` and their compounds; anything else is an error."""
     m = SELECTOR.fullmatch(selector.strip())
     if not m or not m[0]:
         raise ValueError(f"selector not supported: {selector}")
-    marks = re.findall(r"[.#][\w-]+", m[2])
-    return lambda x: (x.tag == m[1].lower() if m[1] else F.lit(True)) & F.size(F.array_except(F.array(*map(F.lit, marks)).cast("array<string>"), x.marks)).eqNullSafe(0)
-
-
-def _below(path: Column, at: Column, *tags: str) -> Column:
-    """The first element of the path below element ``at`` that has one of the tags."""
-    return F.get(F.filter(path, lambda x: (x.at > at) & (x.tag.isin(*tags) if tags else F.lit(True))), 0)
-
-
-def _placed(found: DataFrame, strip: tuple[str, ...]) -> DataFrame:
-    """Nodes that count, without their paths: first nodes of pages, texts of titles, and nodes with their block (unit, tag), line
-    and cell of a list or table, and link. A page's rows share a partition from here on."""
-    path, none = F.col("path"), F.lit(None).cast("int")
-    is_text = F.col("kind") == TEXT
-    gone = F.exists(path, lambda x: x.tag.isin(*HIDDEN))
-    for s in strip:
-        gone = gone | F.exists(path, selects(s))
-    body = _below(path, F.lit(-1), "body").at
-    block = _below(path, F.coalesce(body, F.lit(-1)), *UNITS)
-    alone = F.when(is_text, F.struct(F.col("at"), F.lit(TEXT).alias("tag")))
-    unit = F.when(~gone, F.coalesce(F.when(block.isNotNull(), F.struct(block.at.alias("at"), block.tag.alias("tag"))), alone))
-    rows = found.withColumns({"title": F.when(is_text, _below(path, F.lit(-1), "title").at), "body": body, "b": unit}).where("kind = '' OR title IS NOT NULL OR b IS NOT NULL")
-    at = F.col("b.at")
-    item = F.when(_below(path, at).tag == "li", _below(path, at).at)
-    lines = F.when(F.col("b.tag").isin("ul", "ol"), F.array(item)).when(F.col("b.tag") == "table", F.transform(F.filter(path, lambda x: (x.at > at) & (x.tag == "tr")), lambda x: x.at)).otherwise(F.array(none))
-    spread = rows.withColumn("line", F.explode_outer(lines))
-    spread = spread.withColumn("cell", F.when(F.col("b.tag") == "table", _below(path, F.col("line"), "td", "th").at))
-    link = F.when(F.col("b").isNotNull(), _below(path, F.coalesce("cell", "line", at), "a"))
-    kept = F.when(link.isNotNull(), F.struct(link.at.alias("at"), link.href.alias("href"), link.link.alias("link")))
-    return spread.select("page", "at", "kind", "text", "id", "url", "title", "body", at.alias("unit"), F.col("b.tag").alias("tag"), "line", "cell", kept.alias("link")).repartition("page")
-
-
-def _titles(placed: DataFrame) -> DataFrame:
-    """(page, title): text of the page's first title element."""
-    texts = placed.where("title IS NOT NULL").groupBy("page", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "text"))), lambda x: T.strip(x.text)), "").alias("text"))
-    return texts.groupBy("page").agg(F.min_by("text", "title").alias("title"))
-
-
-def _pieces(placed: DataFrame) -> DataFrame:
-    """Nodes of blocks in the page's first body; a page without a body is all body."""
-    first = F.min("body").over(Window.partitionBy("page"))
-    return placed.withColumn("_first", first).where("unit IS NOT NULL AND (_first IS NULL OR body = _first)").drop("_first")
-
-
-def _cells(pieces: DataFrame, alts: list[str], links: list[str]) -> DataFrame:
-    """(page, unit, tag, line, cell, text, plain): inline text with links to PDF files as Markdown, and text alone."""
-    key = ["page", "unit", "tag", "line", "cell"]
-    words = F.filter(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == TEXT, F.struct("at", "text")))), lambda x: T.strip(x.text)), lambda x: x != "")
-    own = F.when(F.col("kind") == TEXT, F.col("text")).when(F.col("kind") == "br", F.lit(" ")).when((F.col("kind") == "img") & ~F.lower("text").isin(*alts), F.col("text")).otherwise(F.lit(""))
-    parts = pieces.groupBy(*key, F.coalesce("link.at", "at").alias("piece")).agg(F.first("link").alias("link"), F.array_join(words, " ").alias("words"), F.first(own).alias("own"))
-    linked = F.when(F.lower("words").isin(*links), F.lit("")).when(F.contains(F.lower("link.href"), F.lit(".pdf")), F.concat(F.lit("["), "words", F.lit("]("), F.col("link.link"), F.lit(")"))).otherwise(F.col("words"))
-    text = F.when(F.col("link").isNull(), F.col("own")).otherwise(linked)
-    ordered = F.array_sort(F.collect_list(F.struct("piece", text.alias("text"), "words")))
-    joined = F.array_join(F.transform(ordered, lambda x: x.text), "")
-    plain = F.array_join(F.filter(F.transform(ordered, lambda x: x.words), lambda x: x != ""), " ")
-    folded = T.strip(F.regexp_replace(F.regexp_replace(joined, r"[ \t]*\n[ \t]*", " "), r"[ \t]{2,}", " "))
-    return parts.groupBy(*key).agg(folded.alias("text"), plain.alias("plain"))
-
-
-def _blocks(cells: DataFrame, links: list[str], junk: list[str]) -> DataFrame:
-    """(page, unit, tag, text, counted): the Markdown of each block, and whether it counts as a heading or a table."""
+    tag, marks = m[1] and m[1].lower(), set(re.findall(r"[.#][\w-]+", m[2]))
+    return lambda e: tag in (None, e["tag"]) and marks.issubset(e["marks"])
+
+
+class _Cells(_Nodes):
+    """Cells of one page: ``cells`` has the body and parts of each (unit, tag, line, cell), ``titles`` the texts of its first title.
+
+    An open element knows what holds below it: whether it is junk, its title and body, its block (the first of UNITS below
+    the body) and the places (line, cell, link) in it; under nested rows of a table a node has a place in each."""
+
+    def __init__(self, url: str, junk: list[Callable[[dict], bool]]) -> None:
+        super().__init__(url)
+        self.junk, self.cells, self.title, self.titles, self.body = junk, {}, None, [], None
+        self.top = {"gone": False, "title": None, "body": None, "block": None, "places": []}
+
+    def _add(self, kind: str, text: str) -> None:
+        if kind == TEXT:
+            e = self.open[-1] if self.open else self.top
+            if e["title"] is not None and self.title in (None, e["title"]):
+                self.title = e["title"]
+                self.titles.append(text)
+        else:
+            e = self.open[-1]
+            self._opened(e, self.open[-2] if len(self.open) > 1 else self.top)
+        counts = not e["gone"] and (e["block"] is not None or kind == TEXT)
+        if self.body is None and (counts or kind == TEXT and e["title"] is not None):
+            self.body = e["body"]
+        if counts:
+            block = e["block"]
+            unit = (block["at"], block["tag"]) if block else (self.count, TEXT)
+            for line, cell, link in e["places"] if block else ((None, None, None),):
+                self._part(self.cells.setdefault((*unit, line, cell), (e["body"], []))[1], kind, text, link)
+        self.count += 1
+
+    def _part(self, parts: list[tuple], kind: str, text: str, link: dict | None) -> None:
+        """Texts of a link are one part; elements other than links, breaks and images have none."""
+        if link:
+            if not parts or parts[-1][0] != link["at"]:
+                parts.append((link["at"], "a", [], link["href"], self._link(link)))
+            if kind == TEXT:
+                parts[-1][2].append(text)
+        elif kind in (TEXT, "br", "img"):
+            parts.append((self.count, kind, [" " if kind == "br" else text], None, None))
+
+    def _opened(self, e: dict, up: dict) -> None:
+        at, tag = e["at"], e["tag"]
+        e["gone"] = up["gone"] or tag in HIDDEN or any(test(e) for test in self.junk)
+        e["title"] = at if up["title"] is None and tag == "title" else up["title"]
+        block, places = up["block"], up["places"]
+        e["body"] = up["body"]
+        if up["body"] is None and tag == "body":
+            e["body"], block, places = at, None, []
+        elif block is None and tag in UNITS:
+            block, places = e, [(None, None, None)]
+        elif block is not None:
+            if block["tag"] in ("ul", "ol") and block is up and tag == "li":
+                places = [(at, None, None)]
+            elif block["tag"] == "table" and tag == "tr":
+                places = [p for p in places if p[0] is not None] + [(at, None, None)]
+            elif block["tag"] == "table" and tag in ("td", "th"):
+                places = [(line, at, None) if line is not None and cell is None else (line, cell, link) for line, cell, link in places]
+            elif tag == "a":
+                places = [(line, cell, link or e) for line, cell, link in places]
+        e["block"], e["places"] = block, places
+
+
+_PART = "struct<kind:string,texts:array<string>,href:string,link:string>"
+_HEAD = "struct<id:string,url:string,titles:array<string>>"
+
+
+def cells(pages: DataFrame, id_col: str, strip: tuple[str, ...]) -> DataFrame:
+    """(page, unit, tag, line, cell, parts, head): cells of pages (id, url, html) in their first body, or in all of a page without one.
+
+    Blocks that are neither list nor table have one row without line and cell. Each page also has a row with its head only.
+    Pages are dealt out before they are read, as files may have few row groups."""
+    tests = [selects(s) for s in strip]
+
+    def rows(page, key, url, html):
+        parser = _Cells(url or "", tests)
+        parser.feed(html or "")
+        parser.close()
+        held = [(page, *at, parts, None) for at, (body, parts) in parser.cells.items() if parser.body in (None, body)]
+        return [(page, None, None, None, None, [], {"id": key, "url": url, "titles": parser.titles}), *held]
+
+    schema = f"page bigint, unit int, tag string, line int, cell int, parts array<{_PART}>, head {_HEAD}"
+    return _read(_numbered(pages, id_col).repartition("page"), rows, lambda row: 1 + len(row[5]), _cell_batch, schema).repartition("page")
+
+
+def _cell_batch(rows: list[tuple]) -> pa.RecordBatch:
+    page, unit, tag, line, cell, parts, head = zip(*rows)
+    flat = [p for own in parts for p in own]
+    lists = lambda xs, values: pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, xs), initial=0)), pa.int32()), values)
+    texts = [p[2] for p in flat]
+    kinds, hrefs, links = (pa.array([p[i] for p in flat], pa.string()) for i in (1, 3, 4))
+    part = pa.StructArray.from_arrays([kinds, lists(texts, pa.array([t for own in texts for t in own], pa.string())), hrefs, links], names=["kind", "texts", "href", "link"])
+    heads = pa.array(head, pa.struct([("id", pa.string()), ("url", pa.string()), ("titles", pa.list_(pa.string()))]))
+    own = [pa.array(page, pa.int64()), pa.array(unit, pa.int32()), pa.array(tag, pa.string()), pa.array(line, pa.int32()), pa.array(cell, pa.int32()), lists(parts, part), heads]
+    return pa.RecordBatch.from_arrays(own, names=["page", "unit", "tag", "line", "cell", "parts", "head"])
+
+
+def _inline(found: DataFrame, alts: list[str], links: list[str]) -> DataFrame:
+    """(page, unit, tag, line, cell, head, text, plain): inline text with links to PDF files as Markdown, and of link blocks text alone."""
+    own = ["page", "unit", "tag", "line", "cell", "head"]
+    read_alone = F.col("tag") == "a"  # the only blocks that are judged by their text alone
+    words = lambda x: F.when((x.kind == "a") | read_alone & (x.kind == TEXT), F.array_join(F.filter(F.transform(x.texts, T.strip), lambda t: t != ""), " ")).otherwise("")
+    linked = lambda x: F.when(F.lower(x.words).isin(*links), F.lit("")).when(F.contains(F.lower(x.href), F.lit(".pdf")), F.concat(F.lit("["), x.words, F.lit("]("), x.link, F.lit(")"))).otherwise(x.words)
+    bare = lambda x: F.when((x.kind == "img") & F.lower(x.texts[0]).isin(*alts), F.lit("")).otherwise(x.texts[0])
+    read = found.select(*own, F.transform("parts", lambda x: F.struct(x.kind.alias("kind"), x.texts.alias("texts"), x.href.alias("href"), x.link.alias("link"), words(x).alias("words"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda x: F.when(x.kind == "a", linked(x)).otherwise(bare(x))), "")
+    plain = F.array_join(F.filter(F.transform("parts", lambda x: x.words), lambda t: t != ""), " ")
+    lines = F.when(F.contains("text", F.lit("\n")), F.regexp_replace("text", r"[ \t]*\n[ \t]*", " ")).otherwise(F.col("text"))
+    runs = F.when(F.contains("text", F.lit("  ")) | F.contains("text", F.lit("\t")), F.regexp_replace("text", r"[ \t]{2,}", " ")).otherwise(F.col("text"))
+    folded = read.select(*own, joined.alias("text"), F.when(read_alone, plain).alias("plain")).withColumn("text", lines).withColumn("text", runs)
+    return folded.withColumn("text", T.strip(F.col("text")))
+
+
+def _blocks(found: DataFrame, links: list[str], junk: list[str]) -> DataFrame:
+    """(page, unit, tag, text, head): the Markdown of each block."""
     row = F.array_sort(F.collect_list(F.struct("cell", "text")))
-    by_line = cells.groupBy("page", "unit", "tag", "line").agg(row.alias("cells"), F.first("text").alias("text"), F.first("plain").alias("plain"))
+    by_line = found.groupBy("page", "unit", "tag", "line").agg(row.alias("cells"), *(F.first(c).alias(c) for c in ("text", "plain", "head")))
     lines = F.array_sort(F.collect_list(F.struct("line", "cells", "text")))
-    units = by_line.groupBy("page", "unit", "tag").agg(lines.alias("all"), F.first("text").alias("text"), F.first("plain").alias("plain"))
+    units = by_line.groupBy("page", "unit", "tag").agg(lines.alias("all"), *(F.first(c).alias(c) for c in ("text", "plain", "head")))
     rows = F.filter(F.transform(F.filter("all", lambda x: x.line.isNotNull()), lambda x: F.transform(F.filter(x.cells, lambda c: c.cell.isNotNull()), lambda c: c.text)), lambda r: F.size(r) > 0)
     items = F.transform(F.filter("all", lambda x: x.line.isNotNull()), lambda x: x.text)
     units = units.withColumns({"rows": rows, "items": items}).withColumn("width", F.array_max(F.transform("rows", F.size)))
@@ -189,7 +266,7 @@ def _blocks(cells: DataFrame, links: list[str], junk: list[str]) -> DataFrame:
         .when((F.col("tag") == "a") & F.lower("plain").isin(*links), None)
         .otherwise(F.col("text"))
     )
-    return units.select("page", "unit", "tag", text.alias("text"))
+    return units.select("page", "unit", "tag", text.alias("text"), "head")
 
 
 def to_markdown(pages: DataFrame, id_col: str = "page_id", strip: tuple[str, ...] = ("nav", "footer"), drop_alt: tuple[str, ...] = ("image",), drop_link: tuple[str, ...] = ("read more",)) -> DataFrame:
@@ -198,19 +275,17 @@ def to_markdown(pages: DataFrame, id_col: str = "page_id", strip: tuple[str, ...
     Junk goes: elements under ``strip`` selectors, images and links of these texts, blocks that consist of such a text."""
     alts, links = ([x.strip().lower() for x in xs] for xs in (drop_alt, drop_link))
     junk = [*alts, *links, ""]
-    found = _placed(nodes(pages, id_col), strip)
-    blocks = _blocks(_cells(_pieces(found), [*alts, ""], [*links, ""]), links or [""], junk)
-    kept = F.when((T.strip(F.col("text")) != "") & ~F.lower(T.strip(F.col("text"))).isin(*junk), F.struct("unit", "text"))
-    bodies = blocks.groupBy("page").agg(
+    blocks = _blocks(_inline(cells(pages, id_col, strip), [*alts, ""], [*links, ""]), links or [""], junk)
+    bare = F.lower(T.strip(F.col("text")))
+    kept = F.when(~bare.isin(*junk), F.struct("unit", "text"))
+    whole = blocks.groupBy("page").agg(
+        F.first("head", ignorenulls=True).alias("head"),
         F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x.text), "\n\n").alias("markdown"),
         F.count_if(F.col("tag").isin(*HEADINGS) & F.col("text").isNotNull()).cast("int").alias("headings"),
         F.count_if(F.col("tag") == "table").cast("int").alias("tables"),
     )
-    whole = found.where("kind = ''").select("page", "id", "url").join(_titles(found), "page", "left").join(bodies, "page", "left")
-    return whole.select(
-        F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), "url", F.nullif("title", F.lit("")).alias("title"),
-        F.coalesce("markdown", F.lit("")).alias("markdown"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("headings", "tables")),
-    )
+    title = F.nullif(F.array_join(F.transform("head.titles", T.strip), ""), F.lit(""))
+    return whole.select(F.col("head.id").cast(pages.schema[id_col].dataType).alias(id_col), "head.url", title.alias("title"), "markdown", "headings", "tables")
 
 
 def navigation_links(pages: DataFrame) -> DataFrame:
