@@ -145,9 +145,9 @@ def sections(docs: DataFrame, id_col: str = "doc_id", body: str = "body") -> Dat
     An empty preamble is left out, a headed empty section stays. Window functions carry pages and headings along lines:
     a heading of level k stands until one of level k or less comes."""
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\n")).alias("i", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,3})\s+\S", 1))
+    level = F.when(F.startswith("line", F.lit("#")), F.length(F.regexp_extract("line", r"^(#{1,3})\s+\S", 1))).otherwise(0)
     run = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({"level": level, "page": F.regexp_extract("line", PAGE, 1).try_cast("int")})
+    marked = lines.withColumns({"level": level, "page": F.when(F.startswith("line", F.lit("<!-- page ")), F.regexp_extract("line", PAGE, 1).try_cast("int"))})
     at = marked.withColumns({"page_now": F.last("page", True).over(run), "n": F.sum((F.col("level") > 0).cast("int")).over(run)})
     title = T.strip(F.regexp_replace("line", r"^#{1,3}\s+|\s+#*\s*$", ""))
     for k in (1, 2, 3):
