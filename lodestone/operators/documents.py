@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators.dialog import containing
+from lodestone.operators.similar import similar_pairs  # noqa: F401  one of this module's operators
 
 # ---- flags ----------------------------------------------------------------------------------------------------
 
@@ -28,46 +28,6 @@ def orphans(pages: DataFrame, navigation: DataFrame, key: str = "url") -> DataFr
     return pages.join(navigation.select(key).distinct(), key, "left_anti")
 
 
-def _apart(a: str, b: str) -> Column:
-    """Of two sets' parities of tokens by 512 places (eight longs each), the number of places that differ. A token that only one set
-    has changes one place, so sets differ in at least so many tokens."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(8)))
-
-
-def similar_pairs(docs: DataFrame, threshold: tuple[int, int] = (9, 10), id_col: str = "doc_id", body: str = "text") -> DataFrame:
-    """(a, b, shared, total): all pairs a < b of token sets with Jaccard of at least num / den; empty sets link with nothing.
-
-    Equal sets form one class first. Between classes a prefix filter applies: tokens are put in order of rarity, and
-    two sets that reach the threshold share a token among their first n - ceil(t n) + 1; longer shared lists needn't be joined.
-    Of those that meet, ``_apart`` drops pairs that differ in too many tokens before any set goes along. Pairs are verified on
-    whole sets; classes are expanded last, since all pairs are this operator's result."""
-    num, den = threshold
-    sets = docs.select(F.col(id_col).alias("id"), F.array_sort(T.word_set(F.col(body))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = sets.withColumn("digest", F.sha2(F.array_join("tokens", " "), 256))
-    classes = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
-    members = sets.select("id", "digest").join(classes.select("rep", "digest"), "digest").select("rep", "id")
-    tokens = classes.select("rep", F.explode("tokens").alias("t"))
-    rarity = tokens.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = tokens.join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
-    n = F.size("r")
-    length = n - F.ceil(n * num / F.lit(den)).cast("int") + 1
-    bits = F.expr("transform(sequence(0, 7), i -> aggregate(tokens, 0L, (s, t) -> s ^ IF(pmod(xxhash64(t), 512) DIV 64 = i, shiftleft(1L, CAST(pmod(xxhash64(t), 64) AS INT)), 0L)))")
-    prefix = ranked.join(classes.select("rep", bits.alias("bits")), "rep").select("rep", "bits", n.alias("n"), F.explode(F.slice(F.transform("r", lambda x: x["t"]), F.lit(1), length)).alias("t"))
-    left, right = (prefix.select(F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}"), "t") for k in "ab")
-    sized = (F.col("ra") < F.col("rb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    close = _apart("bits_a", "bits_b") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
-    pairs = left.join(right, "t").where(sized & close).select("ra", "rb").distinct()
-    full = classes.select("rep", "tokens")
-    both = pairs.join(full.select(F.col("rep").alias("ra"), F.col("tokens").alias("ta")), "ra").join(full.select(F.col("rep").alias("rb"), F.col("tokens").alias("tb")), "rb")
-    counted = both.select("ra", "rb", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size(F.array_union("ta", "tb")).alias("total"))
-    across = counted.where(F.col("shared") * den >= F.col("total") * num)
-    within = classes.select(F.col("rep").alias("ra"), F.col("rep").alias("rb"), F.size("tokens").alias("shared"), F.size("tokens").alias("total"))
-    links = across.unionByName(within)
-    a, b = members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), members.select(F.col("rep").alias("rb"), F.col("id").alias("y"))
-    every = links.join(a, "ra").join(b, "rb").where((F.col("ra") != F.col("rb")) | (F.col("x") < F.col("y")))
-    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "total")
-
-
 # ---- witness check --------------------------------------------------------------------------------------------
 
 #: Classes of witness tokens and how each is written in normal form.
